@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 # Characters stripped from both ends of a line.
 BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+# A word is a run of anything but blanks of any script.
+WORD = "[^\\s\\x0b\\x1c-\\x1f\\x85\\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 MAX_LINE = 120
 LARGE_FILE, HUGE_FILE = 600, 1000
 
@@ -129,7 +131,7 @@ def assertion_count(text: Column, is_test: Column) -> Column:
 
 def doc_words(text: Column) -> Column:
     """Number of blank-separated words."""
-    return F.regexp_count(text, F.lit(r"(?U)\S+"))
+    return F.regexp_count(text, F.lit(WORD))
 
 
 def content_digest(text: Column) -> Column:

@@ -102,7 +102,29 @@ def component_churn(spark, sf):
     return h.component_churn(touches(spark, sf), K)
 
 
-@query("history_risks", f"""WITH {HOT}{COMPONENTS},
+# One project per customer: its order priorities are the authors, part types the components.
+CUSTOMER_TOUCHES = """
+touches AS (
+  SELECT o_custkey AS project_id, o_orderkey AS sha, o_orderpriority AS author, o_orderdate AS ts,
+         p_type || '/' || p_brand || '/' || p_partkey AS path
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
+)"""
+
+
+def customer_touches(spark: SparkSession, sf: str) -> DataFrame:
+    parts = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("l_partkey"),
+        F.concat_ws("/", "p_type", "p_brand", F.col("p_partkey").cast("string")).alias("path"),
+    )
+    commits_ = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("sha"),
+        F.col("o_orderpriority").alias("author"), F.col("o_orderdate").alias("ts"),
+    )
+    files = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sha"), "l_partkey")
+    return files.join(parts, "l_partkey").join(commits_, "sha").select("project_id", "sha", "author", "ts", "path")
+
+
+@query("history_risks", f"""WITH {HOT.replace(TOUCHES, CUSTOMER_TOUCHES)}{COMPONENTS},
 tot AS (SELECT project_id, sum(changes) AS total, first(component ORDER BY changes DESC, component) AS component,
                max(changes) AS top FROM comp GROUP BY project_id),
 rows_ AS (
@@ -123,7 +145,7 @@ SELECT project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY sect
        severity, area, message FROM rows_
 QUALIFY seq <= 10""")
 def history_risks(spark, sf):
-    t = touches(spark, sf)
+    t = customer_touches(spark, sf)
     return h.history_risks(h.component_churn(t, K, limit=None), h.hotspot_risk(h.file_churn(t, K), K), K)
 
 

@@ -1,0 +1,395 @@
+"""Text measures over documents, and the quality job over the part-derived corpus."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from archspark.functions import paths as p
+from archspark.functions import text as tx
+from archspark.operators import quality as q
+from archspark.queries import corpus
+from archspark.queries.registry import query, table
+from archspark.schema import KEYS
+
+K = ["project_id"]
+PK = list(KEYS)
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select(
+        F.col("source").alias("project_id"), "doc_id", F.col("text"),
+        F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
+        F.lit("text").alias("language"),
+    )
+
+
+def profiled(spark: SparkSession, sf: str) -> DataFrame:
+    return q.profile_files(corpus.files(spark, sf))
+
+
+# Lines of a text: split at line breaks, one trailing empty piece dropped.
+BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+DOC_LINES = f"""
+split AS (
+  SELECT source AS project_id, doc_id, text, regexp_split_to_array(text, '{BREAK}') AS raw FROM documents
+),
+lined AS (
+  SELECT project_id, doc_id, text, CASE WHEN raw[len(raw)] = '' THEN raw[1:len(raw) - 1] ELSE raw END AS lines FROM split
+)"""
+WORD = r"[^\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@query("line_profile", f"""WITH {DOC_LINES}
+SELECT doc_id, CAST(len(lines) AS INTEGER) AS loc,
+       CAST(len(list_filter(lines, lambda x: length(x) > 120)) AS INTEGER) AS long_lines,
+       CAST(len(list_filter(lines, lambda x: trim(x, ' ' || chr(9)) = '')) AS INTEGER) AS blank_lines,
+       CAST(len(list_filter(lines, lambda x: starts_with(trim(x, ' ' || chr(9)), '#')
+            OR starts_with(trim(x, ' ' || chr(9)), '//'))) AS INTEGER) AS comment_lines,
+       CAST(len(regexp_extract_all(text, '{WORD}')) AS INTEGER) AS words,
+       sha256(text) AS digest
+FROM lined""")
+def line_profile(spark, sf):
+    staged = tx.with_lines(documents(spark, sf)).withColumn("stats", tx.line_stats(F.col("lines"), F.col("language")))
+    return staged.select(
+        "doc_id", F.size("lines").alias("loc"), tx.long_lines(F.col("lines")).alias("long_lines"),
+        F.col("stats.blank").alias("blank_lines"), F.col("stats.comment").alias("comment_lines"),
+        tx.doc_words(F.col("text")).alias("words"), tx.content_digest(F.col("text")).alias("digest"),
+    )
+
+
+@query("explode_lines", f"""WITH {DOC_LINES}
+SELECT doc_id, CAST(unnest(range(1, len(lines) + 1)) AS INTEGER) AS line, length(unnest(lines)) AS width FROM lined""")
+def explode_lines(spark, sf):
+    lines = tx.explode_lines(documents(spark, sf).select("doc_id", "text"))
+    return lines.select("doc_id", "line", F.char_length("content").cast("bigint").alias("width"))
+
+
+DOC_RULES = (
+    q.Rule("doc.email", "privacy", "medium", "E-mail address", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}"),
+    q.Rule("doc.licence", "legal", "low", "Licence line", r"(?:Licensed|Released) under the [A-Z][A-Za-z]+"),
+    q.Rule("doc.token", "security", "critical", "Token", r'(?:token|password|secret) = "[0-9a-zA-Z]{8,}"', ignore=r"00|ff"),
+    q.Rule("doc.address", "privacy", "high", "Network address", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"),
+)
+DOC_HITS = DOC_LINES + """,
+doc_rules(rule, category, severity, pattern, ignored) AS (VALUES
+""" + ",\n".join(
+    f"('{r.id}', '{r.category}', '{r.severity}', '{r.pattern}', {repr(r.ignore) if r.ignore else 'NULL'})" for r in DOC_RULES
+) + """),
+doc_line AS (SELECT project_id, doc_id, unnest(range(1, len(lines) + 1)) AS line, unnest(lines) AS content FROM lined),
+frag AS (
+  SELECT project_id, doc_id, line, content, rule, category, severity, ignored,
+         unnest(regexp_extract_all(content, pattern)) AS fragment
+  FROM doc_line, doc_rules WHERE regexp_matches(content, pattern)
+),
+hits AS (
+  SELECT project_id, 'docs/' || doc_id || '.txt' AS file, rule, category, severity, CAST(line AS INTEGER) AS line,
+         trim(content, ' ' || chr(9)) AS trimmed
+  FROM frag WHERE ignored IS NULL OR NOT regexp_matches(fragment, ignored)
+  QUALIFY row_number() OVER (PARTITION BY doc_id, rule ORDER BY line) <= 12
+),
+findings AS (
+  SELECT project_id, file, rule, category, severity, line,
+         CASE WHEN length(trimmed) > 140 THEN substr(trimmed, 1, 140) || '…' ELSE trimmed END AS snippet
+  FROM hits
+)"""
+
+
+@query("scan_rules", f"WITH {DOC_HITS} SELECT * FROM findings")
+def scan_rules(spark, sf):
+    return q.scan_rules(documents(spark, sf), K, DOC_RULES)
+
+
+@query("finding_counts", f"""WITH {DOC_HITS}
+SELECT project_id, category, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high,
+       count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low,
+       count(*) FILTER (severity = 'info') AS info
+FROM findings GROUP BY project_id, category""")
+def finding_counts(spark, sf):
+    return q.finding_counts(q.scan_rules(documents(spark, sf), K, DOC_RULES), K)
+
+
+@query("top_findings", f"""WITH {DOC_HITS}
+SELECT project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY CASE severity WHEN 'critical' THEN 0
+       WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, file, line, rule) AS INTEGER) AS seq,
+       file, line, rule FROM findings QUALIFY seq <= 10""")
+def top_findings(spark, sf):
+    found = q.scan_rules(documents(spark, sf), K, DOC_RULES)
+    return q.top_findings(found, K, limit=10).select("project_id", "seq", "file", "line", "rule")
+
+
+# ---------------------------------------------------------------- corpus: the whole quality job
+
+CORPUS = corpus.duck_cte()
+# Facts of the templates: language, lines, comment lines, blank lines, documented.
+SHAPE = CORPUS + """,
+shape(lang, language, loc, comment_lines, blank_lines, documented) AS (VALUES
+  ('python', 'python', 27, 3, 5, TRUE), ('typescript', 'typescript', 13, 1, 0, FALSE), ('java', 'java', 15, 0, 1, FALSE),
+  ('go', 'go', 19, 0, 0, FALSE), ('rust', 'rust', 16, 0, 0, FALSE), ('cpp', 'cpp', 12, 0, 0, FALSE)
+),
+rule_at(lang, rule, category, severity, line) AS (VALUES
+  ('python', 'sec.command_injection', 'security', 'high', 18),
+  ('python', 'sec.tls_disabled', 'security', 'critical', 23),
+  ('python', 'sec.plaintext_transport', 'security', 'medium', 23),
+  ('python', 'debt.magic_number', 'debt', 'low', 19),
+  ('typescript', 'sec.plaintext_transport', 'security', 'medium', 12),
+  ('typescript', 'debt.console_logging', 'debt', 'low', 7),
+  ('typescript', 'debt.magic_number', 'debt', 'low', 12),
+  ('java', 'debt.magic_number', 'debt', 'low', 8),
+  ('go', 'debt.magic_number', 'debt', 'low', 18)
+),
+found AS (
+  SELECT project_id, run_id, path AS file, module, rule, category, severity, CAST(line AS INTEGER) AS line,
+         trim(string_split(text, chr(10))[line]) AS snippet
+  FROM corpus JOIN rule_at USING (lang)
+  WHERE category <> 'security' OR NOT (lang = 'python' AND id % 16 = 8)
+),
+found_n AS (
+  SELECT project_id, file AS path, count(*) AS findings, count(*) FILTER (severity IN ('critical', 'high')) AS risk_findings
+  FROM found GROUP BY ALL
+),
+profiles AS (
+  SELECT project_id, path, module, language, (lang = 'python' AND id % 16 = 8) AS is_test, loc, comment_lines, blank_lines,
+         loc - comment_lines - blank_lines AS code_lines, documented, coalesce(findings, 0) AS findings,
+         coalesce(risk_findings, 0) AS risk_findings, CASE WHEN lang IN ('python', 'typescript') THEN 1 ELSE 0 END AS markers
+  FROM corpus JOIN shape USING (lang) LEFT JOIN found_n USING (project_id, path)
+)"""
+
+
+@query("file_profiles", f"""WITH {SHAPE}
+SELECT project_id, path, module, language, is_test, loc, code_lines, comment_lines, blank_lines,
+       documented AND NOT is_test AS documented, CAST(findings AS INTEGER) AS findings,
+       CAST(risk_findings AS INTEGER) AS risk_findings, markers, 0 AS assertions FROM profiles""")
+def file_profiles(spark, sf):
+    return q.file_profiles(profiled(spark, sf)).select(
+        "project_id", "path", "module", "language", "is_test", "loc", "code_lines", "comment_lines", "blank_lines",
+        "documented", "findings", "risk_findings", "markers", "assertions",
+    )
+
+
+@query("corpus_findings", f"""WITH {SHAPE}
+SELECT project_id, file, rule, category, severity, line,
+       CASE WHEN length(snippet) > 140 THEN substr(snippet, 1, 140) || '…' ELSE snippet END AS snippet FROM found""")
+def corpus_findings(spark, sf):
+    code = corpus.files(spark, sf).filter(F.col("language").isin(*tx.CODE_LANGUAGES))
+    return q.scan_rules(code, PK).drop("run_id")
+
+
+@query("markers_capped", f"""WITH {CORPUS}
+SELECT project_id, path AS file, 'TODO' AS marker, 'tidy ' || noun AS note, 6 AS line FROM corpus WHERE lang = 'python'
+UNION ALL
+SELECT project_id, path, 'FIXME', 'later: ' || noun || ' */', 11 FROM corpus WHERE lang = 'typescript'""")
+def markers_capped(spark, sf):
+    return q.scan_markers(corpus.files(spark, sf).filter(F.col("language").isin(*tx.CODE_LANGUAGES)), PK).drop("run_id")
+
+
+@query("marker_counts", f"""WITH {CORPUS}
+SELECT project_id, CASE lang WHEN 'python' THEN 'TODO' ELSE 'FIXME' END AS marker, count(*) AS n
+FROM corpus WHERE lang IN ('python', 'typescript') GROUP BY ALL""")
+def marker_counts(spark, sf):
+    return q.marker_counts(q.markers_of(profiled(spark, sf)), PK).drop("run_id")
+
+
+@query("quality_totals", f"""WITH {SHAPE}
+SELECT project_id, count(*) AS files, CAST(sum(loc) AS BIGINT) AS loc, CAST(sum(code_lines) AS BIGINT) AS code_lines,
+       CAST(sum(comment_lines) AS BIGINT) AS comment_lines, CAST(sum(blank_lines) AS BIGINT) AS blank_lines,
+       count(*) FILTER (is_test) AS test_files, count(*) FILTER (NOT is_test) AS source_files,
+       CAST(coalesce(sum(loc) FILTER (is_test), 0) AS BIGINT) AS test_loc,
+       CAST(coalesce(sum(loc) FILTER (NOT is_test), 0) AS BIGINT) AS source_loc,
+       count(*) FILTER (documented AND NOT is_test) AS documented_modules
+FROM profiles GROUP BY project_id""")
+def quality_totals(spark, sf):
+    totals = q.quality_totals(q.file_profiles(profiled(spark, sf)), PK)
+    return totals.drop("run_id", "long_lines", "deprecated", "assertions", "huge_files", "large_files")
+
+
+@query("untested_modules", """
+SELECT source AS project_id, lang AS module FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL
+EXCEPT
+SELECT source, lang FROM documents JOIN labels USING (doc_id)""")
+def untested_modules(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("project_id"), F.col("lang").alias("module"))
+    labelled = table(spark, sf, "labels").select("doc_id", F.lit(True).alias("labelled"))
+    rows = docs.join(labelled, "doc_id", "left").withColumn("is_test", F.col("labelled").isNotNull())
+    return q.untested_modules(rows, K, None)
+
+
+@query("untested_rollup", f"""WITH {SHAPE},
+source AS (SELECT DISTINCT project_id, module FROM profiles WHERE NOT is_test),
+tested AS (SELECT DISTINCT project_id, replace(replace(module, '/tests', ''), '/test', '') AS module FROM profiles WHERE is_test)
+SELECT project_id, count(*) AS module_count, count(t.module) AS tested_module_count
+FROM source LEFT JOIN tested t USING (project_id, module) GROUP BY project_id""")
+def untested_rollup(spark, sf):
+    return q.untested_rollup(q.file_profiles(profiled(spark, sf)), PK).drop("run_id")
+
+
+@query("largest_files", """
+SELECT source AS project_id, CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, 'docs/' || doc_id) AS INTEGER) AS rank,
+       'docs/' || doc_id AS path, n_chars AS loc
+FROM documents QUALIFY rank <= 15""")
+def largest_files(spark, sf):
+    docs = table(spark, sf, "documents").select(
+        F.col("source").alias("project_id"), F.concat(F.lit("docs/"), F.col("doc_id").cast("string")).alias("path"),
+        F.lit("").alias("module"), "lang", F.col("lang").alias("language"), F.col("n_chars").alias("loc"),
+        F.lit(False).alias("is_test"),
+    )
+    return q.largest_files(docs, K).select("project_id", "rank", "path", "loc")
+
+
+@query("project_file_flags", f"""WITH {CORPUS}
+SELECT project_id, bool_or(regexp_matches(lower(path), '(^|/)readme(\\.[a-z]+)?$')) AS readme,
+       bool_or(lang IN ('docker', 'compose')) AS containerised, FALSE AS ci, FALSE AS coverage_config
+FROM corpus GROUP BY project_id""")
+def project_file_flags(spark, sf):
+    flags = p.project_file_flags(p.with_infra_kind(corpus.raw_files(spark, sf)), PK)
+    return flags.select("project_id", "readme", "containerised", "ci", "coverage_config")
+
+
+@query("doc_totals", f"""WITH {CORPUS}
+SELECT project_id, count(*) AS doc_pages, CAST(sum(len(regexp_extract_all(text, '{WORD}'))) AS BIGINT) AS doc_words
+FROM corpus WHERE lang = 'markdown' GROUP BY project_id""")
+def doc_totals(spark, sf):
+    return q.doc_totals(corpus.files(spark, sf), PK).drop("run_id")
+
+
+@query("language_mix", f"""WITH {CORPUS},
+typed AS (SELECT project_id, CASE lang WHEN 'docker' THEN 'config' WHEN 'compose' THEN 'yaml' WHEN 'k8s' THEN 'yaml'
+                 WHEN 'npm' THEN 'json' WHEN 'pip' THEN 'config' ELSE lang END AS language FROM corpus),
+counted AS (SELECT project_id, language, count(*) AS files FROM typed GROUP BY ALL)
+SELECT project_id, language, files,
+       CAST(row_number() OVER (PARTITION BY project_id ORDER BY files DESC, language) AS INTEGER) AS rank
+FROM counted QUALIFY rank <= 8""")
+def language_mix(spark, sf):
+    return q.language_mix(corpus.files(spark, sf), PK).drop("run_id")
+
+
+# ---------------------------------------------------------------- integer profile and histogram
+
+
+@query("complexity_profile", """
+WITH per_order AS (SELECT o_orderpriority AS project_id, l_orderkey, count(*) AS v
+                   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+sorted AS (SELECT project_id, list_sort(list(v)) AS vs FROM per_order GROUP BY project_id)
+SELECT project_id, len(vs) AS measured, round_even(list_avg(vs), 2) AS average,
+       vs[CAST(floor(len(vs) / 2) AS BIGINT) + 1] AS median, vs[CAST(floor(len(vs) * 0.9) AS BIGINT) + 1] AS p90,
+       list_max(vs) AS max, CAST(len(list_filter(vs, lambda x: x >= 5)) AS BIGINT) AS over_threshold
+FROM sorted""")
+def complexity_profile(spark, sf):
+    return q.integer_profile(lines_per_order(spark, sf), K, "v", over=5)
+
+
+def lines_per_order(spark, sf):
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("project_id"))
+    counted = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("v"))
+    return counted.join(orders, "l_orderkey").select("project_id", "v")
+
+
+@query("histogram", """
+WITH per_order AS (SELECT o_orderpriority AS project_id, l_orderkey, count(*) AS v
+                   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+b(label, low, high) AS (VALUES ('1-5', 1, 5), ('6-10', 6, 10), ('11-20', 11, 20), ('21-50', 21, 50), ('50+', 51, 1000000))
+SELECT project_id, label, count(*) FILTER (v BETWEEN low AND high) AS count FROM per_order, b GROUP BY ALL""")
+def histogram(spark, sf):
+    return q.histogram(lines_per_order(spark, sf), K, "v")
+
+
+# ---------------------------------------------------------------- file risk over the corpus
+
+RISK = SHAPE + """,
+churned AS (
+  SELECT project_id, path, count(*) AS changes FROM corpus JOIN lineitem ON l_partkey = id GROUP BY ALL
+),
+scored AS (
+  SELECT project_id, path, module, language, is_test, loc, findings, risk_findings, markers, coalesce(changes, 0) AS churn,
+         round_even(risk_findings * 6 + (findings - risk_findings) * 2 + markers + least(loc / 120, 8.0)
+                    + least(coalesce(changes, 0) / 4, 10.0), 1) AS risk
+  FROM profiles LEFT JOIN churned USING (project_id, path)
+)"""
+
+
+def corpus_risk(spark, sf, limit):
+    part_of = corpus.files(spark, sf).select(
+        *PK, "path", F.regexp_extract("path", r"(\d+)\.[a-z]+$", 1).try_cast("bigint").alias("l_partkey")
+    )
+    counted = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("changes"))
+    churn = part_of.join(counted, "l_partkey").select(*PK, "path", "changes")
+    return q.file_risk(q.file_profiles(profiled(spark, sf)), churn, PK, limit)
+
+
+@query("file_risk", f"""WITH {RISK}
+SELECT project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY risk DESC, path) AS INTEGER) AS rank, path, loc,
+       CAST(findings AS INTEGER) AS findings, CAST(risk_findings AS INTEGER) AS risk_findings, markers, churn, risk,
+       CASE WHEN risk >= 25 THEN 'danger' WHEN risk >= 12 THEN 'warning' ELSE 'normal' END AS band
+FROM scored QUALIFY rank <= 50""")
+def file_risk(spark, sf):
+    rows = corpus_risk(spark, sf, 50).withColumn("band", q.risk_band(F.col("risk")))
+    return rows.select("project_id", "rank", "path", "loc", "findings", "risk_findings", "markers", "churn", "risk", "band")
+
+
+@query("hotspot_kpis", f"""WITH {RISK}
+SELECT project_id, count(*) AS files, count(*) FILTER (risk_findings > 0) AS risky_files, count(*) FILTER (is_test) AS test_files
+FROM scored GROUP BY project_id""")
+def hotspot_kpis(spark, sf):
+    return q.hotspot_kpis(corpus_risk(spark, sf, None), PK).drop("run_id")
+
+
+@query("filter_hotspots", f"""WITH {RISK}
+SELECT project_id, path, risk FROM scored WHERE contains(lower(path), 'core') OR contains(lower(module), 'core')
+   OR contains(lower(language), 'core')""")
+def filter_hotspots(spark, sf):
+    return q.filter_hotspots(corpus_risk(spark, sf, None), "Core").select("project_id", "path", "risk")
+
+
+# ---------------------------------------------------------------- excerpts, paths
+
+@query("excerpt_range_join", """
+WITH lines AS (SELECT conv_id, turn + 1 AS line, text FROM conversations),
+marks AS (SELECT DISTINCT conv_id, CASE WHEN line = 1 THEN 0 ELSE line END AS line FROM lines WHERE length(text) % 7 = 0)
+SELECT l.conv_id, m.line AS mark, l.line, substr(l.text, 1, 400) AS content, l.line = m.line AS is_mark
+FROM lines l JOIN marks m ON l.conv_id = m.conv_id
+ AND ((m.line > 0 AND l.line BETWEEN m.line - 1 AND m.line + 1) OR (m.line = 0 AND l.line <= 12))""")
+def excerpt_range_join(spark, sf):
+    turns = table(spark, sf, "conversations").select(
+        "conv_id", (F.col("turn") + 1).alias("line"), F.col("text").alias("content")
+    )
+    flagged = turns.filter(F.char_length("content") % 7 == 0)
+    # the first turn stands for a mark without a line, which shows the head
+    marks = flagged.select("conv_id", F.when(F.col("line") == 1, 0).otherwise(F.col("line")).alias("line")).distinct()
+    return tx.excerpt(turns, marks, ["conv_id"], context=1)
+
+
+@query("layer_classify", """
+WITH toks AS (SELECT page_id, regexp_split_to_array(lower(url), '[/\\\\._-]+') AS t FROM pages)
+SELECT page_id, CASE
+  WHEN list_has_any(t, ['ui','web','frontend','client','views','pages','components','widgets','screens','static','templates']) THEN 'presentation'
+  WHEN list_has_any(t, ['api','controllers','controller','routes','route','endpoints','handlers','resources','rest','graphql','rpc','grpc']) THEN 'api'
+  WHEN list_has_any(t, ['application','usecases','use_cases','commands','queries','workflows','orchestration','jobs','tasks']) THEN 'application'
+  WHEN list_has_any(t, ['domain','core','business','services','service','logic','model','models','entities','engine']) THEN 'domain'
+  WHEN list_has_any(t, ['data','dal','repository','repositories','persistence','storage','store','db','database','migrations','orm','dao']) THEN 'data'
+  WHEN list_has_any(t, ['infra','infrastructure','config','configuration','common','shared','utils','util','helpers','lib','internal','platform','security','logging','deploy','scripts','build']) THEN 'infrastructure'
+  ELSE 'unassigned' END AS layer
+FROM toks""")
+def layer_classify(spark, sf):
+    return table(spark, sf, "pages").select("page_id", p.classify_layer(F.col("url")).alias("layer"))
+
+
+@query("path_facts", f"""WITH {CORPUS}
+SELECT path, module, CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '(root)' END AS top_package,
+       (lang = 'python' AND id % 16 = 8) AS is_test,
+       CASE lang WHEN 'docker' THEN 'docker' WHEN 'compose' THEN 'compose' WHEN 'npm' THEN 'npm' WHEN 'pip' THEN 'pip' ELSE '' END AS infra_kind
+FROM corpus""")
+def path_facts(spark, sf):
+    return corpus.files(spark, sf).select(
+        "path", "module", "top_package", p.is_test_file(F.col("path")).alias("is_test"), "infra_kind"
+    )
+
+
+@query("select_files", f"""WITH {CORPUS}
+SELECT project_id, path, length(text) AS size FROM corpus
+WHERE NOT path LIKE '%/schema/%' AND path LIKE 'svc1/%'
+QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY path) <= 40""")
+def select_files(spark, sf):
+    from archspark.sources.tree import select_files as choose
+
+    raw = corpus.raw_files(spark, sf).select("project_id", "run_id", "path", F.char_length("text").cast("bigint").alias("size"))
+    return choose(raw, PK, include=["svc1/*"], exclude=["**/schema/**"], max_files=40).select("project_id", "path", "size")
