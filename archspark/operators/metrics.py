@@ -130,8 +130,10 @@ def abstraction_ratio(nodes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame
 
 def average_instability(coupling_rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Mean over the shown coupling list, summed as decimals so that row order cannot move it."""
-    total = F.sum(F.col("instability").cast("decimal(18,3)")).cast("double")
-    return coupling_rows.groupBy(*keys).agg(half_even(total / F.count("*"), 3).alias("average_instability"))
+    mean = F.sum(F.col("instability").cast("decimal(18,3)")).cast("double") / F.count("*")
+    return coupling_rows.groupBy(*keys).agg(
+        F.bround(mean.cast("decimal(18,9)"), 3).cast("double").alias("average_instability")
+    )
 
 
 def layer_summary(nodes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
