@@ -200,7 +200,7 @@ def resolve_symbols(
         F.inline(_level_keys(blankless("file"), blankless("module"), blankless("language"), pools, F.col("name_lc"))),
     )
     slot = [*keys, "pool", "level", "name_lc", "k_file", "k_module", "k_language"]
-    best = top_k(offered, slot, [F.col("degree"), F.desc("node_id")], 2).groupBy(*slot).agg(
+    best = top_k(offered, slot, [F.col("degree"), F.col("node_id")], 2).groupBy(*slot).agg(
         F.array_sort(F.collect_list(F.struct("degree", F.col("node_id")))).alias("best")
     )
     count = symbols.groupBy(*keys, "name_lc").agg(F.count("*").alias("candidates"))

@@ -232,6 +232,8 @@ def _templates() -> list[tuple[str, str, str]]:
 def raw_files(spark: SparkSession, sf: str) -> DataFrame:
     """project_id, run_id, path, text as a source tree scan would give them."""
     base = spark.sql(BASE, part=table(spark, sf, "part"))
+    # one key becomes a whole text: spread the keys before they grow
+    base = base.repartition(max(spark.sparkContext.defaultParallelism, 1), "id")
     templates = spark.createDataFrame(_templates(), "lang string, path string, text string")
     rows = base.join(F.broadcast(templates), "lang")  # a fixed table of 13 rows
     path = F.when(F.expr(IS_TEST), F.lit(TEST_PATH)).otherwise(F.col("path"))
