@@ -6,6 +6,7 @@ repeat the parsing.
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archspark.operators import graph as g
@@ -14,6 +15,7 @@ from archspark.operators.extract import brace, facts, infra, python_source, sql
 from archspark.queries import corpus
 from archspark.queries.registry import query, table
 from archspark.schema import KEYS
+from archspark.session import cut_lineage
 
 PK = list(KEYS)
 K = ["project_id"]
@@ -25,8 +27,19 @@ def fact_rows(spark, sf):
     return facts.all_facts(corpus.files(spark, sf), PK)
 
 
+_staged: dict[tuple[str, str], DataFrame] = {}
+
+
 def code_graph(spark, sf):
-    return facts.graph_of(fact_rows(spark, sf), PK)
+    """Graph tables of the corpus.
+
+    The fact rows feed a dozen explodes and many queries: they are staged once per
+    session, as a job would write them, instead of parsing again for each.
+    """
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _staged:
+        _staged[at] = cut_lineage(fact_rows(spark, sf))
+    return facts.graph_of(_staged[at], PK)
 
 
 IMPORTS = CORPUS + """,
@@ -214,7 +227,7 @@ def extraction_warnings(spark, sf):
         F.lit("python").alias("language"), "text",
     )
     rows = python_source.python_facts(docs, PK)
-    return facts.extraction_warnings(facts.graph_of(rows, PK).warnings, PK).drop("run_id")
+    return facts.extraction_warnings(facts.graph_of(cut_lineage(rows), PK).warnings, PK).drop("run_id")
 
 
 @query("extract_ddl_columns", f"""WITH {CORPUS}
