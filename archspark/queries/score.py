@@ -145,8 +145,8 @@ def strengths(spark, sf):
 
 
 @query("weights", """
-WITH raw AS (SELECT n_nationkey AS project_id, c.category, c.w FROM nation, (VALUES ('architecture', 0), ('security', 1), ('testing', 2)) AS c(category, i),
-             LATERAL (SELECT CASE WHEN (n_nationkey + i) % 3 = 0 THEN 'bad' ELSE CAST((n_nationkey + i) % 5 AS VARCHAR) END AS w)),
+WITH raw AS (SELECT n_nationkey AS project_id, category, CASE WHEN (n_nationkey + i) % 3 = 0 THEN 'bad' ELSE CAST((n_nationkey + i) % 5 AS VARCHAR) END AS w
+             FROM nation, (VALUES ('architecture', 0), ('security', 1), ('testing', 2)) AS c(category, i)),
 base(category, base) AS (VALUES ('architecture', 0.20), ('security', 0.20), ('code_quality', 0.15), ('maintainability', 0.12), ('testing', 0.12),
      ('documentation', 0.08), ('performance', 0.08), ('technical_debt', 0.05)),
 v AS (SELECT n_nationkey AS project_id, b.category, greatest(0.0, least(1.0, coalesce(TRY_CAST(raw.w AS DOUBLE), b.base::DOUBLE))) AS w
@@ -180,13 +180,13 @@ def runs(spark, sf):
 
 
 RUNS = """runs AS (
-  SELECT c_nationkey AS project_id, date_trunc('month', o_orderdate) AS at, count(*) % 101 AS overall,
+  SELECT c_nationkey AS project_id, date_trunc('month', o_orderdate) AS started, count(*) % 101 AS overall,
          strftime(date_trunc('month', o_orderdate), '%Y-%m') AS run_id, CASE WHEN month(date_trunc('month', o_orderdate)) = 2 THEN 'failed' ELSE 'succeeded' END AS status
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"""
 
 
 @query("score_trend", f"""WITH {RUNS},
-p AS (SELECT *, CAST(row_number() OVER (PARTITION BY project_id ORDER BY at) AS INTEGER) AS point FROM runs WHERE status = 'succeeded' QUALIFY point <= 30)
+p AS (SELECT *, CAST(row_number() OVER (PARTITION BY project_id ORDER BY started) AS INTEGER) AS point FROM runs WHERE status = 'succeeded' QUALIFY point <= 30)
 SELECT project_id, run_id, point, overall, CASE WHEN count(*) OVER w >= 2 THEN last(overall ORDER BY point) OVER w - first(overall ORDER BY point) OVER w END AS delta
 FROM p WINDOW w AS (PARTITION BY project_id)""")
 def score_trend(spark, sf):
@@ -198,7 +198,7 @@ def latest_run(spark, sf):
     return sc.latest_run(runs(spark, sf)).select("project_id", "run_id")
 
 
-@query("recent_runs", f"WITH {RUNS}, o AS (SELECT project_id || '-' || run_id AS run_id, at FROM runs) SELECT run_id FROM o ORDER BY at DESC, run_id DESC LIMIT 50")
+@query("recent_runs", f"WITH {RUNS}, o AS (SELECT project_id || '-' || run_id AS run_id, started FROM runs) SELECT run_id FROM o ORDER BY started DESC, run_id DESC LIMIT 50")
 def recent_runs(spark, sf):
     rows = runs(spark, sf).withColumn("run_id", F.concat(F.col("project_id").cast("string"), F.lit("-"), F.col("run_id")))
     return sc.recent_runs(rows).select("run_id")
