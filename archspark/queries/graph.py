@@ -375,7 +375,7 @@ def ranked(spark, sf):
     )
     # the heaviest of parallel sales stands for all
     sold = sold.groupBy(*K, "source", "target", "kind", "label").agg(F.max("weight").alias("weight")).withColumn("attr", F.create_map().cast("map<string,string>"))
-    return nodes, it.pagerank(nodes, edges.unionByName(sold), K, max_iterations=ROUNDS, tolerance=0.0, check_every=4)
+    return nodes, it.pagerank(nodes, edges.unionByName(sold), K, max_iterations=ROUNDS, tolerance=0.0)
 
 
 @query("pagerank", f"WITH {pagerank_sql()} SELECT project_id, id, round_even(rank, 8) AS rank FROM r{ROUNDS}")

@@ -33,18 +33,18 @@ def parse_commit_log(records: DataFrame, keys=KEYS) -> DataFrame:
     Records with fewer than five header fields are dropped.
     """
     lines = F.split("record", LINE_BREAK)
-    parts = F.split(lines.getItem(0), FIELD)
+    parts = F.split(F.get(lines, F.lit(0)), FIELD)
     files = F.filter(
         F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), F.trim), lambda x: x != ""
     )
     return records.filter((F.col("record") != "") & (F.size(parts) >= 5)).select(
         *keys,
         *[c for c in ("seq",) if c in records.columns],
-        parts.getItem(0).alias("sha"),
-        parts.getItem(1).alias("author"),
-        parts.getItem(2).alias("email"),
-        _epoch(parts.getItem(3)).alias("ts"),
-        F.substring(parts.getItem(4), 1, 200).alias("subject"),
+        F.get(parts, F.lit(0)).alias("sha"),
+        F.get(parts, F.lit(1)).alias("author"),
+        F.get(parts, F.lit(2)).alias("email"),
+        _epoch(F.get(parts, F.lit(3))).alias("ts"),
+        F.substring(F.get(parts, F.lit(4)), 1, 200).alias("subject"),
         files.alias("files"),
     )
 
@@ -55,13 +55,13 @@ def parse_commit_dag(records: DataFrame, keys=KEYS) -> DataFrame:
     return records.filter((F.col("record") != "") & (F.size(parts) >= 7)).select(
         *keys,
         *[c for c in ("seq",) if c in records.columns],
-        parts.getItem(0).alias("sha"),
-        F.filter(F.split(parts.getItem(1), r"\s+"), lambda x: x != "").alias("parents"),
-        parts.getItem(2).alias("author"),
-        parts.getItem(3).alias("email"),
-        _epoch(parts.getItem(4)).alias("ts"),
-        parts.getItem(5).alias("decoration"),
-        F.substring(parts.getItem(6), 1, 200).alias("subject"),
+        F.get(parts, F.lit(0)).alias("sha"),
+        F.filter(F.split(F.get(parts, F.lit(1)), r"\s+"), lambda x: x != "").alias("parents"),
+        F.get(parts, F.lit(2)).alias("author"),
+        F.get(parts, F.lit(3)).alias("email"),
+        _epoch(F.get(parts, F.lit(4))).alias("ts"),
+        F.get(parts, F.lit(5)).alias("decoration"),
+        F.substring(F.get(parts, F.lit(6)), 1, 200).alias("subject"),
     )
 
 

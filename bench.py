@@ -9,7 +9,7 @@ import time
 
 HEADLINE = (
     "file_churn_hotspots", "component_churn", "co_change_pairs", "activity_by_month", "line_profile", "scan_rules",
-    "module_edges", "coupling", "hub_nodes", "layering_violations", "merge_edges", "pagerank", "bounded_cycles",
+    "module_edges", "coupling", "hub_nodes", "layering_violations", "merge_edges", "pagerank",
     "ranked_match", "category_scores", "diff_edges", "rewrite_lines", "file_profiles",
 )
 
@@ -27,6 +27,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        print(name, times[name], file=sys.stderr, flush=True)
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     print(json.dumps({"metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf}))
 
