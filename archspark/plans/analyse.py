@@ -50,11 +50,15 @@ class Stages:
         return back.select(*df.columns)
 
 
-def enrich(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = KEYS) -> tuple[DataFrame, DataFrame]:
-    """Layers, components, services, derived reads, the user, and state machines."""
-    nodes = g.assign_layers(nodes, edges, keys)
+def enrich(nodes: DataFrame, edges: DataFrame, stage: Stages, keys: Sequence[str] = KEYS) -> tuple[DataFrame, DataFrame]:
+    """Layers, components, services, derived reads, the user, and state machines.
+
+    Each step reads the nodes of the one before several times, so they are staged.
+    """
+    nodes = stage(g.assign_layers(nodes, edges, keys), "layered_nodes")
     components, contains = g.build_components(nodes, edges, keys)
-    nodes = g.merge_nodes(nodes, components, keys=keys)
+    components, contains = stage(components, "components"), stage(contains, "component_edges")
+    nodes = stage(g.merge_nodes(nodes, components, keys=keys), "component_nodes")
     lifted = g.lift_edges(edges, nodes, nodes.filter(F.col("kind") == "component"), keys)
     nodes, deploys = g.mark_services(nodes, keys)
     actor, actor_edges = g.derive_actor(nodes, keys)
@@ -75,7 +79,7 @@ def analyse(
     ext_nodes, resolved, resolution = rs.resolve_all(nodes, edges, stage(raw.refs, "refs"), keys)
     nodes = stage(g.merge_nodes(nodes, ext_nodes, keys=keys), "named_nodes")
     edges = stage(g.merge_edges(edges, g.link(resolved, nodes, keys), keys=keys), "resolved_edges")
-    nodes, edges = enrich(nodes, edges, keys)
+    nodes, edges = enrich(nodes, edges, stage, keys)
     nodes, edges = stage(nodes, "enriched_nodes"), stage(edges, "edges")
 
     profiled = stage(q.profile_files(files, keys), "profiled")
