@@ -8,11 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from archspark.llm.common import shared_folder
 from archspark.llm.decontamination import contaminate
+from archspark.llm.licences import scan_licences, shipped
 from archspark.llm.mixing import mix_sources
+from archspark.llm.mtree import top_inner_products
+from archspark.llm.quality import quality_scores
 from archspark.llm.simhash import near_duplicates
+from archspark.llm.surrogates import replace_entities
 from archspark.llm.tokens import token_corpus
 from archspark.llm.toxicity import fit_toxicity, held_out
+from archspark.llm.warc import read_archives, write_archives
 from archspark.queries.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +44,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query("op1_keyed_surrogates")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = os.environ.get("ARCHSPARK_PII_KEY", "key of this deployment")
+    done = replace_entities(table(spark, sf_dir, "documents"), key)
+    return done.select(F.col("id").alias("doc_id"), "text", "n_entities", F.array_join("kinds", ",").alias("kinds"))
+
+
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source IS NULL AS lacks, coalesce(source, '') AS src,
@@ -105,7 +118,47 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_splittable_warc")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, folder = table(spark, sf_dir, "pages"), shared_folder(spark, "warc")
+    records = read_archives(spark, folder, write_archives(pages, folder))
+    return records.select(
+        F.col("page").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+@query("op7_licence_digests")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licences(table(spark, sf_dir, "documents"), shipped(spark))
+    return found.select(F.col("id").alias("doc_id"), "digest", "licence", F.array_join("notices", ",").alias("notices"))
+
+
+TOP_SQL = """
+WITH w AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([t[1] * t[2] FOR t IN list_zip(q.v, c.v)]) AS BIGINT) AS score
+      FROM w q JOIN w c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+"""
+
+
+@query("op8_mtree_topk", TOP_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 @query("op9_vantage_simhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = near_duplicates(table(spark, sf_dir, "documents"))
     return near.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op10_weak_label_quality")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_scores(table(spark, sf_dir, "documents"))
+    return judged.select(F.col("id").alias("doc_id"), F.col("pattern").alias("votes"), "posterior", "score", "keep")
