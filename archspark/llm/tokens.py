@@ -18,6 +18,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+import string
 import struct
 import uuid
 import zlib
@@ -33,18 +34,27 @@ from archspark.llm.rans import BLOCK, Table, decode_block, encode_block
 
 MAGIC = b"ATOK0001"
 END_ID = 0
-CACHE_WORDS = 400_000
+CACHE_WORDS = 900_000
 FILE_BYTES = 24 << 20
 #: A single space between two other characters: the byte-level pre-tokenizer always cuts before it.
 _CUT = re.compile(r"(?<=\S) (?=\S)").split
-_ODD = re.compile(r"\s\s|^\s|\s$|[^\S ]").search
+_ODD = re.compile(r" \s|\s |^ | $").search
+_MARKS = "".join(c for c in string.punctuation if c != "'")  # an apostrophe may begin a token with letters
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter for each byte: printable Latin-1 stands for itself, the others follow from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 class WordEncoder:
     """Ids of whole texts from ids of words, for byte-level BPE files whose pre-tokenizer cuts before single spaces.
 
-    Each word keeps the space before it, so no merge crosses a cut and the ids are those of the whole text.
-    New words of a batch are encoded together and told apart by their first token, which begins with the space.
+    Each word keeps the space before it, so no merge crosses a cut and the ids are those of the whole text. Letters followed by
+    marks, and lines that meet in a word, are cut there as the pre-tokenizer does, and the pieces go to the library's merges at
+    once; anything else goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -55,37 +65,63 @@ class WordEncoder:
         self.size = self.tokenizer.get_vocab_size()
         if self.size > 1 << 16:
             raise ValueError("ids must fit 16 bits")
+        self.merges = self.tokenizer.model.tokenize
+        self.letters = byte_letters()
         self.cache: dict[str, bytes] = {}
-        self.spaced = np.zeros(self.size, bool)
-        for token, number in self.tokenizer.get_vocab().items():
-            self.spaced[number] = token.startswith("Ġ")
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, np.uint16).tobytes() for e in done]
-
-    def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, np.uint16)
-            starts = np.flatnonzero(self.spaced[ids])
-            if len(starts) == len(part):
-                data, cuts = ids.tobytes(), [*(starts * 2).tolist(), 2 * len(ids)]
-                self.cache.update((w, data[a:b]) for w, a, b in zip(part, cuts, cuts[1:]))
-            else:
-                self.cache.update(zip(part, self._whole([" " + w for w in part])))
+
+    def _merged(self, piece: str) -> bytes:
+        ids = [t.id for t in self.merges(piece.encode().decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}H", *ids)
+
+    def _known(self, piece: str) -> bytes:
+        """Ids of a piece that the pre-tokenizer leaves whole."""
+        found = self.cache.get(key := piece[1:] if piece[0] == " " else "\n" + piece)
+        if found is None:
+            found = self.cache[key] = self._merged(piece)
+        return found
+
+    def _line(self, line: str) -> bytes | None:
+        """A space or nothing, letters, and marks or nothing; None for anything else."""
+        core = line.rstrip(_MARKS)
+        letters = core.removeprefix(" ")
+        if not letters and len(line) > len(core):
+            return self._known(line)
+        if not letters.isalpha():
+            return None
+        return self._known(core) if len(core) == len(line) else self._known(core) + self._known(line[len(core) :])
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of text without blanks but a first space."""
+        parts = [self._line(x) if x else None for x in chunk.split("\n")]
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, np.uint16).tobytes() if None in parts else self._known("\n").join(parts)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a space and the word."""
+        if word.isalpha():
+            out = self._merged(" " + word)
+        elif (core := word.rstrip(_MARKS)).isalpha():
+            out = self._known(" " + core) + self._known(word[len(core) :])
+        else:
+            out = self._chunk(" " + word)
+            if "\n" in word:  # lines meet in endless ways
+                return out
+        self.cache[word] = out
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         pieces = [_CUT(t) if _ODD(t) else t.split(" ") for t in texts]
-        cache = self.cache
-        new = {w for p in pieces for w in p[1:] if w not in cache}
-        if new:
-            self._learn(list(new))
-        heads = self._whole([p[0] for p in pieces])
-        return [head + b"".join(map(cache.__getitem__, p[1:])) for head, p in zip(heads, pieces)]
+        out, get = [], self.cache.get
+        for words in pieces:
+            found = list(map(get, words))
+            found[0] = self._chunk(words[0]) if words[0] else b""
+            if None in found:
+                word = self._word
+                found = [get(w) or word(w) if b is None else b for b, w in zip(found, words)]
+            out.append(b"".join(found))
+        return out
 
 
 @functools.cache
@@ -104,7 +140,7 @@ def tokenise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        pack = zstandard.ZstdCompressor(3).compress
+        pack = zstandard.ZstdCompressor(1).compress
         end = np.array([END_ID], np.uint16).tobytes()
         for part in slices(batches):
             coded = [b + end for b in encoder(path).encode([t or "" for t in part.column(1).to_pylist()])]
@@ -127,10 +163,7 @@ def count_ids(ids: DataFrame, size: int) -> np.ndarray:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for part in slices(batches):
-            for own in unpacked(part.column(0)):
-                total += np.bincount(own, minlength=size) if len(own) > size else 0
-                if len(own) <= size:
-                    np.add.at(total, own, 1)
+            total += np.bincount(np.concatenate(unpacked(part.column(0))), minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["token", "n"])
 
@@ -227,7 +260,8 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame, id_t
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     runs = manifest.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
     runs = runs.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1, F.lit(run_blocks).cast("long"))))
-    runs = runs.select("name", "size", "base", "first").repartition("name", "first")
+    n = manifest.agg(F.sum(F.ceil(F.col("blocks") / run_blocks))).first()[0] or 1  # tasks; else adaptive execution joins small rows
+    runs = runs.select("name", "size", "base", "first").repartitionByRange(n, "name", "first")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_fs(folder)

@@ -185,7 +185,8 @@ def read_archives(spark: SparkSession, folder: str, files: DataFrame, range_byte
     ``files`` has name and size. A payload that doesn't match its digest is an error.
     """
     starts = F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))
-    ranges = files.filter("size > 0").select("name", "size", F.explode(starts).alias("first")).repartition("name", "first")
+    n = files.agg(F.sum(F.ceil(F.col("size") / range_bytes))).first()[0] or 1  # tasks; else adaptive execution joins small rows
+    ranges = files.filter("size > 0").select("name", "size", F.explode(starts).alias("first")).repartitionByRange(n, "name", "first")
     names = ["page", "url", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest"]
     types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string()]
 
