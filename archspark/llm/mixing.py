@@ -43,11 +43,11 @@ def source_targets(sizes: DataFrame, weights: Column, max_repeat: float = 3.0) -
     everything = Window.partitionBy()
     t = sizes.withColumn("ordinal", F.row_number().over(order) - 1).withColumn("weight", weights.cast("double"))
     t = t.withColumn("_limit", F.col("source_size") * F.lit(float(max_repeat)))
-    t = t.withColumn("_ratio", F.col("_limit") / F.col("weight"))
+    t = t.withColumn("_ratio", F.try_divide("_limit", "weight"))
     t = (
         t.withColumn("_left", F.sum("source_size").over(everything) - F.coalesce(F.sum("_limit").over(before), F.lit(0.0)))
         .withColumn("_weights", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("_level", F.col("_left") / F.col("_weights"))
+        .withColumn("_level", F.try_divide("_left", "_weights"))
     )
     level = F.max(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(everything)
     t = t.withColumn("target", F.least(F.col("_limit"), F.coalesce(level * F.col("weight"), F.col("_limit"))))
@@ -129,7 +129,7 @@ def mix_sources(
     sizes = sized.groupBy("no_source", "source").agg(F.sum("size").alias("source_size"))
     weights = F.element_at(F.array(*[F.lit(float(c)) for c in cycle]), F.col("ordinal") % len(cycle) + 1)
     targets = source_targets(sizes, weights, max_repeat)
-    expected = F.round(F.col("target") / F.col("source_size") * UNIT).cast("long")
+    expected = F.round(F.try_divide("target", "source_size") * UNIT).cast("long")
     rows = sized.join(targets, ["no_source", "source"]).withColumn("expected", F.coalesce(expected, F.lit(0)))
     rows = rows.select("id", "no_source", "source", "size", "source_size", "target", "expected")
     return systematic_sample(rows, seed).select(

@@ -45,10 +45,11 @@ def measures(text: str) -> dict[str, float]:
     n = max(1, len(words))
     chars = max(1, sum(map(len, words)))
     letters = sum(map(str.isalpha, text))
+    plain = sum(map(str.isalnum, text))
     lines = [x.strip() for x in text.split("\n") if x.strip()]
     return {
         "words": len(words),
-        "letters": letters / chars,
+        "letters": plain / chars,
         "capitals": sum(map(str.isupper, text)) / max(1, letters),
         "marked": sum(1 for w in words if len(w) > 2 and not w[-1].isalnum() and w[-1] == w[-2]) / n,
         "bars": sum(w in ("|", "»", "·", ">", "•") for w in words) / n,
@@ -117,12 +118,11 @@ class LabelModel:
 
 
 def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, smooth: float = 1.0) -> LabelModel:
-    """Expectation-maximisation from the majority vote; a bad vote weighs double as labellers speak up for few faults."""
+    """Expectation-maximisation; the start takes any bad vote as a fault, since each labeller knows few of them."""
     k = patterns.shape[1] if len(patterns) else len(LABELLERS)
     if not len(patterns):
         return LabelModel(0.5, np.ones((k, 2, 3)))
-    good = (patterns == 1).sum(axis=1) - 3.0 * (patterns == 0).sum(axis=1)
-    p = 1 / (1 + np.exp(-good))
+    p = np.where((patterns == 0).any(axis=1), 0.1, 0.9)
     model = LabelModel(0.5, np.ones((k, 2, 3)))
     for _ in range(rounds):
         weight = np.stack([counts * (1 - p), counts * p], axis=1)
