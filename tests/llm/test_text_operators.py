@@ -96,7 +96,7 @@ def test_quality(docs_of):
     word = lambda: rng.choice(["the", "of", "and", "is", *(f"{a}{b}" for a in ("sto", "ri", "wal", "hou", "tre") for b in ("ne", "ver", "king", "se", "ading"))])
     sentence = lambda: " ".join(word() for _ in range(12)).capitalize() + "."
     good = [(i, " ".join(sentence() for _ in range(6))) for i in range(120)]
-    bad = [(500 + i, [" | ".join(word() for _ in range(40)), sentence().upper() * 4, "spam " * 60, "%%% ".join(word() for _ in range(50))][i % 4]) for i in range(40)]
+    bad = [(500 + i, [" | ".join(word() for _ in range(40)), sentence().upper().replace(" ", "!! ") * 4, "spam " * 60, "%%% ".join(word() for _ in range(50))][i % 4]) for i in range(40)]
     rows = [*good, *bad, (900, None), (901, ""), (902, good[0][1]), (902, good[0][1]), (None, good[1][1]), (903, "word " * 200_000)]
     got = quality_scores(docs_of(rows))
     kept = {r["id"]: r["keep"] for r in got.collect()}
