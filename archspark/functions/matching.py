@@ -93,14 +93,14 @@ FIELD = (
 )
 
 
-def calls(body: Column, limit: int) -> Column:
-    """Callee names of the first ``limit`` distinct (receiver, callee) pairs."""
+def calls(body: Column) -> Column:
+    """Callee names of the distinct (receiver, callee) pairs."""
     pairs = F.transform(
         F.regexp_extract_all(body, F.lit(CALL), F.lit(0)),
         lambda c: F.struct(group(c, CALL, 1).alias("receiver"), group(c, CALL, 2).alias("callee")),
     )
     real = F.filter(pairs, lambda p: ~p["callee"].isin(*CONTROL_WORDS) & (F.char_length(p["callee"]) >= 3))
-    return F.transform(F.slice(F.array_distinct(real), 1, limit), lambda p: p["callee"])
+    return F.transform(F.array_distinct(real), lambda p: p["callee"])
 
 
 def visibility_of(modifiers: Column, default: str) -> Column:
@@ -161,7 +161,7 @@ def type_names(raw: Column) -> Column:
     return F.transform(kept, lambda n: F.element_at(F.split(n, r"\."), -1))
 
 
-def methods(body: Column, default: str, limit: int = 40) -> Column:
+def methods(body: Column, default: str) -> Column:
     """Method structs of a body, first of each name."""
     rows = F.transform(
         F.regexp_extract_all(body, F.lit(METHOD), F.lit(0)),
@@ -176,12 +176,12 @@ def methods(body: Column, default: str, limit: int = 40) -> Column:
         ),
     )
     real = F.filter(rows, lambda r: ~r["name"].isin(*CONTROL_WORDS) & ~r["ret"].isin(*CONTROL_WORDS) & (r["ret"] != ""))
-    kept = F.slice(first_by(real, "name"), 1, limit)
+    kept = first_by(real, "name")
     return F.transform(kept, lambda r: F.struct(*[r[c].alias(c) for c in (
         "name", "visibility", "returns", "params", "is_static", "is_abstract", "is_async")]))
 
 
-def fields(body: Column, default: str = "private", limit: int = 40) -> Column:
+def fields(body: Column, default: str = "private") -> Column:
     """Property structs of a body, first of each name."""
     rows = F.transform(
         F.regexp_extract_all(body, F.lit(FIELD), F.lit(0)),
@@ -190,7 +190,7 @@ def fields(body: Column, default: str = "private", limit: int = 40) -> Column:
             visibility_of(group(m, FIELD, 1), default).alias("visibility"),
         ),
     )
-    return F.slice(first_by(rows, "name"), 1, limit)
+    return first_by(rows, "name")
 
 
 def hints(names: Column, table: Sequence[tuple[str, str, str]], how: str = "contains") -> Column:

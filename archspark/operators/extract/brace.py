@@ -143,7 +143,7 @@ def _web_members(body: Column) -> Column:
         (mt.group(m, WEB_MEMBER, 3) != "").alias("call"), F.trim(mt.group(m, WEB_MEMBER, 4)).alias("type"),
     ))
     real = F.filter(rows, lambda r: ~r["name"].isin(*WEB_NOT_MEMBERS))
-    return F.slice(mt.first_by(real, "name"), 1, 40)
+    return mt.first_by(real, "name")
 
 
 def _web_visibility(modifier: Column) -> Column:
@@ -180,7 +180,7 @@ def web_facts(files: DataFrame, keys: Sequence[str]) -> DataFrame:
         return _type(
             name, F.lit("class"), b["line"], stereotype=low,
             bases=F.concat(_bases(mt.type_names(extends), "inherits"), _bases(mt.type_names(implements), "implements")),
-            composes=F.filter(bare, mt.starts_upper), calls=mt.calls(b["body"], 40), methods=methods, properties=properties,
+            composes=F.filter(bare, mt.starts_upper), calls=mt.calls(b["body"]), methods=methods, properties=properties,
         )
 
     def interface_of(row: Column) -> Column:
@@ -193,7 +193,7 @@ def web_facts(files: DataFrame, keys: Sequence[str]) -> DataFrame:
     def enum_of(h: Column) -> Column:
         members = F.transform(F.split(mt.group(h["match"], WEB_ENUM, 2), ","), lambda m: F.trim(F.element_at(F.split(F.trim(m), "="), 1)))
         return _type(mt.group(h["match"], WEB_ENUM, 1), F.lit("enum"), h["line"],
-                     members=F.slice(F.filter(members, lambda m: m != ""), 1, 40))
+                     members=F.filter(members, lambda m: m != ""))
 
     def function_of(pattern: str):
         def build(h: Column) -> Column:
@@ -304,7 +304,7 @@ def jvm_facts(files: DataFrame, keys: Sequence[str]) -> DataFrame:
         members = F.when(kind == "enum", F.regexp_extract_all(r["body"], F.lit(r"(?m)^\s*([A-Z][A-Z0-9_]*)\s*[,;=]"), F.lit(1)))
         return _type(
             r["name"], kind, r["line"], qualified=full(r["name"]), stereotype=r["stereotype"], bases=bases,
-            composes=F.filter(parts, mt.starts_upper), calls=mt.calls(r["body"], 60), methods=r["methods"],
+            composes=F.filter(parts, mt.starts_upper), calls=mt.calls(r["body"]), methods=r["methods"],
             properties=r["properties"], members=F.coalesce(members, _strings()), is_orm=r["stereotype"] == "entity",
         )
 
@@ -372,8 +372,8 @@ def go_facts(files: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     def struct_of(b: Column) -> Column:
         name = mt.group(b["header"], GO_STRUCT, 1)
-        fields = F.slice(F.transform(F.regexp_extract_all(b["body"], F.lit(GO_FIELD), F.lit(0)), lambda m: _property(
-            mt.group(m, GO_FIELD, 1), mt.group(m, GO_FIELD, 2), F.lit("public"))), 1, 30)
+        fields = F.transform(F.regexp_extract_all(b["body"], F.lit(GO_FIELD), F.lit(0)), lambda m: _property(
+            mt.group(m, GO_FIELD, 1), mt.group(m, GO_FIELD, 2), F.lit("public")))
         parts = F.transform(fields, lambda p: F.element_at(F.split(F.regexp_replace(p["type"], r"^[*\[\]]+", ""), r"\."), -1))
         return _type(name, F.lit("struct"), b["line"], stereotype=first_match(F.lower(name), GO_RUST_STEREOTYPES),
                      composes=F.filter(parts, mt.starts_upper), properties=fields)
@@ -390,7 +390,7 @@ def go_facts(files: DataFrame, keys: Sequence[str]) -> DataFrame:
         return _function(
             name, b["line"], qualified=F.concat("module", F.lit("."), owner, F.lit("."), name), owner=_in_module(owner),
             params=F.expr("cast(array() as array<struct<name:string,type:string>>)"),
-            returns=F.trim(mt.group(b["header"], GO_METHOD, 4)), visibility=visible(name), calls=mt.calls(b["body"], 25))
+            returns=F.trim(mt.group(b["header"], GO_METHOD, 4)), visibility=visible(name), calls=mt.calls(b["body"]))
 
     def late_of(b: Column) -> Column:
         name = mt.group(b["header"], GO_METHOD, 2)
@@ -433,9 +433,9 @@ def rust_facts(files: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     def struct_of(b: Column) -> Column:
         name = mt.group(b["header"], RS_STRUCT, 1)
-        fields = F.slice(F.transform(F.regexp_extract_all(b["body"], F.lit(RS_FIELD), F.lit(0)), lambda m: _property(
+        fields = F.transform(F.regexp_extract_all(b["body"], F.lit(RS_FIELD), F.lit(0)), lambda m: _property(
             mt.group(m, RS_FIELD, 2), F.regexp_replace(F.trim(mt.group(m, RS_FIELD, 3)), ",+$", ""),
-            F.when(mt.group(m, RS_FIELD, 1) != "", "public").otherwise("private"))), 1, 30)
+            F.when(mt.group(m, RS_FIELD, 1) != "", "public").otherwise("private")))
         tokens = F.flatten(F.transform(fields, lambda p: F.filter(
             F.split(F.regexp_replace(p["type"], r"[<>&\s]", " "), " +"), lambda t: t != "")))
         parts = F.filter(F.transform(tokens, last), lambda t: mt.starts_upper(t) & ~t.isin(*RS_WRAPPERS))
@@ -445,7 +445,7 @@ def rust_facts(files: DataFrame, keys: Sequence[str]) -> DataFrame:
     def enum_of(b: Column) -> Column:
         members = F.transform(F.filter(F.split(b["body"], ","), lambda m: mt.starts_upper(F.regexp_replace(m, r"^\s+", ""))),
                               lambda m: F.element_at(F.split(F.regexp_replace(m, r"^\s+|\s+$", ""), r"\("), 1))
-        return _type(mt.group(b["header"], RS_ENUM, 1), F.lit("enum"), b["line"], members=F.slice(members, 1, 40))
+        return _type(mt.group(b["header"], RS_ENUM, 1), F.lit("enum"), b["line"], members=members)
 
     names = lambda b: F.regexp_extract_all(b["body"], F.lit(RS_FN), F.lit(1))
 
@@ -515,13 +515,13 @@ def c_facts(files: DataFrame, keys: Sequence[str]) -> DataFrame:
         return _type(
             name, F.when(abstract, "abstract_class").when(is_class, "class").otherwise("struct"), b["line"], qualified=full(name),
             bases=_bases(mt.type_names(clause), "inherits"), composes=F.filter(parts, mt.starts_upper),
-            calls=mt.calls(b["body"], 40), methods=methods, properties=fields)
+            calls=mt.calls(b["body"]), methods=methods, properties=fields)
 
     def enum_of(h: Column) -> Column:
         members = F.transform(F.split(mt.group(h["match"], C_ENUM, 2), ","), lambda m: F.regexp_replace(
             F.element_at(F.split(m, "="), 1), r"^\s+|\s+$", ""))
         return _type(mt.group(h["match"], C_ENUM, 1), F.lit("enum"), h["line"],
-                     members=F.slice(F.filter(members, lambda m: m != ""), 1, 40))
+                     members=F.filter(members, lambda m: m != ""))
 
     outside = F.filter(mt.matches(text, C_FUNC), lambda f: ~F.exists("rows", lambda b: f["start"].between(
         b["start"], b["start"] + F.char_length(b["header"]) + F.char_length(b["body"]))))

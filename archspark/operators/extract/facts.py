@@ -289,8 +289,8 @@ def extract_all(
     )
 
 
-def extraction_warnings(warnings: DataFrame, keys: Sequence[str] = KEYS, limit: int = 200) -> DataFrame:
-    """Failed files, at most ``limit`` shown per run."""
+def extraction_warnings(warnings: DataFrame, keys: Sequence[str] = KEYS, limit: int | None = None) -> DataFrame:
+    """Failed files; with a ``limit``, the first so many per run."""
     from archspark.functions.frames import top_k
 
-    return top_k(warnings, keys, [F.col("path"), F.col("warning")], limit)
+    return warnings if limit is None else top_k(warnings, keys, [F.col("path"), F.col("warning")], limit)

@@ -23,7 +23,6 @@ IMAGES = (
     ("vault", "component", "Vault"), ("keycloak", "component", "Keycloak"),
 )
 WORKLOADS = ("Deployment", "StatefulSet", "DaemonSet", "Job", "CronJob", "ReplicaSet", "Pod")
-PACKAGES = 200
 
 
 def classify_image(image: Column) -> tuple[Column, Column]:
@@ -39,18 +38,13 @@ def _load_yaml(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """YAML documents as JSON text; what they mean is read in Spark."""
     import json
 
-    try:
-        import yaml
-    except ImportError:
-        yaml = None
+    import yaml  # a cluster without it fails here rather than finding fewer containers
 
     def load(text: str):
-        if yaml is None:
-            return [], "yaml is not installed"
         try:
             docs = [d for d in yaml.safe_load_all(text) if isinstance(d, dict)]
             return [json.dumps(d, default=str) for d in docs], ""
-        except (yaml.YAMLError, ValueError) as exc:
+        except Exception as exc:  # one file never stops the job
             return [], f"manifest parse error ({type(exc).__name__})"
 
     for batch in batches:
@@ -112,7 +106,7 @@ def compose_services(docs: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, D
             technology=F.col("label"),
             extra=F.create_map(
                 F.lit("image"), F.col("image"), F.lit("ports"), F.to_json(_text_list(spec("$.ports"))),
-                F.lit("environment_keys"), F.to_json(F.slice(F.array_sort(F.coalesce(env_keys, F.expr("cast(array() as array<string>)"))), 1, 20)),
+                F.lit("environment_keys"), F.to_json(F.array_sort(F.coalesce(env_keys, F.expr("cast(array() as array<string>)")))),
                 F.lit("replicas"), F.coalesce(spec("$.deploy.replicas"), F.lit("1")), F.lit("origin"), F.lit("compose"))),
         id=node_id, kind=F.col("kind"), name=F.col("name"), qualified_name=F.col("name"), file=F.col("path"),
         module=F.col("module"), language=F.lit("docker"),
@@ -192,18 +186,17 @@ def extract_dependencies(files: DataFrame, keys: Sequence[str] = KEYS) -> tuple[
         .when(kind == "cargo", plain(cargo)).when(kind == "maven", plain(maven))
         .when(kind == "gradle", plain(F.regexp_extract_all(text, F.lit(GRADLE), F.lit(1)))).otherwise(none)
     )
-    limited = F.when(kind.isin("cargo", "maven"), packages).otherwise(F.slice(packages, 1, PACKAGES))
     language = F.when(kind == "npm", "javascript").when(kind == "pip", "python").when(kind == "cargo", "rust").when(
         kind == "maven", "java").otherwise(F.col("language"))
     staged = files.filter(kind.isin("npm", "pip", "gomod", "cargo", "maven", "gradle"))
     bad = staged.filter((kind == "npm") & F.get_json_object(text, "$").isNull()).select(
         *keys, "path", F.lit("manifest parse error (JSONDecodeError)").alias("warning"))
-    staged = staged.withColumns({"mod_language": language, "packages": limited})
+    staged = staged.withColumns({"mod_language": language, "packages": packages})
     rows = staged.select(*keys, "module", "mod_language", F.explode("packages").alias("p")).select(
         *keys, "module", "mod_language", "p.*").filter("name <> ''")
     extra = F.when(kind == "npm", F.create_map(
         F.lit("package_name"), F.coalesce(F.get_json_object(text, "$.name"), F.lit("")),
-        F.lit("scripts"), F.to_json(F.slice(F.map_keys(part("$.scripts")), 1, 20)))).otherwise(F.create_map().cast("map<string,string>"))
+        F.lit("scripts"), F.to_json(F.map_keys(part("$.scripts"))))).otherwise(F.create_map().cast("map<string,string>"))
     modules = node_frame(
         staged, keys, attr=attr_struct(extra=extra), id=F.concat(F.lit("module:"), F.col("module")), kind=F.lit("module"),
         name=F.element_at(F.split("module", "/"), -1), qualified_name=F.col("module"), module=F.col("module"), language=F.col("mod_language"))

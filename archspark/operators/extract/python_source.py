@@ -130,7 +130,7 @@ def _classes(body, prefix: str, classes: list, functions: list) -> None:
         own = [n for n in node.body if isinstance(n, _DEFS)]
         classes.append({
             "path": path, "name": node.name, "line": node.lineno, "bases": [b for b in map(_name, node.bases) if b],
-            "decorators": [_name(d) for d in node.decorator_list], "docstring": (ast.get_docstring(node) or "")[:400],
+            "decorators": [_name(d) for d in node.decorator_list], "docstring": ast.get_docstring(node) or "",
             "abstract": any(isinstance(f, ast.FunctionDef) and any(_name(d).endswith("abstractmethod") for d in f.decorator_list) for f in own),
             "body": [a for n in node.body if isinstance(n, (ast.Assign, ast.AnnAssign)) for a in _assign(n)],
             "attributes": [a for f in own if f.name == "__init__" for a in _attributes(f)],
@@ -140,11 +140,17 @@ def _classes(body, prefix: str, classes: list, functions: list) -> None:
 
 
 def read_module(text: str) -> dict:
-    """What one module declares; a syntax error is reported, not raised."""
+    """What one module declares; whatever goes wrong with a file is reported, not raised."""
+    nothing = {"modules": [], "classes": [], "functions": []}
     try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError) as exc:
-        return {"error": f"python syntax error line {getattr(exc, 'lineno', None) or 0}", "modules": [], "classes": [], "functions": []}
+        return {"error": "", **_declared(ast.parse(text))}
+    except SyntaxError as exc:
+        return {"error": f"python syntax error line {exc.lineno or 0}", **nothing}
+    except Exception as exc:  # too deep for the parser or the walk, null bytes
+        return {"error": f"python source not readable ({type(exc).__name__})", **nothing}
+
+
+def _declared(tree: ast.Module) -> dict:
     modules = []
     for node in ast.walk(tree):
         if isinstance(node, ast.Import):
@@ -154,7 +160,7 @@ def read_module(text: str) -> dict:
     classes: list[dict] = []
     functions = [_function(n, "") for n in tree.body if isinstance(n, _DEFS)]
     _classes(tree.body, "", classes, functions)
-    return {"error": "", "modules": modules, "classes": classes, "functions": functions}
+    return {"modules": modules, "classes": classes, "functions": functions}
 
 
 def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,15 +191,15 @@ def _visibility(name: Column) -> Column:
     return F.when(name.startswith("__") & ~name.endswith("__"), "private").when(name.startswith("_"), "protected").otherwise("public")
 
 
-def urls_of(text: Column, limit: int = 8) -> Column:
-    """One URL for each of the first ``limit`` hosts; local and schema addresses are left out."""
+def urls_of(text: Column, limit: int | None = None) -> Column:
+    """One URL for each host (of the first ``limit``, if given); local and schema addresses are left out."""
     found = F.transform(F.regexp_extract_all(text, F.lit(URL), F.lit(0)), lambda u: F.regexp_replace(u, r"""["'),.;]+$""", ""))
     rows = F.transform(found, lambda u: F.struct(
         u.alias("url"), F.element_at(F.split(F.element_at(F.split(u, "//", 2), -1), "/"), 1).alias("host")))
     real = F.filter(rows, lambda r: (r["host"] != "") & ~r["host"].startswith("localhost") & ~r["url"].contains("schema") & ~r["host"].contains("w3.org"))
     hosts = F.transform(real, lambda r: r["host"])
     first = F.filter(real, lambda r, i: F.array_position(hosts, r["host"]) == i + 1)
-    return F.transform(F.slice(first, 1, limit), lambda r: r["url"])
+    return F.transform(first if limit is None else F.slice(first, 1, limit), lambda r: r["url"])
 
 
 def python_facts(files: DataFrame, keys: Sequence[str]) -> DataFrame:

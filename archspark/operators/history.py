@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
 import pandas as pd
@@ -12,23 +13,21 @@ from archspark.functions.frames import half_even, top_k
 from archspark.functions.paths import component_of
 from archspark.schema import KEYS
 
-FILES_PER_COMMIT = 200
 PAIR_COMMIT_FILES = 25
 
 
-def touches_from_commits(commits: DataFrame, keys: Sequence[str] = KEYS, per_commit: int = FILES_PER_COMMIT) -> DataFrame:
+def touches_from_commits(commits: DataFrame, keys: Sequence[str] = KEYS, per_commit: int | None = None) -> DataFrame:
     """One row per (commit, file) from commits that carry a ``files`` array: no shuffle."""
-    return commits.select(
-        *keys, "sha", "author", "ts", F.explode(F.slice("files", 1, per_commit)).alias("path")
-    )
+    files = F.col("files") if per_commit is None else F.slice("files", 1, per_commit)
+    return commits.select(*keys, "sha", "author", "ts", F.explode(files).alias("path"))
 
 
 def touches_from_files(
-    commits: DataFrame, commit_files: DataFrame, keys: Sequence[str] = KEYS, per_commit: int = FILES_PER_COMMIT
+    commits: DataFrame, commit_files: DataFrame, keys: Sequence[str] = KEYS, per_commit: int | None = None
 ) -> DataFrame:
-    """One row per (commit, file) from a child table; the first ``per_commit`` paths of a commit."""
+    """One row per (commit, file) from a child table; of each commit the first ``per_commit`` paths, if given."""
     order = [F.col("pos")] if "pos" in commit_files.columns else [F.col("path")]
-    kept = top_k(commit_files, [*keys, "sha"], order, per_commit)
+    kept = commit_files if per_commit is None else top_k(commit_files, [*keys, "sha"], order, per_commit)
     return kept.join(commits.select(*keys, "sha", "author", "ts"), [*keys, "sha"]).select(
         *keys, "sha", "author", "ts", "path"
     )
@@ -149,20 +148,17 @@ def history_risks(
     magnet = totals.filter(share > 0.35).select(
         *keys, F.lit(1).alias("section"), F.lit("high").alias("severity"),
         F.col("top.component").alias("area"), F.col("top.neg").alias("ord"),
-        F.concat(F.col("top.component"), F.lit(" accounts for "), percent,
-                 F.lit("% of all changes - a change magnet.")).alias("message"),
+        F.concat(percent, F.lit(" percent of the changes went to "), F.col("top.component")).alias("message"),
     )
     bus = components.filter((F.col("changes") >= 20) & (F.col("contributors") == 1)).select(
         *keys, F.lit(2).alias("section"), F.lit("medium").alias("severity"),
         F.col("component").alias("area"), (-F.col("changes")).alias("ord"),
-        F.concat(F.col("component"), F.lit(" is frequently modified but has a single contributor ("),
-                 F.col("primary_owner").cast("string"), F.lit(") - bus factor risk.")).alias("message"),
+        F.concat(F.lit("only "), F.col("primary_owner").cast("string"), F.lit(" changes "), F.col("component")).alias("message"),
     )
     hot = hotspots.filter((F.col("rank") <= 3) & (F.col("risk") == "high")).select(
         *keys, F.lit(3).alias("section"), F.lit("medium").alias("severity"),
         F.col("path").alias("area"), (-F.col("changes")).alias("ord"),
-        F.concat(F.col("path"), F.lit(" changed "), F.col("changes").cast("string"),
-                 F.lit(" times with only "), F.col("authors").cast("string"), F.lit(" author(s).")).alias("message"),
+        F.concat(F.col("path"), F.lit(": "), F.col("changes").cast("string"), F.lit(" changes, authors: "), F.col("authors").cast("string")).alias("message"),
     )
     rows = magnet.unionByName(bus).unionByName(hot)
     return top_k(rows, keys, [F.col("section"), F.col("ord"), F.col("area")], limit, rank="seq").select(
@@ -246,42 +242,62 @@ def ref_names(refs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return refs.select(*keys, group.alias("kind"), "name").filter("kind is not null").distinct()
 
 
-def assign_lanes(dag: DataFrame, keys: Sequence[str] = KEYS, max_commits: int = 500, order: str = "seq") -> DataFrame:
-    """Lane of every commit in the newest ``max_commits`` window of each repository.
+class LaneBoard:
+    """Which lanes await which commit, and which are free; the lowest lane always goes first."""
+
+    def __init__(self):
+        self.awaiting: dict[str, set[int]] = {}
+        self.free: list[int] = []
+        self.width = 0
+
+    def lane_of(self, sha: str) -> int:
+        """The lane that awaits the commit, or one that from now on does."""
+        if sha not in self.awaiting:
+            if not self.free:
+                heapq.heappush(self.free, self.width)
+                self.width += 1
+            self.awaiting[sha] = {heapq.heappop(self.free)}
+        return min(self.awaiting[sha])
+
+    def place(self, sha: str, parents: list[str]) -> tuple[int, list[int]]:
+        """Lane of a commit and the lanes of its parents: the first goes on in the commit's lane."""
+        lane = self.lane_of(sha)
+        ended = self.awaiting.pop(sha) - ({lane} if parents else set())
+        for other in ended:
+            heapq.heappush(self.free, other)
+        if not parents:
+            return lane, []
+        self.awaiting.setdefault(parents[0], set()).add(lane)
+        return lane, [lane, *(self.lane_of(p) for p in parents[1:])]
+
+    def open_lanes(self) -> list[int]:
+        return sorted(lane for lanes in self.awaiting.values() for lane in lanes)
 
-    A lane depends on every commit before it, so one repository is one group.  The
-    window is the feature and bounds the group; repositories run in parallel.
+
+def assign_lanes(dag: DataFrame, keys: Sequence[str] = KEYS, max_commits: int | None = None, order: str = "seq") -> DataFrame:
+    """Lane of every commit of each repository, newest first (of the newest ``max_commits``, if given).
+
+    A lane depends on every commit before it, so a repository is one group; its rows are narrow (row number, hash and parents,
+    about 150 bytes), which bounds a task to that times the commits of the largest repository. Repositories run in parallel.
     """
-    window = top_k(dag, keys, [F.col(order), F.col("sha")], max_commits, rank="row")
-    small = window.select(*keys, "row", "sha", "parents")
-    key_types = ", ".join(f"{n} {small.schema[n].dataType.simpleString()}" for n in keys)
-    schema = (
-        f"{key_types}, row int, sha string, lane int, "
-        "links array<struct<from:int,to:int,parent:string>>, open_lanes array<int>"
-    )
+    ordered = [F.col(order), F.col("sha")]
+    if max_commits is None:
+        ranked = dag.withColumn("row", F.row_number().over(Window.partitionBy(*keys).orderBy(*ordered)))
+    else:
+        ranked = top_k(dag, keys, ordered, max_commits, rank="row")
+    small = ranked.select(*keys, "row", "sha", "parents")
     names = list(keys)
+    key_types = ", ".join(f"{n} {small.schema[n].dataType.simpleString()}" for n in names)
+    columns = [*names, "row", "sha", "lane", "links", "open_lanes"]
 
     def place(group: pd.DataFrame) -> pd.DataFrame:
-        waiting: list[str | None] = []  # sha each lane expects next
-
-        def lane_for(sha: str) -> int:
-            for wanted in (sha, None):
-                if wanted in waiting:
-                    at = waiting.index(wanted)
-                    waiting[at] = sha
-                    return at
-            waiting.append(sha)
-            return len(waiting) - 1
-
-        out = []
-        for row in group.sort_values("row").itertuples(index=False):
-            lane = lane_for(row.sha)
-            waiting = [None if w == row.sha and i != lane else w for i, w in enumerate(waiting)]
-            parents = [] if row.parents is None else list(row.parents)
-            waiting[lane] = parents[0] if parents else None
-            links = [{"from": lane, "to": lane if i == 0 else lane_for(p), "parent": p} for i, p in enumerate(parents)]
-            is_open = [i for i, w in enumerate(waiting) if w is not None]
-            out.append((*[getattr(row, n) for n in names], row.row, row.sha, lane, links, is_open))
-        return pd.DataFrame(out, columns=[*names, "row", "sha", "lane", "links", "open_lanes"])
-
+        board, out = LaneBoard(), []
+        for row in group.sort_values("row").to_dict("records"):
+            parents = [] if row["parents"] is None else list(row["parents"])
+            lane, targets = board.place(row["sha"], parents)
+            links = [{"from": lane, "to": to, "parent": p} for to, p in zip(targets, parents)]
+            out.append([*(row[n] for n in names), row["row"], row["sha"], lane, links, board.open_lanes()])
+        return pd.DataFrame(out, columns=columns)
+
+    schema = f"{key_types}, row int, sha string, lane int, links array<struct<from:int,to:int,parent:string>>, open_lanes array<int>"
     return small.groupBy(*keys).applyInPandas(place, schema)

@@ -63,7 +63,7 @@ def coupling(modules: DataFrame, mod_edges: DataFrame, keys: Sequence[str] = KEY
     return top_k(rows, keys, [F.desc("coupling"), F.col("module")], limit, rank="rank")
 
 
-def god_classes(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = KEYS, limit: int = 15) -> DataFrame:
+def god_classes(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = KEYS, limit: int | None = 15) -> DataFrame:
     kinds = ("calls", "uses", "composes", "depends_on")
     deps = (
         edges.filter(F.col("kind").isin(*kinds)).groupBy(*keys, F.col("source").alias("id"))
@@ -78,13 +78,13 @@ def god_classes(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = KEYS,
     score = F.col("methods") / GOD_METHODS + F.col("dependencies") / GOD_DEPENDENCIES + F.col("properties") / 30
     hit = rows.filter((F.col("methods") >= GOD_METHODS) | (F.col("dependencies") >= GOD_DEPENDENCIES))
     hit = hit.withColumn("severity", half_even(F.least(score, F.lit(3.0)), 2))
-    return top_k(hit, keys, [F.desc("severity"), F.col("id")], limit, rank="rank")
+    return hit if limit is None else top_k(hit, keys, [F.desc("severity"), F.col("id")], limit, rank="rank")
 
 
-def hub_nodes(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = KEYS, limit: int = 15) -> DataFrame:
+def hub_nodes(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = KEYS, limit: int | None = 15) -> DataFrame:
     rows = with_degree(nodes.filter(~F.col("external") & ~F.col("kind").isin("file", "module")), edges, keys)
     hubs = rows.filter(F.col("degree") >= HUB_DEGREE).select(*keys, "id", "name", "kind", "degree", "file")
-    return top_k(hubs, keys, [F.desc("degree"), F.col("id")], limit, rank="rank")
+    return hubs if limit is None else top_k(hubs, keys, [F.desc("degree"), F.col("id")], limit, rank="rank")
 
 
 def layering_violations(edges: DataFrame, nodes: DataFrame, keys: Sequence[str] = KEYS, limit: int | None = 25) -> DataFrame:
@@ -222,19 +222,20 @@ def entropy(values: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def metric_row(
     nodes: DataFrame, edges: DataFrame, cycles: DataFrame, keys: Sequence[str] = KEYS
 ) -> DataFrame:
-    """All scalar metrics of a run in one row; ``cycles`` is the capped cycle list."""
+    """All scalar metrics of a run in one row, counted over whole lists; ``cycles`` has one row per cycle or component."""
     mod = module_edges(edges, nodes, keys)
     modules = module_universe(nodes, mod, keys)
     shape = graph_shape(modules, mod, keys)
-    coupled = coupling(modules, mod, keys)
+    coupled = coupling(modules, mod, keys, None)
+    hubs = hub_nodes(nodes, edges, keys, None)
     lists = (
-        (cycles, "cycles"), (god_classes(nodes, edges, keys), "god_classes"), (hub_nodes(nodes, edges, keys), "hubs"),
-        (layering_violations(edges, nodes, keys), "violations"), (orphan_modules(modules, mod, keys), "orphans"),
+        (cycles, "cycles"), (god_classes(nodes, edges, keys, None), "god_classes"), (hubs, "hubs"),
+        (layering_violations(edges, nodes, keys, None), "violations"), (orphan_modules(modules, mod, keys, None), "orphans"),
     )
     out = nodes.select(*keys).distinct().join(shape, list(keys), "left")
     out = out.join(abstraction_ratio(nodes, keys), list(keys), "left")
     out = out.join(average_instability(coupled, keys), list(keys), "left")
-    heavy = top_k(hub_nodes(nodes, edges, keys).filter("degree >= 15"), keys, [F.col("id")], 15)
+    heavy = hubs.filter("degree >= 15")
     for frame, name in (*lists, (heavy, "heavy_hubs")):
         out = out.join(frame.groupBy(*keys).agg(F.count("*").alias(name)), list(keys), "left")
     populated = layer_summary(nodes, keys).groupBy(*keys).agg(F.count("*").alias("layer_count"))

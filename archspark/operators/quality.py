@@ -14,8 +14,6 @@ from archspark.functions.frames import half_even, rank_in, ratio, top_k
 from archspark.functions.paths import is_test_file
 from archspark.schema import KEYS, SEVERITIES
 
-HITS_PER_RULE = 12
-MARKERS_PER_FILE = 40
 MAX_FINDINGS = 250
 MAX_MARKERS = 200
 
@@ -187,8 +185,8 @@ def matching_rules(
     return F.array_compact(F.array(*tests))
 
 
-def rule_hits(rule: Column, text: Column, lines: Column, limit: int = HITS_PER_RULE) -> Column:
-    """First ``limit`` hits of one rule in text order, as an array of finding structs.
+def rule_hits(rule: Column, text: Column, lines: Column, limit: int | None = None) -> Column:
+    """Hits of one rule in text order (the first ``limit``, if given), as an array of finding structs.
 
     A lazy group in front of the rule yields the text before each hit, so the line
     is one plus the line feeds met so far.  ``\\G`` ties each search to the end of
@@ -209,7 +207,7 @@ def rule_hits(rule: Column, text: Column, lines: Column, limit: int = HITS_PER_R
         return F.struct(
             (line + feeds(hit["fragment"])).alias("line"),
             F.when(
-                (F.size(acc["hits"]) < limit) & ~ignored, F.array_append(acc["hits"], found)
+                ~ignored if limit is None else (F.size(acc["hits"]) < limit) & ~ignored, F.array_append(acc["hits"], found)
             ).otherwise(acc["hits"]).alias("hits"),
         )
 
@@ -233,10 +231,11 @@ def file_findings(matched: Column, text: Column, lines: Column) -> Column:
     return F.flatten(F.transform(matched, lambda rule: rule_hits(rule, text, lines)))
 
 
-def file_markers(lines: Column, limit: int = MARKERS_PER_FILE) -> Column:
-    """First marker of each line, at most ``limit`` per file."""
+def file_markers(lines: Column, limit: int | None = None) -> Column:
+    """First marker of each line; with a ``limit``, of the first so many lines that have one."""
     numbered = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), x.alias("content")))
-    hits = F.slice(F.filter(numbered, lambda x: x["content"].rlike(MARKER)), 1, limit)
+    hits = F.filter(numbered, lambda x: x["content"].rlike(MARKER))
+    hits = hits if limit is None else F.slice(hits, 1, limit)
     return F.transform(
         hits,
         lambda x: F.struct(
@@ -369,7 +368,7 @@ def largest_files(profiles: DataFrame, keys: Sequence[str] = KEYS, limit: int =
     )
 
 
-def untested_modules(profiles: DataFrame, keys: Sequence[str] = KEYS, limit: int | None = 25) -> DataFrame:
+def untested_modules(profiles: DataFrame, keys: Sequence[str] = KEYS, limit: int | None = None) -> DataFrame:
     """Modules with source files and no test files, test folder names removed."""
     modules = profiles.select(*keys, "module", "is_test").distinct()
     source = modules.filter(~F.col("is_test")).select(*keys, "module")
@@ -445,14 +444,14 @@ def integer_profile(values: DataFrame, keys: Sequence[str], value: str, over: in
 
 
 # Histogram buckets.
-BUCKETS = (("1-5", 1, 5), ("6-10", 6, 10), ("11-20", 11, 20), ("21-50", 21, 50), ("50+", 51, 10**6))
+BUCKETS = (("1-5", 1, 5), ("6-10", 6, 10), ("11-20", 11, 20), ("21-50", 21, 50), ("50+", 51, None))
 
 
 def histogram(values: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Count per bucket; every bucket of every key has a row."""
     v = F.col(value)
     counts = values.groupBy(*keys).agg(
-        *[F.count_if(v.between(low, high)).alias(label) for label, low, high in BUCKETS]
+        *[F.count_if((v >= low) if high is None else v.between(low, high)).alias(label) for label, low, high in BUCKETS]
     )
     return counts.unpivot(list(keys), [F.col(f"`{b[0]}`") for b in BUCKETS], "label", "count")
 
@@ -475,11 +474,13 @@ def complex_functions(nodes: DataFrame, keys: Sequence[str] = KEYS, limit: int =
     )
 
 
-def wide_signatures(nodes: DataFrame, keys: Sequence[str] = KEYS, limit: int = 15) -> DataFrame:
+def wide_signatures(nodes: DataFrame, keys: Sequence[str] = KEYS, limit: int | None = None) -> DataFrame:
+    """Callables with six parameters or more, widest first; all of them unless a ``limit`` is given."""
     rows = callables(nodes).withColumn("params", F.size(F.coalesce("attr.params", F.array()))).filter("params >= 6")
-    return top_k(rows, keys, [F.desc("params"), F.col("id")], limit, rank="seq").select(
-        *keys, "seq", _shown_name().alias("name"), "file", "line", "params"
-    )
+    shown = _shown_name().alias("name")
+    if limit is None:
+        return rows.select(*keys, shown, "file", "line", "params")
+    return top_k(rows, keys, [F.desc("params"), F.col("id")], limit, rank="seq").select(*keys, "seq", shown, "file", "line", "params")
 
 
 # --------------------------------------------------------------------------- file risk

@@ -18,7 +18,6 @@ from archspark.operators.graph import union_all
 from archspark.schema import KEYS, SEVERITIES
 
 PY, JS = ("python",), ("javascript", "typescript")
-MAX_LINES, MAX_BYTES = 50, 400_000
 
 
 @dataclass(frozen=True)
@@ -95,21 +94,40 @@ LINE = r"[^\n]*\n|[^\n]+\z"
 
 # --------------------------------------------------------------------------- rewriting
 
-_VALID_ESCAPES = set("\n\\'\"abfnrtv01234567xNuU \t")
-_LITERAL = re.compile(r"(?<![\w\"'])([rbuf]{0,2})(\"\"\"|'''|\"|')((?:\\.|(?!\2).)*)\2", re.S)
-_CODE = re.compile(r"(?:[^\"'#\\]|\\.|\"(?:[^\"\\]|\\.)*(?:\"|$)|'(?:[^'\\]|\\.)*(?:'|$))*", re.S)
-
-
-def _raw_literal(m: re.Match) -> str:
-    """Prefix ``r`` when every escape in the literal is one the language does not know."""
-    escapes = re.findall(r"\\(.)", m[3], re.S)
-    unknown = escapes and not any(e in _VALID_ESCAPES for e in escapes)
-    return f"r{m[0]}" if unknown and "r" not in m[1].lower() else m[0]
+# Fixed value: what may follow a backslash in a string literal; blanks count as known.
+KNOWN_ESCAPES = frozenset("\n \t\\'\"abfnrtvxNuU01234567")
 
 
 def _raw_line(line: str) -> str:
-    end = _CODE.match(line).end()  # a comment behind the code stays as it is
-    return _LITERAL.sub(_raw_literal, line[:end]) + line[end:]
+    """Prefix ``r`` to each literal that ends on the line and whose escapes are all unknown; comments stay."""
+    out, at, size = [], 0, len(line)
+    while at < size:
+        c = line[at]
+        if c == "#":
+            break
+        if c not in "\"'":
+            out.append(line[at : at + 2] if c == "\\" else c)
+            at += len(out[-1])
+            continue
+        quote = line[at : at + 3] if line[at : at + 3] in ('"""', "\'\'\'") else c
+        end, escapes = at + len(quote), set()
+        while end < size and not line.startswith(quote, end):
+            if line[end] == "\\":
+                escapes.add(line[end + 1 : end + 2])
+                end += 1
+            end += 1
+        if end >= size:
+            break
+        prefix = 0
+        while prefix < 2 and prefix < len(out) and out[-1 - prefix] in tuple("rbuf"):
+            prefix += 1
+        before = out[-1 - prefix][-1] if len(out) > prefix else " "
+        plain = "r" not in out[len(out) - prefix :] and not (before.isalnum() or before in "_\"'")
+        if escapes and plain and not any(e in KNOWN_ESCAPES for e in escapes):
+            out.insert(len(out) - prefix, "r")
+        out.append(line[at : end + len(quote)])
+        at = end + len(quote)
+    return "".join(out) + line[at:]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -162,14 +180,32 @@ def _applies(rule: Fix) -> Column:
     return F.col("language").isin(*rule.languages) if rule.languages else F.lit(True)
 
 
+def _with_escapes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files that the escape rule may change, which alone go through Python, and the rest."""
+    may = F.coalesce((F.col("language") == "python") & F.contains("text", F.lit("\\")), F.lit(False))
+    return files.filter(may), files.filter(~may)
+
+
+def _apart(files: DataFrame, rules: Sequence[Fix], run) -> DataFrame:
+    """``run(files, rules)``, with the escape rule only for the files that need it."""
+    others = [r for r in rules if r.how != "escape"]
+    if len(others) == len(rules):
+        return run(files, rules)
+    needy, rest = _with_escapes(files)
+    return run(needy, rules).unionByName(run(rest, others))
+
+
 def rewrite_lines(files: DataFrame, rules: Iterable[str] | None = None, cosmetic: bool = False) -> DataFrame:
     """Files with ``new_text`` after the rules in table order; one column step per rule, no shuffle."""
     wanted = set(rules) if rules is not None else {r.id for r in REWRITES if cosmetic or not r.cosmetic}
-    out = files.withColumn("new_text", F.col("text"))
-    for rule in REWRITES:
-        if rule.id in wanted:
+
+    def run(part: DataFrame, own: Sequence[Fix]) -> DataFrame:
+        out = part.withColumn("new_text", F.col("text"))
+        for rule in own:
             out = out.withColumn("new_text", F.when(_applies(rule), rewrite_text(rule, F.col("new_text"))).otherwise(F.col("new_text")))
-    return out
+        return out
+
+    return _apart(files, [r for r in REWRITES if r.id in wanted], run)
 
 
 def change_rows(rewritten: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -236,7 +272,7 @@ def _proposal(rule: Fix, lines: Column, auto: bool) -> Column:
     row = F.struct(
         F.lit(rule.id).alias("rule"), F.lit(rule.severity).alias("severity"), F.lit(rule.effort).alias("effort"),
         F.lit(rule.confidence).alias("confidence"), F.lit(auto).alias("auto"), F.size(lines).alias("occurrences"),
-        F.slice(lines, 1, MAX_LINES).alias("lines"),
+        lines.alias("lines"),
     ).cast(PROPOSAL)
     return F.when(F.size(lines) > 0, row)
 
@@ -244,7 +280,7 @@ def _proposal(rule: Fix, lines: Column, auto: bool) -> Column:
 def detect_issues(files: DataFrame, keys: Sequence[str] = KEYS, rules: Iterable[str] | None = None) -> DataFrame:
     """Advisory findings, one row per file and rule."""
     wanted = set(rules) if rules is not None else None
-    staged = files.filter(F.octet_length("text") <= MAX_BYTES).withColumn("lines", text_lines(F.col("text")))
+    staged = files.withColumn("lines", text_lines(F.col("text")))
     found = [
         F.when(_applies(r), _proposal(r, _hit_lines(r, F.col("text"), F.col("lines")), False))
         for r in ADVISORIES if wanted is None or r.id in wanted
@@ -256,22 +292,27 @@ def detect_issues(files: DataFrame, keys: Sequence[str] = KEYS, rules: Iterable[
 def propose_rewrites(files: DataFrame, keys: Sequence[str] = KEYS, rules: Iterable[str] | None = None, cosmetic: bool = False) -> DataFrame:
     """Mechanical proposals, one row per file and rule, each against the untouched text."""
     wanted = set(rules) if rules is not None else {r.id for r in REWRITES if cosmetic or not r.cosmetic}
-    staged = files.filter(F.octet_length("text") <= MAX_BYTES)
-    names = []
-    for i, rule in enumerate(r for r in REWRITES if r.id in wanted):
-        lines = touched_lines(rule, F.col("text"), rewrite_text(rule, F.col("text")))
-        staged = staged.withColumn(f"p{i}", F.when(_applies(rule), _proposal(rule, lines, True)))
-        names.append(f"p{i}")
-    return staged.select(*keys, "path", content_digest(F.col("text")).alias("digest"), F.explode(F.array_compact(F.array(*names))).alias("p")).select(
-        *keys, "path", "digest", "p.*")
 
+    def run(part: DataFrame, own: Sequence[Fix]) -> DataFrame:
+        names = []
+        for i, rule in enumerate(own):
+            lines = touched_lines(rule, F.col("text"), rewrite_text(rule, F.col("text")))
+            part = part.withColumn(f"p{i}", F.when(_applies(rule), _proposal(rule, lines, True)))
+            names.append(f"p{i}")
+        found = F.explode(F.array_compact(F.array(*names)) if names else F.array().cast(f"array<{PROPOSAL}>"))
+        return part.select(*keys, "path", content_digest(F.col("text")).alias("digest"), found.alias("p")).select(*keys, "path", "digest", "p.*")
+
+    return _apart(files, [r for r in REWRITES if r.id in wanted], run)
 
-def propose(files: DataFrame, keys: Sequence[str] = KEYS, limit: int = 200, rules: Iterable[str] | None = None,
+
+def propose(files: DataFrame, keys: Sequence[str] = KEYS, limit: int | None = None, rules: Iterable[str] | None = None,
             cosmetic: bool = False, structural: DataFrame | None = None) -> DataFrame:
-    """Structural proposals first, then text proposals by severity, file and rule; ``truncated`` marks a cut."""
+    """All proposals; with a ``limit`` the first ones, structural before text, then by severity, file and rule, and ``truncated`` marks a cut."""
     rows = detect_issues(files, keys, rules).unionByName(propose_rewrites(files, keys, rules, cosmetic)).withColumn("kind", F.lit("text"))
     if structural is not None and rules is None:
         rows = structural.withColumn("kind", F.lit("structural")).unionByName(rows, allowMissingColumns=True)
+    if limit is None:
+        return rows.withColumn("truncated", F.lit(False))
     totals = rows.groupBy(*keys).agg(F.count("*").alias("total"))
     order = [F.col("kind") != "structural", rank_in(F.col("severity"), SEVERITIES), F.col("path"), F.col("rule")]
     return top_k(rows, keys, order, limit, rank="seq").join(totals, list(keys)).withColumn("truncated", F.col("total") > limit).drop("total")
@@ -331,16 +372,21 @@ def apply_rewrites(files: DataFrame, selections: DataFrame, keys: Sequence[str]
     joined = files.withColumn("digest", content_digest(F.col("text"))).join(asked, at, "full_outer")
     bad = F.exists("rules", lambda r: ~r.isin(*known))
     reason = (
-        F.when(F.col("rules").isNull(), F.lit(None)).when(F.col("text").isNull(), "file no longer exists")
-        .when(~F.array_contains("digests", F.col("digest")), "file changed since the fix was proposed")
-        .when(bad, "rule cannot be applied automatically")
+        F.when(F.col("rules").isNull(), F.lit(None)).when(F.col("text").isNull(), "no such file")
+        .when(~F.array_contains("digests", F.col("digest")), "text differs from the digest")
+        .when(bad, "rule has no rewrite")
     )
     staged = joined.withColumn("reason", reason).withColumn("new_text", F.col("text")).withColumn("applied", F.expr("cast(array() as array<string>)"))
-    for rule in REWRITES:
-        chosen = F.col("reason").isNull() & F.coalesce(F.array_contains("rules", rule.id), F.lit(False))
-        staged = staged.withColumn("next_text", F.when(chosen, rewrite_text(rule, F.col("new_text"))).otherwise(F.col("new_text")))
-        staged = staged.withColumn("applied", F.when(F.col("next_text") != F.col("new_text"), F.array_append("applied", F.lit(rule.id))).otherwise(F.col("applied")))
-        staged = staged.withColumn("new_text", F.col("next_text")).drop("next_text")
+
+    def run(part: DataFrame, own: Sequence[Fix]) -> DataFrame:
+        for rule in own:
+            chosen = F.col("reason").isNull() & F.coalesce(F.array_contains("rules", rule.id), F.lit(False))
+            part = part.withColumn("next_text", F.when(chosen, rewrite_text(rule, F.col("new_text"))).otherwise(F.col("new_text")))
+            part = part.withColumn("applied", F.when(F.col("next_text") != F.col("new_text"), F.array_append("applied", F.lit(rule.id))).otherwise(F.col("applied")))
+            part = part.withColumn("new_text", F.col("next_text")).drop("next_text")
+        return part
+
+    staged = _apart(staged, REWRITES, run)
     versions = staged.filter(F.col("text").isNotNull()).select(*[c for c in files.columns if c != "text"], F.col("new_text").alias("text"))
     status = staged.filter(F.col("rules").isNotNull()).select(
         *at, F.col("reason").isNull().alias("ok"), F.coalesce("reason", F.lit("")).alias("error"), "applied",

@@ -219,15 +219,17 @@ def containment(spark, sf):
     return edges.select("project_id", "source", "target")
 
 
-@query("extraction_warnings")
+@query("extraction_warnings", """SELECT source AS project_id, 'docs/' || doc_id || '.py' AS path FROM documents
+WHERE regexp_matches(text, '^[A-Za-z]+ ?[^ ]')""")
 def extraction_warnings(spark, sf):
-    docs = table(spark, sf, "documents").select(
+    """Prose behind an assignment is no Python, however long; texts of one word are left out, as they may be a name."""
+    docs = table(spark, sf, "documents").filter(F.col("text").rlike("^[A-Za-z]+ ?[^ ]")).select(
         F.col("source").alias("project_id"), F.lit("r1").alias("run_id"),
         F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.lit("docs").alias("module"),
-        F.lit("python").alias("language"), "text",
+        F.lit("python").alias("language"), F.concat(F.lit("value = 1 "), "text").alias("text"),
     )
     rows = python_source.python_facts(docs, PK)
-    return facts.extraction_warnings(facts.graph_of(cut_lineage(rows), PK).warnings, PK).drop("run_id")
+    return facts.extraction_warnings(facts.graph_of(cut_lineage(rows), PK).warnings, PK).select("project_id", "path")
 
 
 @query("extract_ddl_columns", f"""WITH {CORPUS}

@@ -129,16 +129,15 @@ tot AS (SELECT project_id, sum(changes) AS total, first(component ORDER BY chang
                max(changes) AS top FROM comp GROUP BY project_id),
 rows_ AS (
   SELECT project_id, 1 AS section, -top AS ord, 'high' AS severity, component AS area,
-         component || ' accounts for ' || CAST(CAST(round_even(100.0 * top / total, 0) AS BIGINT) AS VARCHAR)
-           || '% of all changes - a change magnet.' AS message
+         CAST(CAST(round_even(100.0 * top / total, 0) AS BIGINT) AS VARCHAR) || ' percent of the changes went to ' || component AS message
   FROM tot WHERE top * 1.0 / total > 0.35
   UNION ALL
   SELECT project_id, 2, -changes, 'medium', component,
-         component || ' is frequently modified but has a single contributor (' || primary_owner || ') - bus factor risk.'
+         'only ' || primary_owner || ' changes ' || component
   FROM comp WHERE changes >= 20 AND contributors = 1
   UNION ALL
   SELECT project_id, 3, -changes, 'medium', path,
-         path || ' changed ' || changes || ' times with only ' || authors || ' author(s).'
+         path || ': ' || changes || ' changes, authors: ' || authors
   FROM hot WHERE rank <= 3 AND risk = 'high'
 )
 SELECT project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY section, ord, area) AS INTEGER) AS seq,

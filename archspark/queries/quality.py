@@ -86,7 +86,6 @@ hits AS (
   SELECT project_id, 'docs/' || doc_id || '.txt' AS file, rule, category, severity, CAST(line AS INTEGER) AS line,
          trim(content, ' ' || chr(9)) AS trimmed
   FROM frag WHERE ignored IS NULL OR NOT regexp_matches(fragment, ignored)
-  QUALIFY row_number() OVER (PARTITION BY doc_id, rule ORDER BY line) <= 12
 ),
 findings AS (
   SELECT project_id, file, rule, category, severity, line,

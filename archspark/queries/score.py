@@ -186,7 +186,7 @@ RUNS = """runs AS (
 
 
 @query("score_trend", f"""WITH {RUNS},
-p AS (SELECT *, CAST(row_number() OVER (PARTITION BY project_id ORDER BY started) AS INTEGER) AS point FROM runs WHERE status = 'succeeded' QUALIFY point <= 30)
+p AS (SELECT *, CAST(row_number() OVER (PARTITION BY project_id ORDER BY started) AS INTEGER) AS point FROM runs WHERE status = 'succeeded')
 SELECT project_id, run_id, point, overall, CASE WHEN count(*) OVER w >= 2 THEN last(overall ORDER BY point) OVER w - first(overall ORDER BY point) OVER w END AS delta
 FROM p WINDOW w AS (PARTITION BY project_id)""")
 def score_trend(spark, sf):
@@ -313,7 +313,7 @@ def digest_dedupe(spark, sf):
 
 @query("apply_rewrites", f"""WITH {FIXED}
 SELECT path, doc_id % 5 <> 0 AND doc_id % 7 <> 0 AS ok,
-       CASE WHEN doc_id % 5 = 0 THEN 'file changed since the fix was proposed' WHEN doc_id % 7 = 0 THEN 'rule cannot be applied automatically' ELSE '' END AS error
+       CASE WHEN doc_id % 5 = 0 THEN 'text differs from the digest' WHEN doc_id % 7 = 0 THEN 'rule has no rewrite' ELSE '' END AS error
 FROM fixed WHERE doc_id % 3 = 0""")
 def apply_rewrites(spark, sf):
     files = doc_files(spark, sf)
@@ -335,7 +335,7 @@ def detect_issues(spark, sf):
 @query("proposal_counts", f"""WITH {corpus.duck_cte()}
 SELECT project_id, 2 * count(*) AS proposals, 2 * count(*) AS advisory, count(*) AS files FROM corpus WHERE lang = 'python' GROUP BY project_id""")
 def proposal_counts(spark, sf):
-    rows = rp.propose(corpus.files(spark, sf).filter(F.col("language") == "python"), PK, limit=1_000_000)
+    rows = rp.propose(corpus.files(spark, sf).filter(F.col("language") == "python"), PK)
     return rp.proposal_counts(rows, PK).select("project_id", "proposals", "advisory", "files")
 
 

@@ -11,8 +11,6 @@ from archspark.functions import paths as p
 from archspark.functions.frames import top_k
 from archspark.schema import KEYS
 
-MAX_FILES = 25_000
-MAX_BYTES = 1_500_000
 
 
 def decode_text(files: DataFrame, content: str = "content") -> DataFrame:
@@ -30,10 +28,11 @@ def classify_files(files: DataFrame) -> DataFrame:
 
 def select_files(
     files: DataFrame, keys: Sequence[str] = KEYS, include: Sequence[str] = (), exclude: Sequence[str] = (),
-    max_files: int | None = MAX_FILES, max_bytes: int = MAX_BYTES,
+    max_files: int | None = None, max_bytes: int | None = None,
 ) -> DataFrame:
     """Path and size rules of a scan; needs ``path`` and ``size``."""
-    sized = files.filter((F.col("size") > 0) & (F.col("size") <= max_bytes))
+    sized = files.filter(F.col("size") > 0)
+    sized = sized if max_bytes is None else sized.filter(F.col("size") <= max_bytes)
     kept = p.exclude_paths(p.exclude_dirs(p.exclude_binary(sized)), exclude)
     kept = classify_files(p.include_paths(kept, include))
     return kept if max_files is None else top_k(kept, keys, [F.col("path")], max_files)
@@ -41,7 +40,7 @@ def select_files(
 
 def read_source_tree(
     spark: SparkSession, root: str, include: Sequence[str] = (), exclude: Sequence[str] = (),
-    max_files: int | None = MAX_FILES, max_bytes: int = MAX_BYTES, keys: Sequence[str] = KEYS,
+    max_files: int | None = None, max_bytes: int | None = None, keys: Sequence[str] = KEYS,
 ) -> DataFrame:
     """Scan a tree of projects and runs into the ``files`` table.
 

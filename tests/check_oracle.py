@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import math
+import os
 import pathlib
 import sys
 import time
@@ -80,7 +81,7 @@ def main():
     sf = args[0] if args else "0.001"
     sf_dir = f"/root/testdata/sf{sf}"
     wanted = args[1:]
-    spark, con = local_session(8), connect(sf_dir)
+    spark, con = local_session(os.environ.get("ORACLE_CPUS", "8")), connect(sf_dir)
     oracles, bad = oracle_sql(), 0
     for name, fn in queries().items():
         if wanted and not any(name == w or (w.endswith("*") and name.startswith(w[:-1])) for w in wanted):
