@@ -14,8 +14,6 @@ smallest vector counts; vectors of different length never meet; an empty vector
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +22,9 @@ from pyspark.sql import functions as F
 
 from archspark.llm.common import staged
 
-PAGE = 128
+PAGE = 1024
 FANOUT = 32
+TURN = 8
 SLACK = 1e-6
 
 
@@ -85,43 +84,72 @@ class Tree:
             points = np.frombuffer(p["points"], "<i8").reshape(n, -1).astype(np.float64)
             self.pages[p["page"]] = (np.asarray(p["ids"]), points, np.asarray(p["lift"]), np.asarray(p["radii"]), np.asarray(p["up"]), np.asarray(p["children"]))
 
-    def search(self, own_id: int, q: np.ndarray, longest: float, k: int) -> list[tuple[int, int]]:
-        """The k (score, id) of largest score, ties to the smaller id."""
-        norm = float(q @ q)
-        best: list[tuple[int, int]] = []  # heap of (score, -id); the worst is first
-        reach = np.inf
-        queue = [(0.0, 0, None)] if self.pages else []
+    def distances(self, number: int, queries: np.ndarray, norms: np.ndarray, longest: float) -> np.ndarray:
+        return np.sqrt(np.maximum(0.0, norms[:, None] + longest - 2.0 * (queries @ self.pages[number][1].T)))
+
+    def leaves(self, queries: np.ndarray, norms: np.ndarray, longest: float) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Leaf pages, the least possible distance of each query to each of them, and its distance to their routing objects."""
+        found: list[tuple[int, np.ndarray, np.ndarray]] = []
+        n = len(queries)
+        queue = [(0, np.zeros(n), np.full(n, np.nan))] if self.pages else []
         while queue:
-            least, number, to_parent = heapq.heappop(queue)
-            if least > reach:
-                break
-            ids, points, lift, radii, up, children = self.pages[number]
-            keep = np.ones(len(ids), bool) if to_parent is None else np.abs(up - to_parent) <= radii + reach
-            if not keep.any():
+            number, least, to_parent = queue.pop()
+            _, _, _, radii, _, children = self.pages[number]
+            if children[0] < 0:
+                found.append((number, least, to_parent))
                 continue
-            dots = points[keep] @ q
-            far = np.sqrt(np.maximum(0.0, norm + longest - 2.0 * dots))
-            if children[0] >= 0:
-                dmin = np.maximum(0.0, far - radii[keep] - SLACK * (1 + far))
-                for d, child, own in zip(dmin, children[keep], far):
-                    if d <= reach:
-                        heapq.heappush(queue, (float(d), int(child), float(own)))
-                continue
-            near = np.flatnonzero(far <= reach)
-            for score, other in sorted(zip(-dots[near], ids[keep][near])):
-                entry = (int(-score), -int(other))
-                if other == own_id:
-                    continue
-                if len(best) < k:
-                    heapq.heappush(best, entry)
-                elif entry > best[0]:
-                    heapq.heapreplace(best, entry)
-                else:
-                    break
-            if len(best) == k:
-                reach = float(np.sqrt(max(0.0, norm + longest - 2.0 * best[0][0])))
-                reach += SLACK * (1 + reach)
-        return [(s, -i) for s, i in best]
+            far = self.distances(number, queries, norms, longest)
+            bounds = np.maximum(least[:, None], far - radii - SLACK * (1 + far))
+            queue += [(int(child), bounds[:, j], far[:, j]) for j, child in enumerate(children)]
+        if not found:
+            return [], np.zeros((n, 0)), np.zeros((n, 0))
+        return [f[0] for f in found], np.stack([f[1] for f in found], axis=1), np.stack([f[2] for f in found], axis=1)
+
+    def search(self, own: np.ndarray, queries: np.ndarray, longest: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, ids) of the k best of each query, ties to the smaller id; missing ones score minus infinity.
+
+        Every query takes its leaves by their bounds, some in a turn, until a bound is beyond its k-th best; the queries of
+        a turn that take the same page read it together.
+        """
+        n = len(queries)
+        norms = (queries * queries).sum(axis=1)
+        names, bounds, to_routing = self.leaves(queries, norms, longest)
+        scores, ids = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+        reach = np.full(n, np.inf)
+        order = np.argsort(bounds, axis=1, kind="stable")
+        for turn in range(0, len(names), TURN):
+            part = order[:, turn : turn + TURN]
+            active = np.take_along_axis(bounds, part, 1) <= reach[:, None]
+            if not active.any():
+                break
+            found = [(np.repeat(np.arange(n), k), ids.ravel(), scores.ravel())]
+            for leaf in np.unique(part[active]):
+                rows = np.flatnonzero(((part == leaf) & active).any(axis=1))
+                found.append(self.read_leaf(names[leaf], rows, to_routing[rows, leaf], own, queries, scores[:, -1], reach, k))
+            row, other, score = (np.concatenate(x) for x in zip(*found))
+            first = np.lexsort((other, -score, row))
+            row = row[first]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            best = first[rank < k]
+            scores, ids = score[best].reshape(n, k), other[best].reshape(n, k)
+            full = np.isfinite(scores[:, -1])
+            near = np.sqrt(np.maximum(0.0, norms + longest - 2.0 * np.where(full, scores[:, -1], 0.0)))
+            reach = np.where(full, near + SLACK * (1 + near), np.inf)
+        return scores, ids
+
+    def read_leaf(self, number, rows, to_routing, own, queries, worst, reach, k) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, id, score) of a leaf that may be among the best of some queries; what parent distances rule out isn't computed."""
+        names, points, _, _, up, _ = self.pages[number]
+        may = ~(np.abs(up - to_routing[:, None]) > reach[rows][:, None])  # a leaf that is the root has no routing object
+        columns = np.flatnonzero(may.any(axis=0))
+        dots = queries[rows] @ points[columns].T
+        dots[~may[:, columns] | (names[columns] == own[rows][:, None])] = -np.inf
+        least = worst[rows]
+        if len(columns) > k:  # no more than k of a page, and those that tie with the k-th, can be among the best
+            some = np.flatnonzero(dots.max(axis=1) >= least)
+            least[some] = np.maximum(least[some], np.partition(dots[some], len(columns) - k, axis=1)[:, len(columns) - k])
+        hit, column = np.nonzero((dots >= least[:, None]) & np.isfinite(dots))
+        return rows[hit], names[columns[column]], dots[hit, column]
 
 
 PAGES = "tree bigint, page bigint, ids array<bigint>, points binary, lift array<double>, radii array<double>, up array<double>, children array<bigint>"
@@ -160,7 +188,7 @@ def top_inner_products(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     scale: float = 64.0,
-    tree_rows: int = 8192,
+    tree_rows: int = 16384,
     block_rows: int = 512,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of each query with other rows. ``is_query`` is on column ``id``."""
@@ -178,12 +206,13 @@ def top_inner_products(
     top = float(longest)
 
     def search(queries: pa.Table, pages: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int]] = []
+        found = [np.zeros(0, np.int64)] * 3
         if queries.num_rows and pages.num_rows:
-            tree = Tree(pages.to_pylist())
-            for own, q in zip(*distinct_rows(queries)):
-                out += [(int(own), other, score) for score, other in tree.search(int(own), q, top, k)]
-        return pa.table({c: pa.array([r[i] for r in out], pa.int64()) for i, c in enumerate(("query_id", "vec_id", "score"))})
+            own, points = distinct_rows(queries)
+            scores, ids = Tree(pages.to_pylist()).search(own, points, top, k)
+            some = np.isfinite(scores)
+            found = [np.repeat(own, some.sum(axis=1)), ids[some], scores[some].astype(np.int64)]
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, found))))
 
     keys = ("dim", "tree", "block")
     found = queries.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(search, "query_id bigint, vec_id bigint, score bigint")

@@ -223,7 +223,7 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: id, pattern (votes), posterior (labellers), score (linear scorer), keep."""
     cast = vote_table(docs, id_col, text_col)
     counted = cast.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()  # 3**labellers rows at most
-    patterns = np.array([["-01".index(c) - 1 for c in r["pattern"]] for r in counted], np.int64).reshape(len(counted), -1)
+    patterns = np.array([["-01".index(c) - 1 for c in r["pattern"]] for r in counted], np.int64).reshape(len(counted), len(LABELLERS))
     model = fit_labels(patterns, np.array([r["n"] for r in counted], np.float64))
     known = {r["pattern"]: round(float(p), 6) for r, p in zip(counted, model.posterior(patterns) if len(counted) else ())}
 

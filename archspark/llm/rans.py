@@ -12,10 +12,11 @@ import zlib
 import numpy as np
 
 PRECISION = 18
-LANES = 512
+LANES = 1024
 BLOCK = LANES * 512
 LOWEST = np.uint64(1 << 31)
 _32 = np.uint64(32)
+_SLOTS = np.uint64(1 << PRECISION)
 
 
 class Table:
@@ -28,6 +29,9 @@ class Table:
         self.below = np.cumsum(self.frequencies) - self.frequencies
         self.ids = np.repeat(np.arange(len(frequencies), dtype=np.uint32), frequencies)
         self.limit = self.frequencies << np.uint64(63 - PRECISION)
+        slots = np.arange(1 << PRECISION, dtype=np.uint64)
+        self.step = self.frequencies[self.ids]
+        self.rest = slots - self.below[self.ids]
 
     @classmethod
     def from_counts(cls, counts: np.ndarray) -> Table:
@@ -64,16 +68,18 @@ def encode_block(ids: np.ndarray, table: Table) -> bytes:
     lanes = min(LANES, max(1, n))
     state = np.full(lanes, LOWEST, np.uint64)
     words: list[np.ndarray] = []
+    frequencies, below, limit = table.frequencies[ids], table.below[ids], table.limit[ids]
     for row in range((n - 1) // lanes, -1, -1) if n else ():
-        part = ids[row * lanes : (row + 1) * lanes]
-        x = state[: len(part)]
-        f = table.frequencies[part]
-        full = x >= table.limit[part]
-        if full.any():
+        at = slice(row * lanes, (row + 1) * lanes)
+        f = frequencies[at]
+        x = state[: len(f)]
+        full = np.flatnonzero(x >= limit[at])
+        if len(full):
             words.append(x[full].astype(np.uint32))
-            x = np.where(full, x >> _32, x)
+            x[full] >>= _32
         q = x // f
-        state[: len(part)] = (q << np.uint64(PRECISION)) + (x - q * f) + table.below[part]
+        x += q * (_SLOTS - f)  # q * slots + x % f
+        x += below[at]
     stream = np.concatenate(words[::-1]) if words else np.zeros(0, np.uint32)
     return state.astype("<u8").tobytes() + stream.astype("<u4").tobytes()
 
@@ -89,7 +95,7 @@ def decode_block(data: bytes, n: int, table: Table) -> np.ndarray:
         slot = x & mask
         part = table.ids[slot]
         out[start : start + len(x)] = part
-        x = table.frequencies[part] * (x >> shift) + slot - table.below[part]
+        x = table.step[slot] * (x >> shift) + table.rest[slot]
         low = np.flatnonzero(x < LOWEST)
         if len(low):
             x[low] = (x[low] << _32) | stream[at : at + len(low)]

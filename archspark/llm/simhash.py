@@ -4,8 +4,8 @@ A fingerprint bit is 1 if it is set in over half the XXH64 hashes of a text's wo
 with equal fingerprints are one point. Points are dealt to shards by a vantage-point tree that is built
 on a bounded sample: a point's home is the leaf it falls into; where the triangle inequality allows a
 neighbour beyond a boundary, it also visits the shards over there as a guest. So every linked pair meets in
-the home shard of one of them. In a shard, points are compared only if their distances to a local vantage
-point differ by no more than the radius, and a shard returns no more links than it has points (a forest of the local
+the home shard of one of them. In a shard, points are compared only if their distances to each of two local vantage
+points differ by no more than the radius, and a shard returns no more links than it has points (a forest of the local
 components). Components of all links are found by alternating star steps.
 
 Defined results: null or empty text has no shingles and fingerprint zero, which links like any other;
@@ -108,18 +108,28 @@ def shard_links(fps: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.ndar
     order = np.argsort(fps, kind="stable")
     fps, home = fps[order], home[order]
     label = np.arange(len(fps))
-    vantage = fps[len(fps) // 2]
-    d = np.bitwise_count(fps ^ vantage).astype(np.int64)
-    ring = [np.flatnonzero(d == k) for k in range(65)]
-    for k in range(65):
-        mine = ring[k][home[ring[k]]]
+    first = fps[len(fps) // 2]
+    d = np.bitwise_count(fps ^ first).astype(np.int64)
+    second = fps[np.argmin(np.abs(d - 32))]
+    cell = d * 65 + np.bitwise_count(fps ^ second)
+    by_cell = np.argsort(cell, kind="stable")
+    names, at = np.unique(cell[by_cell], return_index=True)
+    members = dict(zip(names.tolist(), np.split(by_cell, at[1:])))
+    for name, own in members.items():
+        mine = own[home[own]]
         if not len(mine):
             continue
-        others = np.concatenate(ring[max(0, k - radius) : k + radius + 1])
-        step = max(1, 400_000 // len(others))
-        for at in range(0, len(mine), step):
-            rows = mine[at : at + step]
-            a, b = np.nonzero(np.bitwise_count(fps[rows][:, None] ^ fps[others][None, :]) <= radius)
+        k, m = divmod(name, 65)
+        near = [members.get(i * 65 + j) for i in range(k - radius, k + radius + 1) for j in range(max(0, m - radius), min(64, m + radius) + 1)]
+        others = np.concatenate([x for x in near if x is not None])
+        theirs = fps[others][None, :]
+        step = max(1, 100_000 // len(others))  # the block stays in a core's cache
+        for start in range(0, len(mine), step):
+            rows = mine[start : start + step]
+            close = np.bitwise_count(fps[rows][:, None] ^ theirs) <= radius
+            if not close.any():
+                continue
+            a, b = np.nonzero(close)
             a, b = rows[a], others[b]
             keep = a != b
             a, b = a[keep], b[keep]
@@ -139,7 +149,7 @@ def shard_links(fps: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.ndar
     return fps[linked], fps[label[linked]]
 
 
-def near_links(points: DataFrame, radius: int = 4, leaf: int = 4096, sample_rows: int = 20000) -> DataFrame:
+def near_links(points: DataFrame, radius: int = 4, leaf: int = 32768, sample_rows: int = 20000) -> DataFrame:
     """Links (a, b) that connect every two distinct fingerprints within the radius; ``points`` has distinct fp.
 
     The tree is fitted on ``sample_rows`` fingerprints at most, those of smallest hash.

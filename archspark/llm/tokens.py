@@ -26,6 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +39,8 @@ CACHE_WORDS = 900_000
 FILE_BYTES = 24 << 20
 #: A single space between two other characters: the byte-level pre-tokenizer always cuts before it.
 _CUT = re.compile(r"(?<=\S) (?=\S)").split
-_ODD = re.compile(r" \s|\s |^ | $").search
+_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ODD = rf" {_BLANK}|{_BLANK} |\A | \z"
 _MARKS = "".join(c for c in string.punctuation if c != "'")  # an apostrophe may begin a token with letters
 
 
@@ -65,13 +67,27 @@ class WordEncoder:
         self.size = self.tokenizer.get_vocab_size()
         if self.size > 1 << 16:
             raise ValueError("ids must fit 16 bits")
-        self.merges = self.tokenizer.model.tokenize
+        self.bare = Tokenizer.from_file(path)  # merges only
+        self.bare.pre_tokenizer = None
         self.letters = byte_letters()
+        self.line_end = self.bare.token_to_id(self.letters[10])
         self.cache: dict[str, bytes] = {}
 
+    def _lettered(self, text: str) -> str:
+        return text.encode().decode("latin-1").translate(self.letters)
+
     def _merged(self, piece: str) -> bytes:
-        ids = [t.id for t in self.merges(piece.encode().decode("latin-1").translate(self.letters))]
-        return struct.pack(f"<{len(ids)}H", *ids)
+        return np.array(self.bare.encode(self._lettered(piece), add_special_tokens=False).ids, np.uint16).tobytes()
+
+    def _learn(self, cores: list[str]) -> None:
+        """Merge words of letters, some at a time; no merge crosses a line end that letters or a space follow."""
+        for at in range(0, len(cores), 200):
+            part = cores[at : at + 200]
+            joined = self._lettered(" " + "\n ".join(part))
+            ids = np.array(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint16)
+            ends = np.flatnonzero(ids == self.line_end)
+            data, starts, ends = ids.tobytes(), [0, *(2 * ends + 2).tolist()], [*(2 * ends).tolist(), 2 * len(ids)]
+            self.cache.update((w, data[a:b]) for w, a, b in zip(part, starts, ends, strict=True))
 
     def _known(self, piece: str) -> bytes:
         """Ids of a piece that the pre-tokenizer leaves whole."""
@@ -97,9 +113,7 @@ class WordEncoder:
 
     def _word(self, word: str) -> bytes:
         """Ids of a space and the word."""
-        if word.isalpha():
-            out = self._merged(" " + word)
-        elif (core := word.rstrip(_MARKS)).isalpha():
+        if (core := word.rstrip(_MARKS)).isalpha():
             out = self._known(" " + core) + self._known(word[len(core) :])
         else:
             out = self._chunk(" " + word)
@@ -108,20 +122,42 @@ class WordEncoder:
         self.cache[word] = out
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 16-bit ids of each text."""
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of a space and each word, for distinct words."""
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        pieces = [_CUT(t) if _ODD(t) else t.split(" ") for t in texts]
-        out, get = [], self.cache.get
-        for words in pieces:
-            found = list(map(get, words))
-            found[0] = self._chunk(words[0]) if words[0] else b""
-            if None in found:
-                word = self._word
-                found = [get(w) or word(w) if b is None else b for b, w in zip(found, words)]
-            out.append(b"".join(found))
-        return out
+        get, word = self.cache.get, self._word
+        found = list(map(get, words))
+        new = [w for w, b in zip(words, found) if b is None]
+        cores = {w if w.isalpha() else w.partition("\n")[0].rstrip(_MARKS) for w in new}
+        self._learn([c for c in cores if c.isalpha() and c not in self.cache])
+        return [get(w) or word(w) if b is None else b for w, b in zip(words, found)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 16-bit ids of each text; equal words of the texts are looked up once."""
+        column = pa.array(texts, pa.string())
+        is_odd = pc.match_substring_regex(column, _ODD)
+        odd, even = is_odd.to_pylist(), column.filter(pc.invert(is_odd))
+        words = pc.split_pattern(even, " ")
+        coded = words.flatten().dictionary_encode()
+        entries = self._words(coded.dictionary.to_pylist()) if len(even) else []
+        starts = words.offsets.to_numpy()
+        at = coded.indices.to_numpy().astype(np.int64)
+        at[starts[:-1]] = len(entries) + np.arange(len(even))  # the first word has no space before it
+        entries += [self._chunk(x) if x else b"" for x in (t.partition(" ")[0] for t in even.to_pylist())]
+        flat = np.frombuffer(b"".join(entries), np.uint16)
+        sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // 2
+        own = sizes[at]
+        ends = np.cumsum(own)
+        place = np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)
+        ids = flat[place]
+        cuts = np.concatenate(([0], ends))[starts].tolist()
+        done = iter([ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])])
+        return [self._odd(t) if o else next(done) for t, o in zip(texts, odd)]
+
+    def _odd(self, text: str) -> bytes:
+        first, *rest = _CUT(text)
+        return (self._chunk(first) if first else b"") + b"".join(self._words(rest))
 
 
 @functools.cache
@@ -142,7 +178,7 @@ def tokenise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
         pack = zstandard.ZstdCompressor(1).compress
         end = np.array([END_ID], np.uint16).tobytes()
-        for part in slices(batches):
+        for part in slices(batches, 512):
             coded = [b + end for b in encoder(path).encode([t or "" for t in part.column(1).to_pylist()])]
             sizes = pa.array([len(b) // 2 for b in coded], pa.int64())
             yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array([pack(b) for b in coded], pa.binary())], ["id", "n", "ids"])

@@ -9,6 +9,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
+from archspark.llm import mtree
 from archspark.llm.mtree import Builder, Tree, top_inner_products
 from archspark.llm.simhash import build_tree, components, fingerprint, near_duplicates, route, shard_links
 
@@ -104,18 +105,20 @@ def test_near_duplicates_of_empty_and_nameless(docs_of):
     assert sorted((str(r["id"]), str(r["component_id"])) for r in got) == [("4", "4"), ("None", "4"), ("None", "None")]
 
 
-def test_tree_search_is_exact():
+def test_tree_search_is_exact(monkeypatch):
+    monkeypatch.setattr(mtree, "PAGE", 16)
     rng = np.random.default_rng(3)
     points = rng.integers(-6, 7, (900, 5)).astype(np.float64)
     points[100:400] = points[0]
     longest = float((points * points).sum(axis=1).max())
     pages = Builder(np.arange(900), points, np.sqrt(longest - (points * points).sum(axis=1)), 1).pages
     tree = Tree(pages)
-    for q in (0, 5, 150, 899):
-        got = sorted(tree.search(q, points[q], longest, 20), key=lambda t: (-t[0], t[1]))
+    own = np.array([0, 5, 150, 899])
+    found, ids = tree.search(own, points[own], longest, 20)
+    for q, s, i in zip(own, found, ids):
         scores = points @ points[q]
-        want = sorted(((int(s), i) for i, s in enumerate(scores) if i != q), key=lambda t: (-t[0], t[1]))[:20]
-        assert got == want
+        want = sorted(((int(x), j) for j, x in enumerate(scores) if j != q), key=lambda t: (-t[0], t[1]))[:20]
+        assert list(zip(s.astype(int).tolist(), i.tolist())) == want
 
 
 def test_top_inner_products(spark):
