@@ -455,7 +455,7 @@ def rust_facts(files: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     impls = F.transform(mt.blocks(text, RS_IMPL), lambda b: F.struct(
         _in_module(last(mt.group(b["header"], RS_IMPL, 2))).alias("owner"),
-        last(mt.group(b["header"], RS_IMPL, 1)).alias("base"), names(b).alias("names"), mt.calls(b["body"], 30).alias("calls")))
+        last(mt.group(b["header"], RS_IMPL, 1)).alias("base"), names(b).alias("names"), mt.calls(b["body"]).alias("calls")))
     staged = staged.withColumn("impls", impls)
     late_methods = F.flatten(F.transform("impls", lambda i: F.transform(i["names"], lambda n: F.struct(
         i["owner"].alias("owner"), _member(n, F.lit("public")).alias("method")))))

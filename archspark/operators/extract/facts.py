@@ -272,13 +272,15 @@ def all_facts(files: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def extract_all(
-    files: DataFrame, keys: Sequence[str] = KEYS, stage: Callable[[DataFrame], DataFrame] | None = None
+    files: DataFrame, keys: Sequence[str] = KEYS, stage: Callable[[DataFrame, str], DataFrame] | None = None
 ) -> Extraction:
-    """Everything the files say.  ``stage`` materialises the fact rows (write and read back, or persist)."""
+    """Everything the files say.  ``stage`` writes a table and reads it back: one per family, so that no plan holds them all."""
     from archspark.operators.extract import infra, sql
 
-    facts = all_facts(files, keys)
-    code = graph_of(stage(facts) if stage else facts, keys)
+    from archspark.operators.extract import brace, python_source  # noqa: F401  (registers the families)
+
+    facts = all_facts(files, keys) if stage is None else union_all(*[stage(fn(files, keys), f"facts_{name}") for name, fn in FAMILIES.items()])
+    code = graph_of(facts, keys)
     ddl, ops = sql.extract_ddl(files, keys), infra.extract_infra(files, keys)
     # analyzers run in this order on a file: python, java, web, c, go, infrastructure, sql
     nodes = merge_nodes(code.nodes, ops.nodes, ddl.nodes, keys=keys)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -220,14 +220,15 @@ def entropy(values: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def metric_row(
-    nodes: DataFrame, edges: DataFrame, cycles: DataFrame, keys: Sequence[str] = KEYS
+    nodes: DataFrame, edges: DataFrame, cycles: DataFrame, keys: Sequence[str] = KEYS,
+    stage: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
 ) -> DataFrame:
     """All scalar metrics of a run in one row, counted over whole lists; ``cycles`` has one row per cycle or component."""
-    mod = module_edges(edges, nodes, keys)
-    modules = module_universe(nodes, mod, keys)
-    shape = graph_shape(modules, mod, keys)
-    coupled = coupling(modules, mod, keys, None)
-    hubs = hub_nodes(nodes, edges, keys, None)
+    mod = stage(module_edges(edges, nodes, keys), "metric_edges")
+    modules = stage(module_universe(nodes, mod, keys), "metric_modules")
+    shape = stage(graph_shape(modules, mod, keys), "metric_shape")
+    coupled = stage(coupling(modules, mod, keys, None), "metric_coupling")
+    hubs = stage(hub_nodes(nodes, edges, keys, None), "metric_hubs")
     lists = (
         (cycles, "cycles"), (god_classes(nodes, edges, keys, None), "god_classes"), (hubs, "hubs"),
         (layering_violations(edges, nodes, keys, None), "violations"), (orphan_modules(modules, mod, keys, None), "orphans"),
@@ -237,9 +238,9 @@ def metric_row(
     out = out.join(average_instability(coupled, keys), list(keys), "left")
     heavy = hubs.filter("degree >= 15")
     for frame, name in (*lists, (heavy, "heavy_hubs")):
-        out = out.join(frame.groupBy(*keys).agg(F.count("*").alias(name)), list(keys), "left")
+        out = out.join(stage(frame.groupBy(*keys).agg(F.count("*").alias(name)), f"count_{name}"), list(keys), "left")
     populated = layer_summary(nodes, keys).groupBy(*keys).agg(F.count("*").alias("layer_count"))
-    strong = detect_patterns(nodes, edges, keys).groupBy(*keys).agg(
+    strong = stage(detect_patterns(nodes, edges, keys), "patterns").groupBy(*keys).agg(
         F.count("*").alias("patterns"), F.count_if(F.col("confidence") >= 0.5).alias("strong_patterns")
     )
     risky = coupled.groupBy(*keys).agg(

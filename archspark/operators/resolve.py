@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -278,17 +278,21 @@ def resolution_stats(refs: DataFrame, unresolved: DataFrame, keys: Sequence[str]
 
 
 def resolve_all(
-    nodes: DataFrame, edges: DataFrame, refs: DataFrame, keys: Sequence[str] = KEYS
+    nodes: DataFrame, edges: DataFrame, refs: DataFrame, keys: Sequence[str] = KEYS,
+    stage: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Edges and external nodes of all references, and the resolution counts."""
+    """Edges and external nodes of all references, and the resolution counts.
+
+    ``stage`` writes what several later steps read, so that no plan holds a resolver twice.
+    """
     known = nodes.select(*keys, F.col("id").alias("source_id")).distinct()
-    asked = with_ref_id(refs, keys).join(known, [*keys, "source_id"], "left_semi")
-    symbols = index_symbols(nodes, keys)
-    imports = resolve_imports(asked.filter(F.col("kind") == "imports"), nodes, symbols, keys)
-    tables = resolve_tables(asked.filter(F.col("kind") == "references"), nodes, symbols, keys)
-    infra = resolve_infra(asked.filter(F.col("kind") == "communicates_with"), nodes, keys)
+    asked = stage(with_ref_id(refs, keys).join(known, [*keys, "source_id"], "left_semi"), "asked_refs")
+    symbols = stage(index_symbols(nodes, keys), "symbols")
+    imports = stage(resolve_imports(asked.filter(F.col("kind") == "imports"), nodes, symbols, keys), "import_targets")
+    tables = stage(resolve_tables(asked.filter(F.col("kind") == "references"), nodes, symbols, keys), "table_targets")
+    infra = stage(resolve_infra(asked.filter(F.col("kind") == "communicates_with"), nodes, keys), "infra_targets")
     others = asked.filter(~F.col("kind").isin("imports", "references", "communicates_with"))
-    named = resolve_symbols(others, symbols, nodes, edges, keys)
+    named = stage(resolve_symbols(others, symbols, nodes, edges, keys), "symbol_targets")
     ext_nodes, ext_edges, dotted = externalize(imports.filter("target is null"), keys)
 
     def edges_of(rows: DataFrame, kind: Column, attr: Column | None = None) -> DataFrame:

@@ -59,10 +59,11 @@ def enrich(nodes: DataFrame, edges: DataFrame, stage: Stages, keys: Sequence[str
     components, contains = g.build_components(nodes, edges, keys)
     components, contains = stage(components, "components"), stage(contains, "component_edges")
     nodes = stage(g.merge_nodes(nodes, components, keys=keys), "component_nodes")
-    lifted = g.lift_edges(edges, nodes, nodes.filter(F.col("kind") == "component"), keys)
+    lifted = stage(g.lift_edges(edges, nodes, nodes.filter(F.col("kind") == "component"), keys), "lifted_edges")
     nodes, deploys = g.mark_services(nodes, keys)
+    nodes, deploys = stage(nodes, "service_nodes"), stage(deploys, "deploy_edges")
     actor, actor_edges = g.derive_actor(nodes, keys)
-    reads, reach = g.derive_reads(edges, nodes, keys), it.endpoint_store_reads(edges, nodes, keys)
+    reads, reach = stage(g.derive_reads(edges, nodes, keys), "read_edges"), stage(it.endpoint_store_reads(edges, nodes, keys), "reach_edges")
     nodes = g.mark_state_machines(nodes.unionByName(actor))
     return nodes, g.merge_edges(edges, contains, lifted, deploys, reads, reach, actor_edges, keys=keys)
 
@@ -73,10 +74,13 @@ def analyse(
 ) -> Analysis:
     """From files (and commits) to graph, findings, metrics, history and scorecard."""
     keys, stage = list(keys), Stages(spark, work, keys)
-    raw = extract_all(files, keys, stage=lambda df: stage(df, "facts"))
-    nodes, edges = stage(raw.nodes, "raw_nodes"), stage(g.merge_edges(g.link(raw.edges, raw.nodes, keys), keys=keys), "raw_edges")
+    files = stage(files, "files")
+    raw = extract_all(files, keys, stage)
+    nodes = stage(raw.nodes, "raw_nodes")
+    edges = stage(g.merge_edges(g.link(stage(raw.edges, "found_edges"), nodes, keys), keys=keys), "raw_edges")
     columns, fks, indexes = stage(raw.columns, "table_columns"), stage(raw.fks, "table_fks"), stage(raw.indexes, "table_indexes")
-    ext_nodes, resolved, resolution = rs.resolve_all(nodes, edges, stage(raw.refs, "refs"), keys)
+    ext_nodes, resolved, resolution = rs.resolve_all(nodes, edges, stage(raw.refs, "refs"), keys, stage)
+    ext_nodes, resolved = stage(ext_nodes, "external_nodes"), stage(resolved, "made_edges")
     nodes = stage(g.merge_nodes(nodes, ext_nodes, keys=keys), "named_nodes")
     edges = stage(g.merge_edges(edges, g.link(resolved, nodes, keys), keys=keys), "resolved_edges")
     nodes, edges = enrich(nodes, edges, stage, keys)
@@ -99,38 +103,39 @@ def analyse(
     kept, marks = stage(q.top_findings(findings, keys), "findings"), stage(q.top_markers(markers, keys), "markers")
     mod = stage(m.module_edges(edges, nodes, keys), "module_edges")
     cycles = stage(it.find_cycles(mod, keys), "cycles")
-    metrics = stage(m.metric_row(nodes, edges, cycles, keys), "metrics")
+    metrics = stage(m.metric_row(nodes, edges, cycles, keys, stage), "metrics")
     unindexed = sc.unindexed_foreign_keys(fks, indexes, columns, keys)
 
     def count(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(*keys).agg(F.count("*").alias(name))
 
     prefix = {"security": "sec", "performance": "perf", "debt": "debt"}
-    by_kind = kept.groupBy(*keys).agg(*[
+    by_kind = findings.groupBy(*keys).agg(*[
         F.count_if((F.col("category") == c) & (F.col("severity") == s)).alias(f"{p}_{s}")
         for c, p in prefix.items() for s in ("critical", "high", "medium", "low")])
     parts = [
         q.quality_totals(profiles, keys), q.doc_totals(files, keys), q.complexity_profile(nodes, keys), q.symbol_doc_coverage(nodes, keys),
         project_file_flags(files, keys), by_kind, count(q.untested_modules(profiles, keys), "untested"),
         profiles.filter(~F.col("is_test")).groupBy(*keys).agg(F.count_distinct("module").alias("source_modules")),
-        count(q.wide_signatures(nodes, keys), "wide"), count(marks, "markers"), count(unindexed, "unindexed"),
+        count(q.wide_signatures(nodes, keys), "wide"), count(markers, "markers"), count(unindexed, "unindexed"),
     ]
     if commits is not None:
         parts.append(out["hotspots"].groupBy(*keys).agg(F.count("*").alias("hotspots"), F.count_if(F.col("risk") == "high").alias("risky_hotspots")))
     facts = metrics
-    for part in parts:
-        facts = facts.join(part, keys, "left")
+    for i, part in enumerate(parts):
+        facts = facts.join(stage(part, f"score_part_{i}"), keys, "left")
     facts = stage(sc.fact_row(facts, keys), "score_facts")
     signals = stage(sc.score_signals(facts, keys), "signals")
+    resolution, warnings = stage(resolution, "resolution"), stage(raw.warnings, "warnings")
     active = sc.normalise_weights(weights) if weights is not None else sc.default_weights(spark)
-    cats = sc.category_scores(signals, facts, active, keys, sc.confidence(facts, keys))
-    recommendations = sc.recommendation_rows(signals, keys=keys)
+    cats = stage(sc.category_scores(signals, facts, active, keys, sc.confidence(facts, keys)), "category_scores")
+    recommendations = stage(sc.recommendation_rows(signals, keys=keys), "recommendations")
     actions = sc.roadmap(recommendations, active, keys)
     out.update(
         files=files, nodes=nodes, edges=edges, file_profiles=profiles, findings=kept, markers=marks, module_edges=mod, cycles=cycles, metrics=metrics,
         table_columns=columns, table_fks=fks, table_indexes=indexes, signals=signals, category_scores=cats,
         scorecard=sc.overall_score(cats, keys), recommendations=recommendations, roadmap=actions,
-        resolution=resolution, warnings=raw.warnings, unindexed=unindexed,
+        resolution=resolution, warnings=warnings, unindexed=unindexed,
     )
     return Analysis(out)
 
