@@ -103,7 +103,8 @@ def analyse(
     kept, marks = stage(q.top_findings(findings, keys), "findings"), stage(q.top_markers(markers, keys), "markers")
     mod = stage(m.module_edges(edges, nodes, keys), "module_edges")
     cycles = stage(it.find_cycles(mod, keys), "cycles")
-    metrics = stage(m.metric_row(nodes, edges, cycles, keys, stage), "metrics")
+    cyclic = stage(it.cyclic_components(mod, keys), "cyclic_components")
+    metrics = stage(m.metric_row(nodes, edges, it.counted_cycles(cycles, cyclic, keys), keys, stage), "metrics")
     unindexed = sc.unindexed_foreign_keys(fks, indexes, columns, keys)
 
     def count(df: DataFrame, name: str) -> DataFrame:
@@ -132,7 +133,7 @@ def analyse(
     recommendations = stage(sc.recommendation_rows(signals, keys=keys), "recommendations")
     actions = sc.roadmap(recommendations, active, keys)
     out.update(
-        files=files, nodes=nodes, edges=edges, file_profiles=profiles, findings=kept, markers=marks, module_edges=mod, cycles=cycles, metrics=metrics,
+        files=files, nodes=nodes, edges=edges, file_profiles=profiles, findings=kept, markers=marks, module_edges=mod, cycles=cycles, cyclic_components=cyclic, metrics=metrics,
         table_columns=columns, table_fks=fks, table_indexes=indexes, signals=signals, category_scores=cats,
         scorecard=sc.overall_score(cats, keys), recommendations=recommendations, roadmap=actions,
         resolution=resolution, warnings=warnings, unindexed=unindexed,

@@ -433,3 +433,19 @@ FROM (SELECT *, unnest(range(1, length + 1)) AS i FROM cyc)""")
 def cycle_edges(spark, sf):
     mod = modules_of(spark, sf, DAY)[3]
     return it.cycle_edges(it.find_cycles(mod, K, max_length=3, limit=None), K)
+
+
+@query("cyclic_modules", """WITH RECURSIVE t AS (
+  SELECT month(o_orderdate) AS m, o_custkey % 97 AS a, (o_custkey * 7 + o_orderkey) % 89 AS b FROM orders WHERE o_orderkey % 3 < 2),
+e AS (SELECT DISTINCT 'p' || m AS project_id, 'm' || a AS a, 'm' || b AS b FROM t WHERE a <> b AND (a < b OR (a + b) % 41 = 0)),
+w AS (SELECT project_id, a, b FROM e UNION SELECT w.project_id, w.a, e.b FROM w JOIN e ON w.project_id = e.project_id AND w.b = e.a)
+SELECT x.project_id, x.a AS module, min(x.b) AS component FROM w x JOIN w y ON x.project_id = y.project_id AND x.a = y.b AND x.b = y.a
+GROUP BY x.project_id, x.a""")
+def cyclic_modules(spark, sf):
+    """Customers' orders as imports between numbered modules, one project per month; few ways lead back."""
+    t = table(spark, sf, "orders").filter("o_orderkey % 3 < 2").select(
+        F.month("o_orderdate").alias("m"), (F.col("o_custkey") % 97).alias("a"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 89).alias("b"))
+    t = t.filter("a <> b and (a < b or (a + b) % 41 = 0)")
+    name = lambda c: F.concat(F.lit("m"), F.col(c).cast("string"))
+    mod = t.select(F.concat(F.lit("p"), F.col("m").cast("string")).alias("project_id"), name("a").alias("src_module"), name("b").alias("dst_module"))
+    return it.cyclic_components(mod, K).select("project_id", "module", "component")

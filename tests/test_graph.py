@@ -162,3 +162,29 @@ def test_source_tree(spark, tmp_path):
     rows = {r.path: r for r in read_source_tree(spark, str(tmp_path / "src")).collect()}
     assert set(rows) == {"app/main.py", "Dockerfile"}
     assert rows["app/main.py"].text == "x = '�'\n" and rows["app/main.py"].project_id == "a" and rows["Dockerfile"].infra_kind == "docker"
+
+
+def test_cycles_of_any_length(spark):
+    ring = [("p", f"r{i}", f"r{(i + 1) % 9}") for i in range(9)]
+    rows = [*ring, ("p", "r0", "x"), ("p", "x", "y"), ("p", "a", "b"), ("p", "b", "a"), ("p", "b", "r3"), ("q", "s", "t"), ("q", "s", "s")]
+    df = spark.createDataFrame(rows, "project_id string, src_module string, dst_module string")
+    comps = it.cyclic_components(df, K)
+    got = {(r.project_id, r.module, r.component) for r in comps.collect()}
+    assert got == {("p", f"r{i}", "r0") for i in range(9)} | {("p", "a", "a"), ("p", "b", "a")}
+    listed = it.find_cycles(df, K)
+    assert listed.count() == 1
+    assert sorted(r.length for r in it.counted_cycles(listed, comps, K).collect()) == [2, 9]
+    assert it.cyclic_components(df.filter("project_id = 'q'"), K).collect() == []
+
+
+def test_focus_and_modules_of_requests(spark):
+    from archspark.operators.review import sanitize_filters
+
+    nodes = spark.createDataFrame(
+        [("p", "class", "OrderService", "", "src/orders", "", "service"), ("p", "module", "src/orders", "", "src/orders", "", ""), ("p", "module", "x", "", "src/orders/api", "", "")],
+        "project_id string, kind string, name string, qualified_name string, module string, file string, s string",
+    ).selectExpr("project_id", "kind", "name", "qualified_name", "module", "file", "named_struct('stereotype', s) attr")
+    asked = spark.createDataFrame(
+        [("p", 1, "order", ["SRC/Orders"]), ("p", 2, "servi", ["api"]), ("p", 3, "nothing", ["none"]), ("p", 4, None, [])], "project_id string, id int, focus string, modules array<string>")
+    got = {r.id: (r.focus, r.modules) for r in sanitize_filters(asked, nodes, ["project_id"]).collect()}
+    assert got == {1: ("order", ["src/orders"]), 2: ("servi", ["src/orders/api"]), 3: ("", []), 4: ("", [])}

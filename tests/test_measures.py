@@ -174,3 +174,41 @@ def test_weights(spark):
     assert {r.category: r.weight for r in sc.normalise_weights(zero).collect()} == sc.DEFAULT_WEIGHTS
     some = spark.createDataFrame([("security", "1"), ("testing", "x")], "category string, weight string")
     assert abs(sum(r.weight for r in sc.normalise_weights(some).collect()) - 1) < 0.001
+
+
+def test_nothing_is_cut(spark, make_files):
+    from pyspark.sql import functions as F
+
+    from archspark.operators import history as h
+    from archspark.operators import quality as q
+    from archspark.operators import score as sc
+
+    text = "".join(f"# TODO note {i}\n" for i in range(60)) + "".join(f"eval(a{i})\n" for i in range(300))
+    files = make_files({"a.py": text})
+    assert q.scan_markers(files).count() == 60
+    found = q.scan_rules(files).groupBy("rule").count().collect()
+    assert max(r["count"] for r in found) == 300
+    commits = spark.createDataFrame([("p", "s", "me", 1, [f"f{i}" for i in range(201)])], "project_id string, sha string, author string, ts int, files array<string>")
+    assert h.touches_from_commits(commits, ["project_id"]).count() == 201
+    rows = spark.createDataFrame([("p", 2_000_000), ("p", 3)], "project_id string, v int")
+    assert {r["label"]: r["count"] for r in q.histogram(rows, ["project_id"], "v").collect()}["50+"] == 1
+    runs = spark.createDataFrame([("p", f"r{i:03}", i, "succeeded", i) for i in range(40)], "project_id string, run_id string, at int, status string, overall int")
+    assert sc.score_trend(runs).count() == 40
+    newest = sc.score_trend(runs, limit=5).orderBy("point").collect()
+    assert [r["run_id"] for r in newest] == ["r035", "r036", "r037", "r038", "r039"] and newest[0]["delta"] == 4
+    raw = spark.createDataFrame([("p", "security", 1.0), ("q", "testing", 1.0)], "project_id string, category string, weight double")
+    weights = sc.normalise_weights(raw, ["project_id"])
+    signals = spark.createDataFrame([], "project_id string, category string, impact double, status string, signal string")
+    cats = sc.category_scores(signals, raw, weights, ["project_id"])
+    assert cats.count() == 16 and cats.groupBy("project_id").agg(F.round(F.sum("weight"), 2).alias("w")).filter("w <> 1.0").count() == 0
+
+
+def test_a_bad_file_stops_nothing(spark, make_files):
+    from archspark.operators.extract import infra, python_source
+
+    texts = {"deep.py": "(" * 5000 + ")" * 5000, "walk.py": "x = " + "+".join(["1"] * 20000), "nul.py": "a\0b", "ok.py": "class A:\n    pass\n"}
+    rows = python_source.python_facts(make_files(texts), ["project_id", "run_id"]).collect()
+    errors = {r["path"]: r["error"] for r in rows}
+    assert errors["ok.py"] == "" and errors["deep.py"] and errors["nul.py"]
+    files = make_files({"docker-compose.yml": "a: [1\n", "k.yaml": "a: !!python/object:x.y {}\n", "compose.yaml": "services:\n  a:\n    image: redis\n"})
+    assert infra.extract_infra(files).warnings.count() >= 1
