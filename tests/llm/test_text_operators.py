@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from archspark.llm.licences import TEXTS, scan_licences, shipped
 from archspark.llm.quality import LABELLERS, fit_labels, quality_scores, votes
-from archspark.llm.surrogates import assign, drawn_once, replace_entities
+from archspark.llm.surrogates import PATTERN, assign, drawn_once, holds_entity, replace_entities
 
 PERSONAL = [
     (1, "Mrs. Anna Smith met Mr. Smith; Mr. Anna Smith, г-н Иван. Call (212) 555-1234 or 212-555-1234, SSN 123-45-6789."),
@@ -61,6 +61,13 @@ def test_collisions_draw_again(spark):
     assert not {r["surrogate"] for r in got} & {r["entity"] for r in got}
 
 
+def test_cheap_tests_miss_nothing(docs_of):
+    words = [*(t for _, t in PERSONAL if t), "Mlle Eve", "Sig. Rossi", "Dr. No", "Prof. X Y", "Srta. Ana", "г-жа Анна", "M. Dupont", "Ms Bo", "Herrn Ott",
+             "a" * 32, "AKIA" + "B" * 16, "ghs_" + "c" * 20, "sk-" + "d" * 20, "Miss Fox", "Señorita Luz", "plain", "Madame Roi"]
+    rows = docs_of([(i, w) for i, w in enumerate(words)]).select(F.col("text").rlike(PATTERN).alias("a"), holds_entity(F.col("text")).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in rows) and sum(r["a"] for r in rows) == len(words) - 3  # among them one letter after a form of address
+
+
 def test_no_rows(docs_of):
     assert replace_entities(docs_of([]), "k").collect() == []
 
