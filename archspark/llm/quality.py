@@ -15,6 +15,7 @@ rows with a null id are scored like others; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+import operator
 import re
 import zlib
 from collections import Counter
@@ -37,26 +38,71 @@ STOPWORDS = frozenset(
     "le la les et des de un une que en dans du est pour qui sur pas par plus il au se "
     "el los las y que del se por con una su para es al lo como más pero sus".split()
 )
-_LETTERS = re.compile(r"[^\W\d_]", re.U)
+KNOWN_WORDS = 1_000_000
+
+
+class WordFacts:
+    """Facts of words as rows of a matrix; words recur across documents, so each Python worker keeps a bounded number of them.
+
+    Columns: length, letters and digits, letters, capitals, marked, bar, function word; hash buckets of shape, end and
+    function word (or -1).
+    """
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.rows = np.zeros((1024, 10), np.int32)
+
+    def learn(self, word: str) -> int:
+        at = self.place[word] = len(self.place)
+        if at == len(self.rows):
+            self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
+        capitals, letters = sum(map(str.isupper, word)), sum(map(str.isalpha, word))
+        low = word.lower()
+        shape = re.sub(r"(.)\1+", r"\1+", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:40]))
+        self.rows[at] = (
+            len(word),
+            sum(map(str.isalnum, word)),
+            letters,
+            capitals,
+            len(word) > 2 and not word[-1].isalnum() and word[-1] == word[-2],
+            word in ("|", "»", "·", ">", "•"),
+            low.strip(".,;:!?") in STOPWORDS,
+            zlib.crc32(b"s" + shape.encode()) >> 32 - BITS,
+            zlib.crc32(b"e" + word[-2:].encode()) >> 32 - BITS,
+            zlib.crc32(b"w" + low.encode()) >> 32 - BITS if low in STOPWORDS else -1,
+        )
+        return at
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(occurrences, facts) of the distinct words."""
+        counts = Counter(words)
+        if len(self.place) + len(counts) > KNOWN_WORDS:
+            self.__init__()
+        at = list(map(self.place.get, counts))
+        if None in at:
+            at = [self.learn(w) if i is None else i for w, i in zip(counts, at)]
+        return np.fromiter(counts.values(), np.float64, len(counts)), self.rows[np.array(at, np.int64)]
+
+
+_facts = WordFacts()
 
 
 def measures(text: str) -> dict[str, float]:
     words = text.split()
-    n = max(1, len(words))
-    chars = max(1, sum(map(len, words)))
-    letters = sum(map(str.isalpha, text))
-    plain = sum(map(str.isalnum, text))
+    counts, facts = _facts.of(words)
+    length, plain, letters, capitals, marked, bars, stop = counts @ facts[:, :7]
+    n, chars = max(1, len(words)), max(1.0, length)
     lines = [x.strip() for x in text.split("\n") if x.strip()]
     return {
         "words": len(words),
         "letters": plain / chars,
-        "capitals": sum(map(str.isupper, text)) / max(1, letters),
-        "marked": sum(1 for w in words if len(w) > 2 and not w[-1].isalnum() and w[-1] == w[-2]) / n,
-        "bars": sum(w in ("|", "»", "·", ">", "•") for w in words) / n,
-        "stop": sum(w.strip(".,;:!?").lower() in STOPWORDS for w in words) / n,
-        "distinct": len(set(words)) / n,
-        "run": max(Counter(words).values(), default=0) / n,
-        "echo": sum(a == b for a, b in zip(words, words[1:])) / n,
+        "capitals": capitals / max(1.0, letters),
+        "marked": marked / n,
+        "bars": bars / n,
+        "stop": stop / n,
+        "distinct": len(counts) / n,
+        "run": counts.max(initial=0) / n,
+        "echo": sum(map(operator.eq, words, words[1:])) / n,
         "ended": sum(x[-1] in ".!?:\"'" for x in lines) / max(1, len(lines)),
         "mean": chars / n,
         "lines": len(set(lines)) / max(1, len(lines)),
@@ -142,15 +188,12 @@ def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, smoo
 
 def hashed_shares(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, values): root shares of hashed words' shapes, ends and frequent words, unit length in all."""
-    found: Counter = Counter()
-    for word, n in Counter(text.split()).items():
-        shape = re.sub(r"(.)\1+", r"\1+", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:40]))
-        found[zlib.crc32(b"s" + shape.encode()) >> 32 - BITS] += n
-        found[zlib.crc32(b"e" + word[-2:].encode()) >> 32 - BITS] += n
-        if word.lower() in STOPWORDS:
-            found[zlib.crc32(b"w" + word.lower().encode()) >> 32 - BITS] += n
-    at = np.fromiter(found, np.int32, len(found))
-    values = np.sqrt(np.fromiter(found.values(), np.float64, len(found)))
+    counts, facts = _facts.of(text.split())
+    buckets, weight = facts[:, 7:].T.ravel(), np.tile(counts, 3)
+    used = buckets >= 0
+    sums = np.bincount(buckets[used], weight[used], minlength=1 << BITS)
+    at = np.flatnonzero(sums).astype(np.int32)
+    values = np.sqrt(sums[at])
     return at, values / max(1e-9, float(np.sqrt((values * values).sum())))
 
 
@@ -183,13 +226,13 @@ def vote_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             patterns = ["".join("-01"[v + 1] for v in votes(t.decode())) for t in raw_texts(part.column(1))]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(patterns)], ["id", "key", "pattern"])
 
-    keyed = rows.withColumn("key", F.xxhash64(F.col("id").cast("string"), "text"))
+    keyed = rows.withColumn("key", _row_key("id", "text"))
     return staged(keyed.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, key bigint, pattern string"), "quality-votes")
 
 
 def fit_scorer(docs: DataFrame, targets: DataFrame, id_col: str, text_col: str, ridge: float = 1e-4, rounds: int = 300) -> QualityModel:
     """Logistic fit on the hashed shares of the bounded rows in ``targets`` (key, target)."""
-    rows = docs.select(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    rows = docs.select(_row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -240,12 +283,11 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     targets = staged(targets.dropDuplicates(["key"]), "quality-targets")
     scorer = fit_scorer(docs, targets, id_col, text_col)
 
-    @F.pandas_udf("pattern string, score double")
-    def judge(texts: pd.Series) -> pd.DataFrame:
-        texts = [t or "" for t in texts]
-        patterns = ["".join("-01"[v + 1] for v in votes(t)) for t in texts]
-        return pd.DataFrame({"pattern": patterns, "score": [scorer.score(t) for t in texts]})
+    scored = docs.select(F.col(id_col).alias("id"), _row_key(id_col, text_col).alias("key"), scorer.column(F.col(text_col)).alias("score"))
+    voted = staged(judged.select(F.col("key").alias("voted_key"), "pattern", F.col("target").alias("posterior")).distinct(), "quality-judged")
+    rows = scored.join(voted, F.col("key") == F.col("voted_key"))
+    return rows.select("id", "pattern", "posterior", "score", ((F.col("posterior") + F.col("score")) / 2 >= 0.5).alias("keep"))
+
 
-    rows = docs.select(F.col(id_col).alias("id"), judge(F.col(text_col)).alias("j"))
-    rows = rows.select("id", "j.pattern", posterior("j.pattern").alias("posterior"), "j.score")
-    return rows.withColumn("keep", (F.col("posterior") + F.col("score")) / 2 >= 0.5)
+def _row_key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
