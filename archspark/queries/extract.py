@@ -316,18 +316,12 @@ def extract_links(spark, sf):
 
 
 @query("extract_urls", r"""
-WITH found AS (
-  SELECT doc_id, unnest(regexp_extract_all(text, 'https?://[A-Za-z0-9._\-/:%?=&+~#]+')) AS url FROM (
-    SELECT page_id AS doc_id, string_agg(url, ' ') AS text FROM (
-      SELECT page_id % 20 AS page_id, url FROM pages ORDER BY page_id, url) GROUP BY page_id)
-),
+WITH found AS (SELECT page_id AS doc_id, unnest(regexp_extract_all(url || ' ' || html, 'https?://[A-Za-z0-9._\-/:%?=&+~#]+')) AS url FROM pages),
 hosts AS (SELECT DISTINCT doc_id, split_part(split_part(regexp_replace(url, '[),.;]+$', ''), '//', 2), '/', 1) AS host FROM found)
-SELECT doc_id, count(*) AS hosts FROM (SELECT * FROM hosts WHERE host <> '' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY host) <= 8)
-GROUP BY doc_id""")
+SELECT p.page_id AS doc_id, count(h.host) AS hosts FROM pages p LEFT JOIN hosts h ON h.doc_id = p.page_id AND h.host <> '' GROUP BY p.page_id""")
 def extract_urls(spark, sf):
-    pages = table(spark, sf, "pages").select((F.col("page_id") % 20).alias("doc_id"), "url")
-    joined = pages.groupBy("doc_id").agg(F.concat_ws(" ", F.array_sort(F.collect_list("url"))).alias("text"))
-    return joined.select("doc_id", F.size(python_source.urls_of(F.col("text"))).cast("bigint").alias("hosts"))
+    pages = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.concat_ws(" ", "url", "html").alias("text"))
+    return pages.select("doc_id", F.size(python_source.urls_of(F.col("text"))).cast("bigint").alias("hosts"))
 
 
 # ---------------------------------------------------------------- resolution

@@ -168,7 +168,7 @@ def unindexed_keys(spark, sf):
     from archspark.operators.extract.sql import extract_ddl
 
     x = extract_ddl(corpus.files(spark, sf), PK)
-    return sc.unindexed_foreign_keys(x.fks, x.indexes, x.columns, PK).select("project_id", "table", "column", "rank")
+    return sc.unindexed_foreign_keys(x.fks, x.indexes, x.columns, PK, limit=40).select("project_id", "table", "column", "rank")
 
 
 # Runs: one month of a nation's orders.
