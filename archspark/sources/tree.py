@@ -44,8 +44,8 @@ def read_source_tree(
 ) -> DataFrame:
     """Scan a tree of projects and runs into the ``files`` table.
 
-    The file list is chosen first from paths and sizes, which reads no content;
-    the content is read for the chosen files only.
+    Paths and sizes are filtered in the scan, so the content is not shuffled. With ``max_files`` the list is
+    chosen first, without content, and joined back to it.
     """
     marker = "".join(f"{k}=([^/]+)/" for k in keys)
     base = spark.read.format("binaryFile").option("recursiveFileLookup", True)
@@ -55,7 +55,11 @@ def read_source_tree(
         relative = F.regexp_extract("path", marker + "(.*)$", len(keys) + 1)
         return df.withColumns({"uri": F.col("path"), **found}).withColumn("path", F.url_decode(F.replace(relative, F.lit("+"), F.lit("%2B"))))
 
-    bounded = base.load(root).filter((F.col("length") > 0) & (F.col("length") <= max_bytes))
+    bounded = base.load(root).filter(F.col("length") > 0)
+    bounded = bounded if max_bytes is None else bounded.filter(F.col("length") <= max_bytes)
+    if max_files is None:
+        rows = keyed(bounded.select("path", F.col("length").alias("size"), "content"))
+        return decode_text(select_files(rows, keys, include, exclude, None, max_bytes)).drop("uri")
     listed = keyed(bounded.select("path", F.col("length").alias("size")))
     chosen = select_files(listed, keys, include, exclude, max_files, max_bytes)
     content = bounded.select(F.col("path").alias("uri"), "content")
