@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from archspark.llm.common import shared_folder
 from archspark.llm.decontamination import contaminate
 from archspark.llm.licences import scan_licences, shipped
+from archspark.llm.main_text import extract_main_text
 from archspark.llm.mixing import mix_sources
 from archspark.llm.mtree import top_inner_products
 from archspark.llm.quality import quality_scores
+from archspark.llm.runs import periodic_runs
 from archspark.llm.simhash import near_duplicates
 from archspark.llm.surrogates import replace_entities
 from archspark.llm.tokens import token_corpus
 from archspark.llm.toxicity import fit_toxicity, held_out
+from archspark.llm.variants import spelling_forms, word_counts
 from archspark.llm.warc import read_archives, write_archives
 from archspark.queries.registry import table
 
@@ -162,3 +165,42 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_scores(table(spark, sf_dir, "documents"))
     return judged.select(F.col("id").alias("doc_id"), F.col("pattern").alias("votes"), "posterior", "score", "keep")
+
+
+def with_planted_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) where the checksum of a tenth of the ids makes the text periodic from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    chosen = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("w"), F.floor(h / 10).alias("g"))
+    sized = chosen.withColumn("n", F.size("w").cast("long")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    p = F.lit(1) + F.floor((F.col("n") - F.col("a")) / (F.lit(3) + F.col("g") % 8))
+    steps = sized.withColumn("p", p).withColumn("steps", F.sequence(F.lit(0).cast("long"), F.col("n") - F.col("a") - 1))
+    tail = F.expr("transform(steps, i -> element_at(w, int(a + i % p + 1)))")
+    made = F.concat_ws(" ", F.concat(F.expr("slice(w, 1, int(a))"), tail))
+    return steps.select("doc_id", F.when(F.col("n") > 0, made).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_basic_factor_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_planted_tails(table(spark, sf_dir, "documents")))
+    lines = F.expr(r"array_join(transform(runs, r -> concat_ws(',', r.start, r.length, r.period) || '\n'), '')")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op12_block_rules")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op13_prefix_suffix_tiles")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_forms(word_counts(table(spark, sf_dir, "documents"), slip=97))
