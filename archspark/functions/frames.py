@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,3 +62,26 @@ def rank_in(value: Column, ordered: Sequence[str], default: int = 99) -> Column:
     for i, item in reversed(list(enumerate(ordered))):
         expr = F.when(value == item, F.lit(i)).otherwise(expr)
     return expr
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it, also inside its lambdas.
+
+    An expression in a lambda is evaluated for each element; a lambda variable is not.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column) -> Column:
+    """Running sums of an array of ints.
+
+    A fold copies its state at each element, so one that grows a list costs quadratic time. Here the array is added to itself,
+    moved by 1, 2, 4, ... places: as many passes as its length has binary digits.
+    """
+
+    def add(sums: Column, move: Column) -> Column:
+        moved = F.concat(F.array_repeat(F.lit(0), F.least(move, F.size(sums))), F.slice(sums, F.lit(1), F.greatest(F.size(sums) - move, F.lit(0))))
+        return F.zip_with(sums, moved, lambda a, b: a + b)
+
+    digits = F.length(F.bin(F.size(values)))
+    return F.aggregate(F.sequence(F.lit(0), digits - 1), values, lambda sums, k: add(sums, F.pow(F.lit(2), k).cast("int")))

@@ -7,11 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-HIT = "array<struct<match:string,line:int,start:int,stop:int>>"
+from archspark.functions.frames import let, running
+
+HIT = "array<struct<match:string,line:int,start:int,stop:int,before:string>>"
+
+
+def feeds(text: Column) -> Column:
+    """Line feeds in a text."""
+    return F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """All matches in order with their line and the offsets of their start and end.
+    """All matches in order with their line, the offsets of their start and end, and the text since the match before.
 
     Spark gives matched strings only, so the text in front of each is captured too
     and the lengths are added up.  ``\\G`` ties a search to the end of the last
@@ -20,48 +27,72 @@ def matches(text: Column, pattern: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     before = F.regexp_extract_all(text, F.lit(rf"\G(?s:(.*?))(?:{pattern})"), F.lit(1))
 
-    def feeds(s: Column) -> Column:
-        return F.char_length(s) - F.char_length(F.replace(s, F.lit("\n"), F.lit("")))
+    def sums(held: Column) -> Column:
+        size = lambda measure: running(F.zip_with(held["before"], held["found"], lambda b, m: measure(b) + measure(m)))
+        ends = F.arrays_zip(held["found"].alias("match"), held["before"].alias("before"),
+                            size(F.char_length).alias("stop"), size(feeds).alias("feeds"))
+        return F.transform(ends, lambda e: F.struct(
+            e["match"].alias("match"), (e["feeds"] - feeds(e["match"]) + 1).alias("line"),
+            (e["stop"] - F.char_length(e["match"])).alias("start"), e["stop"].alias("stop"), e["before"].alias("before")))
 
-    def step(acc: Column, hit: Column) -> Column:
-        start = acc["at"] + F.char_length(hit["before"])
-        line = acc["line"] + feeds(hit["before"])
-        stop = start + F.char_length(hit["match"])
-        row = F.struct(hit["match"].alias("match"), line.alias("line"), start.alias("start"), stop.alias("stop"))
-        return F.struct(
-            stop.alias("at"), (line + feeds(hit["match"])).alias("line"), F.array_append(acc["rows"], row).alias("rows")
-        )
+    held = F.struct(found.alias("found"), before.alias("before"))
+    return F.when(text.rlike(pattern), let(held, sums)).otherwise(F.expr(f"cast(array() as {HIT})"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), F.expr(f"cast(array() as {HIT})").alias("rows"))
-    pairs = F.zip_with(before, found, lambda b, m: F.struct(b.alias("before"), m.alias("match")))
-    rows = F.aggregate(pairs, zero, step, lambda acc: acc["rows"])
-    return F.when(text.rlike(pattern), rows).otherwise(F.expr(f"cast(array() as {HIT})"))
 
+def _partners(pieces: Column) -> Column:
+    """Per piece the number of the piece that closes its brace; null where it closes one itself or has no partner.
 
-def block_body(text: Column, stop: Column) -> Column:
-    """Text from ``stop``, just behind an opening brace, to its matching closing brace or the end."""
-    rest = F.substring(text, stop + 1, F.lit(1 << 30))
-    pieces = F.regexp_extract_all(rest, F.lit(r"[^{}]*[{}]"), F.lit(0))
+    A piece is a text up to and with its brace. On one level of nesting, opening and closing braces
+    take turns, so sorted by level and place the partner of an opening brace is the next one, if that is of its level.
+    """
+    steps = F.transform(pieces, lambda p: F.when(p.endswith("{"), F.lit(1)).otherwise(F.lit(-1)))
 
-    def step(acc: Column, piece: Column) -> Column:
-        depth = acc["depth"] + F.when(piece.endswith("{"), 1).otherwise(-1)
-        return F.when(acc["depth"] == 0, acc).otherwise(
-            F.struct(depth.alias("depth"), (acc["size"] + F.char_length(piece)).alias("size"))
-        )
+    def pair(held: Column) -> Column:
+        placed = F.zip_with(held["steps"], held["depth"], lambda s, d: F.struct(
+            (d + F.when(s == 1, 0).otherwise(1)).alias("level"), (s == 1).alias("opens")))
+        ordered = F.array_sort(F.transform(placed, lambda p, i: F.struct(p["level"].alias("level"), i.alias("piece"), p["opens"].alias("opens"))))
+
+        def next_of(rows: Column) -> Column:
+            after = F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0)))
+            closes = F.zip_with(rows, after, lambda a, b: F.struct(
+                a["piece"].alias("piece"), F.when(a["opens"] & (a["level"] == b["level"]), b["piece"]).alias("close")))
+            return F.transform(F.array_sort(closes), lambda c: c["close"])
 
-    end = F.aggregate(pieces, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("size")), step)
-    return F.when(end["depth"] == 0, F.substring(rest, F.lit(1), end["size"] - 1)).otherwise(rest)
+        return let(ordered, next_of)
+
+    return let(steps, lambda s: let(F.struct(s.alias("steps"), running(s).alias("depth")), pair))
 
 
 def blocks(text: Column, pattern: str) -> Column:
-    """Declarations whose pattern ends at an opening brace, with their brace body."""
-    return F.transform(
-        matches(text, pattern),
-        lambda h: F.struct(
-            h["match"].alias("header"), h["line"].alias("line"), h["start"].alias("start"),
-            h["stop"].alias("stop"), block_body(text, h["stop"]).alias("body"),
-        ),
-    )
+    """Declarations whose pattern ends at an opening brace, with their brace body.
+
+    The body runs to the partner of that brace, or to the end of the text where it has none. All braces of the text are
+    paired at once, so nested and repeated declarations don't search it again.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(r"[^{}]*[{}]"), F.lit(0))
+    braces = lambda s: F.char_length(s) - F.char_length(F.translate(s, "{}", ""))
+
+    def bodies(held: Column) -> Column:
+        def row(hit: Column, count: Column) -> Column:
+            close = held["partners"][count - 1]
+            last = F.coalesce(close, F.size(held["pieces"]) - 1)
+            inner = F.array_join(F.slice(held["pieces"], count + 1, last - count + 1), "")
+            return F.struct(
+                hit["match"].alias("header"), hit["line"].alias("line"), hit["start"].alias("start"), hit["stop"].alias("stop"),
+                hit["before"].alias("before"),
+                F.when(close.isNull(), F.concat(inner, F.element_at(F.split(text, "[{}]"), -1)))
+                .otherwise(F.substring(inner, F.lit(1), F.char_length(inner) - 1)).alias("body"),
+            )
+
+        counts = running(F.transform(held["hits"], lambda h: braces(h["before"]) + braces(h["match"])))
+        return F.zip_with(held["hits"], counts, row)
+
+    def paired(held: Column) -> Column:
+        return let(F.struct(held["hits"].alias("hits"), held["pieces"].alias("pieces"), _partners(held["pieces"]).alias("partners")), bodies)
+
+    none = F.expr("cast(array() as array<struct<header:string,line:int,start:int,stop:int,before:string,body:string>>)")
+    held = F.struct(matches(text, pattern).alias("hits"), pieces.alias("pieces"))
+    return F.when(text.rlike(pattern), let(held, paired)).otherwise(none)
 
 
 def group(text: Column, pattern: str, index: int) -> Column:

@@ -273,10 +273,7 @@ def jvm_facts(files: DataFrame, keys: Sequence[str]) -> DataFrame:
     default = F.col("language") == "java"
 
     def with_parts(b: Column) -> Column:
-        before = F.substring(text, F.lit(1), b["start"])
-        tail = F.char_length(F.substring_index(before, "\n", -1))
-        feed = F.when(before.contains("\n"), b["start"] - tail - 1).otherwise(F.lit(-1))
-        preamble = F.substring(before, F.greatest(feed - 400, F.lit(0)) + 1, F.lit(1 << 30))
+        preamble = F.element_at(F.split(b["before"], "[;{}]"), -1)  # back to the end of the declaration before
         notes = F.concat(_all(JVM_ANNOTATION, 1, preamble), _all(JVM_ATTRIBUTE, 1, preamble))
         known = F.filter(
             F.transform(notes, lambda n: first_match(F.lower(n), JVM_STEREOTYPES, contains=False)), lambda s: s != "")

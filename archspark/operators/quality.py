@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from archspark.functions import text as tx
-from archspark.functions.frames import half_even, rank_in, ratio, top_k
+from archspark.functions.frames import half_even, let, rank_in, ratio, running, top_k
+from archspark.functions.matching import feeds
 from archspark.functions.paths import is_test_file
 from archspark.schema import KEYS, SEVERITIES
 
@@ -20,7 +22,10 @@ MAX_MARKERS = 200
 
 @dataclass(frozen=True)
 class Rule:
-    """One text rule; ``pattern`` is a Java regular expression over the whole text."""
+    """One text rule; ``pattern`` is a Java regular expression over the whole text.
+
+    Every hit holds one of ``literals``, lower-cased, so a text without them needs no search; none means that it is always searched.
+    """
 
     id: str
     category: str
@@ -31,6 +36,7 @@ class Rule:
     fix: str = ""
     languages: tuple[str, ...] = ()
     ignore: str | None = None
+    literals: tuple[str, ...] = ()
 
 
 # What marks a matched credential as a placeholder.
@@ -46,101 +52,126 @@ RULES: tuple[Rule, ...] = (
          r"""(?i)\b(?:password|passwd|pwd|secret|secret_key|api[_-]?key|apikey|access[_-]?token|auth[_-]?token|"""
          r"""private[_-]?key|client[_-]?secret|connection[_-]?string)\b\s*[:=]\s*["'][^"'\n]{8,}["']""",
          "Anyone with the repository can read it, now and in its history.",
-         "Read the value from a secret store and replace the exposed one.", ignore=PLACEHOLDER),
+         "Read the value from a secret store and replace the exposed one.", ignore=PLACEHOLDER,
+         literals=("password", "passwd", "pwd", "secret", "key", "token", "connection")),
     Rule("sec.private_key", "security", "critical", "Private key material in the repository",
          r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY-----",
-         "The key lets any reader act as its owner.", "Delete and purge the key, then issue a new pair."),
+         "The key lets any reader act as its owner.", "Delete and purge the key, then issue a new pair.",
+         literals=("private key-----",)),
     Rule("sec.cloud_key", "security", "critical", "Cloud provider access key",
          r"\b(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|AIza[0-9A-Za-z_\-]{35}|sk-[A-Za-z0-9]{32,}|ghp_[A-Za-z0-9]{36})\b",
-         "The key opens paid infrastructure.", "Revoke it and load keys from the provider's vault."),
+         "The key opens paid infrastructure.", "Revoke it and load keys from the provider's vault.",
+         literals=("akia", "asia", "aiza", "sk-", "ghp_")),
     Rule("sec.sql_injection", "security", "critical", "SQL built by string concatenation",
          r"""(?is)(?:execute|executemany|query|raw|rawQuery|createQuery|prepareStatement)\s*\(\s*"""
          r"""(?:f?["'][^"']{0,200}\b(?:select|insert|update|delete|drop)\b[^"']{0,200}["']\s*(?:\+|%|\.format\(|,\s*\()|"""
          r"""["'][^"']{0,200}\b(?:select|insert|update|delete)\b[^"']{0,200}\{)""",
-         "Text joined into SQL can change the statement.", "Bind parameters."),
+         "Text joined into SQL can change the statement.", "Bind parameters.",
+         literals=("select", "insert", "update", "delete", "drop")),
     Rule("sec.command_injection", "security", "high", "Shell command execution",
          r"""(?:os\.system\s*\(|subprocess\.[A-Za-z_]+\([^)]*shell\s*=\s*True|child_process\.exec\s*\(|"""
          r"""Runtime\.getRuntime\(\)\.exec\s*\(|Process\.Start\s*\(|exec\.Command\s*\(\s*["'](?:sh|bash|cmd))""",
-         "A shell interprets whatever text reaches it.", "Start the program with an argument list."),
+         "A shell interprets whatever text reaches it.", "Start the program with an argument list.",
+         literals=("os.system", "subprocess.", "child_process", "getruntime", "process.start", "exec.command")),
     Rule("sec.dynamic_eval", "security", "high", "Dynamic code evaluation",
          r"""(?<![\w.])(?:eval|exec)\s*\(|new\s+Function\s*\(|setTimeout\s*\(\s*["']|Function\s*\(\s*["']""",
-         "Evaluated text is code.", "Use a parser or a lookup table."),
+         "Evaluated text is code.", "Use a parser or a lookup table.",
+         literals=("eval", "exec", "function", "settimeout")),
     Rule("sec.unsafe_deserialization", "security", "high", "Unsafe deserialization",
          r"(?:pickle\.loads?|cPickle\.loads?|marshal\.loads|yaml\.load\s*\((?![^)]*Safe)|"
          r"ObjectInputStream|BinaryFormatter|JsonConvert\.DeserializeObject<object>|unserialize\s*\()",
-         "Loading can create any object and run code.", "Use a safe loader or check a signature first."),
+         "Loading can create any object and run code.", "Use a safe loader or check a signature first.",
+         literals=("pickle.load", "marshal.load", "yaml.load", "objectinputstream", "binaryformatter", "deserializeobject", "unserialize")),
     Rule("sec.weak_crypto", "security", "high", "Weak or broken cryptography",
          r"""(?i)\b(?:md5|sha1)\s*\(|MessageDigest\.getInstance\s*\(\s*["'](?:MD5|SHA-?1)["']|"""
          r"""hashlib\.(?:md5|sha1)\b|new\s+(?:MD5|SHA1)CryptoServiceProvider|\bDES(?:ede)?\b|\bRC4\b|"""
          r"""Cipher\.getInstance\s*\(\s*["'][^"']*ECB""",
-         "The algorithm is broken for secrets and integrity.", "Use SHA-256, argon2 or AES-GCM."),
+         "The algorithm is broken for secrets and integrity.", "Use SHA-256, argon2 or AES-GCM.",
+         literals=("md5", "sha1", "sha-1", "des", "rc4", "ecb")),
     Rule("sec.tls_disabled", "security", "critical", "Certificate validation disabled",
          r"""(?:verify\s*=\s*False|rejectUnauthorized\s*:\s*false|InsecureSkipVerify\s*:\s*true|"""
          r"""NODE_TLS_REJECT_UNAUTHORIZED\s*=\s*["']?0|ServerCertificateValidationCallback\s*(?:\+)?=|"""
          r"""TrustAllCerts|CURLOPT_SSL_VERIFYPEER\s*,\s*(?:false|0))""",
-         "Nothing proves who answers the connection.", "Trust the right authority or pin the certificate."),
+         "Nothing proves who answers the connection.", "Trust the right authority or pin the certificate.",
+         literals=("verify", "rejectunauthorized", "node_tls_reject", "servercertificate", "trustallcerts")),
     Rule("sec.plaintext_transport", "security", "medium", "Plain-text HTTP endpoint",
          r"""["']http://(?!localhost|127\.0\.0\.1|0\.0\.0\.0|\{|\$)[A-Za-z0-9.\-]+""",
-         "The traffic can be read and changed on its way.", "Use https."),
+         "The traffic can be read and changed on its way.", "Use https.",
+         literals=("http://",)),
     Rule("sec.permissive_cors", "security", "high", "Wildcard CORS policy",
          r"""(?:Access-Control-Allow-Origin["']?\s*[:,]\s*["']\*|allow_origins\s*=\s*\[\s*["']\*|"""
          r"""origin\s*:\s*["']\*|AllowAnyOrigin\s*\(\s*\))""",
-         "Every site may call with the visitor's credentials.", "List the allowed origins."),
+         "Every site may call with the visitor's credentials.", "List the allowed origins.",
+         literals=("origin",)),
     Rule("sec.debug_enabled", "security", "medium", "Debug mode enabled in code",
          r"(?:debug\s*=\s*True|DEBUG\s*=\s*True|app\.run\([^)]*debug\s*=\s*True|UseDeveloperExceptionPage\s*\()",
-         "Debug pages show internals.", "Set the flag from configuration."),
+         "Debug pages show internals.", "Set the flag from configuration.",
+         literals=("debug", "usedeveloperexceptionpage")),
     Rule("sec.xss_sink", "security", "high", "Unescaped HTML sink",
          r"(?:innerHTML\s*=|outerHTML\s*=|document\.write\s*\(|dangerouslySetInnerHTML|v-html\s*=|\|\s*safe\b|Html\.Raw\s*\()",
          "Raw text in a page can be script.", "Set text content or sanitise.",
-         languages=("javascript", "typescript", "python", "csharp", "java")),
+         languages=("javascript", "typescript", "python", "csharp", "java"),
+         literals=("innerhtml", "outerhtml", "document.write", "v-html", "safe", "html.raw")),
     Rule("sec.weak_random", "security", "medium", "Predictable randomness for a secret",
          r"(?i)(?:token|secret|password|salt|nonce|session|otp|key)\s*=\s*[^;\n]*"
          r"\b(?:Math\.random|random\.random|random\.randint|rand\.Int|new\s+Random)\s*\(",
-         "The generator can be predicted.", "Use a cryptographic generator."),
+         "The generator can be predicted.", "Use a cryptographic generator.",
+         literals=("random", "rand.int")),
     Rule("sec.privileged_container", "security", "high", "Over-privileged container",
          r"(?:privileged\s*:\s*true|USER\s+root|runAsUser\s*:\s*0|--cap-add[= ]ALL|allowPrivilegeEscalation\s*:\s*true)",
          "The container can leave its isolation.", "Run as a plain user with single capabilities.",
-         languages=("docker", "yaml", "shell")),
+         languages=("docker", "yaml", "shell"),
+         literals=("privileged", "user", "cap-add", "allowprivilege")),
     Rule("perf.select_star", "performance", "medium", "SELECT * query", r"(?i)select\s+\*\s+from\s+\w",
-         "All columns travel whether used or not.", "Name the columns."),
+         "All columns travel whether used or not.", "Name the columns.",
+         literals=("select",)),
     Rule("perf.await_in_loop", "performance", "medium", "Sequential await inside a loop",
          r"(?m)^\s*(?:for|while)\b[^\n]*\n(?:[^\n]*\n){0,4}?[^\n]*\bawait\b",
          "Each round waits for the one before.", "Gather the tasks and await them together.",
-         languages=("javascript", "typescript", "python", "csharp")),
+         languages=("javascript", "typescript", "python", "csharp"),
+         literals=("await",)),
     Rule("perf.query_in_loop", "performance", "high", "Database query inside a loop (N+1)",
          r"(?mi)^\s*(?:for|foreach|while)\b[^\n]*\n(?:[^\n]*\n){0,4}?[^\n]*"
          r"(?:\.query\(|\.filter\(|\.findOne\(|\.findById\(|\.findMany\(|\.fetchone\(|"
          r"\.execute\(|session\.get\(|repository\.\w+\(|SELECT\s+\w)",
-         "The number of statements grows with the rows.", "Fetch all rows with one statement."),
+         "The number of statements grows with the rows.", "Fetch all rows with one statement.",
+         literals=("for", "while")),
     Rule("perf.blocking_sleep", "performance", "medium", "Blocking sleep on an async path",
          r"(?m)^\s*(?:async\s+def|async\s+function)[^\n]*\n(?:[^\n]*\n){0,20}?[^\n]*"
          r"\b(?:time\.sleep|Thread\.sleep|Thread\.Sleep)\s*\(",
          "The event loop stands still.", "Use the asynchronous sleep.",
-         languages=("python", "javascript", "typescript", "csharp", "java")),
+         languages=("python", "javascript", "typescript", "csharp", "java"),
+         literals=("sleep",)),
     Rule("perf.unbounded_fetch", "performance", "low", "Unbounded result set",
          r"(?i)(?:\.all\(\)|findAll\(\s*\)|\.ToList\(\)|fetchall\(\))(?![^\n]*\b(?:limit|take|top|slice)\b)",
-         "A whole table may not fit in memory.", "Page or stream the rows."),
+         "A whole table may not fit in memory.", "Page or stream the rows.",
+         literals=("all()", "findall(", "tolist()")),
     Rule("perf.sync_io_in_request", "performance", "low", "Synchronous file I/O on a request path",
          r"(?:readFileSync|writeFileSync|existsSync)\s*\(",
-         "One call holds up every request.", "Use the asynchronous calls.", languages=_JS),
+         "One call holds up every request.", "Use the asynchronous calls.", languages=_JS,
+         literals=("filesync", "existssync")),
     Rule("debt.silent_failure", "debt", "high", "Silently swallowed exception",
          r"(?m)(?:except[^\n:]*:\s*\n\s*(?:pass|\.\.\.)\s*$|catch\s*\([^)]*\)\s*\{\s*\}|"
          r"catch\s*\([^)]*\)\s*\{\s*//[^\n]*\n\s*\}|rescue\s*\n\s*end)",
-         "The error leaves no trace.", "Log it or let it rise."),
+         "The error leaves no trace.", "Log it or let it rise.",
+         literals=("except", "catch", "rescue")),
     Rule("debt.broad_except", "debt", "medium", "Catch-all exception handler",
          r"(?:except\s+(?:BaseException|Exception)?\s*:|catch\s*\(\s*(?:Exception|Throwable|System\.Exception)\s+\w+\s*\)|catch\s*\{)",
-         "Programming errors hide behind expected ones.", "Catch the types you can handle."),
+         "Programming errors hide behind expected ones.", "Catch the types you can handle.",
+         literals=("except", "catch")),
     Rule("debt.magic_number", "debt", "low", "Unexplained magic number",
          r"""(?<![\w."'])(?:if|while|return|=|<|>|\+|\-|\*)\s*(?:\w+\s*[<>=!]=?\s*)?\b\d{4,}\b(?!\s*[)\]]?\s*[;,]?\s*(?://|#))""",
          "A bare number has no meaning to check.", "Name the value."),
     Rule("debt.console_logging", "debt", "low", "Ad-hoc console logging",
          r"(?<![\w.])(?:console\.(?:log|debug)|print\s*\(|System\.out\.println|fmt\.Println)\s*\(",
          "The output has no level and no target.", "Use the project's logger.",
-         languages=("javascript", "typescript", "java", "go")),
+         languages=("javascript", "typescript", "java", "go"),
+         literals=("console.", "print")),
     Rule("debt.loose_typing", "debt", "medium", "Type system escape hatch",
          r"(?::\s*any\b|as\s+any\b|@ts-ignore|@ts-nocheck|# type:\s*ignore|dynamic\s+\w+\s*=|Object\s+\w+\s*=\s*\()",
          "The checker no longer sees the value.", "Give the exact type.",
-         languages=("typescript", "python", "csharp", "java")),
+         languages=("typescript", "python", "csharp", "java"),
+         literals=("any", "@ts-", "type:", "dynamic", "object")),
 )
 
 # Debt marker words.
@@ -161,28 +192,61 @@ def snippet(line: Column) -> Column:
     return F.when(F.char_length(line) > 140, F.concat(F.substring(line, 1, 140), F.lit("…"))).otherwise(line)
 
 
+def literal_search(literals: Iterable[str]) -> str:
+    """A pattern that finds at every place the longest literal that starts there, in one pass over the text.
+
+    The literals are folded into a tree by common beginnings, so a place is left at the first letter on no branch.
+    """
+    tree: dict = {}
+    for literal in literals:
+        node = tree
+        for letter in literal:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def branch(node: dict) -> str:
+        ways = [re.sub(r"([^\w\s])", r"\\\1", letter) + branch(below) for letter, below in sorted(node.items()) if letter]
+        if not ways:
+            return ""
+        joined = ways[0] if len(ways) == 1 else "(?:" + "|".join(ways) + ")"
+        return f"(?:{joined})?" if "" in node else joined
+
+    return f"(?=({branch(tree)}))"
+
+
 def matching_rules(
     text: Column, language: Column, is_test: Column, rules: Sequence[Rule] = RULES
 ) -> Column:
     """Rules that apply to the file and occur in it; security rules skip test files.
 
-    One literal pattern per expression, so each is compiled once and evaluated in
-    generated code.  Most files match few rules; only those are looked at again.
+    One pass finds the literals of all rules; a rule's own pattern is tried only where one of its literals occurs, or a longer one that
+    holds it.
     """
-    tests = []
-    for rule in rules:
-        scope = text.rlike(rule.pattern)
-        if rule.category == "security":
-            scope = ~is_test & scope
-        if rule.languages:
-            scope = language.isin(*rule.languages) & scope
-        row = F.struct(
-            F.lit(rule.id).alias("rule"), F.lit(rule.category).alias("category"),
-            F.lit(rule.severity).alias("severity"), F.lit(rule.pattern).alias("pattern"),
-            F.lit(rule.ignore).cast("string").alias("ignore"),
-        )
-        tests.append(F.when(scope, row))
-    return F.array_compact(F.array(*tests))
+    every = sorted({x for rule in rules for x in rule.literals})
+
+    def tests(found: Column) -> Column:
+        rows = []
+        for rule in rules:
+            scope = text.rlike(rule.pattern)
+            if rule.literals:
+                holds = [x for x in every if any(y in x for y in rule.literals)]
+                scope = F.arrays_overlap(found, F.array(*[F.lit(x) for x in holds])) & scope
+            if rule.category == "security":
+                scope = ~is_test & scope
+            if rule.languages:
+                scope = language.isin(*rule.languages) & scope
+            row = F.struct(
+                F.lit(rule.id).alias("rule"), F.lit(rule.category).alias("category"),
+                F.lit(rule.severity).alias("severity"), F.lit(rule.pattern).alias("pattern"),
+                F.lit(rule.ignore).cast("string").alias("ignore"),
+            )
+            rows.append(F.when(scope, row))
+        return F.array_compact(F.array(*rows))
+
+    if not every:
+        return tests(F.array().cast("array<string>"))
+    found = F.regexp_extract_all(F.lower(text), F.lit(literal_search(every)), F.lit(1))
+    return let(F.array_distinct(found), tests)
 
 
 def rule_hits(rule: Column, text: Column, lines: Column, limit: int | None = None) -> Column:
@@ -197,27 +261,14 @@ def rule_hits(rule: Column, text: Column, lines: Column, limit: int | None = Non
         text, F.concat(F.lit(r"\G(?s:(.*?))(?:"), rule["pattern"], F.lit(")")), F.lit(1)
     )
 
-    def feeds(s: Column) -> Column:
-        return F.char_length(s) - F.char_length(F.replace(s, F.lit("\n"), F.lit("")))
-
-    def step(acc: Column, hit: Column) -> Column:
-        line = acc["line"] + feeds(hit["before"])
-        ignored = F.coalesce(F.rlike(hit["fragment"], rule["ignore"]), F.lit(False))
-        found = F.struct(line.alias("line"), hit["fragment"].alias("fragment"))
-        return F.struct(
-            (line + feeds(hit["fragment"])).alias("line"),
-            F.when(
-                ~ignored if limit is None else (F.size(acc["hits"]) < limit) & ~ignored, F.array_append(acc["hits"], found)
-            ).otherwise(acc["hits"]).alias("hits"),
-        )
-
-    start = F.struct(
-        F.lit(1).alias("line"), F.expr("cast(array() as array<struct<line:int,fragment:string>>)").alias("hits")
-    )
-    zipped = F.zip_with(before, fragments, lambda b, f: F.struct(b.alias("before"), f.alias("fragment")))
-    hits = F.aggregate(zipped, start, step, lambda acc: acc["hits"])
+    def placed(held: Column) -> Column:
+        upto = running(F.zip_with(held["before"], held["fragments"], lambda b, f: feeds(b) + feeds(f)))
+        return F.zip_with(held["fragments"], upto, lambda f, n: F.struct((n - feeds(f) + 1).alias("line"), f.alias("fragment")))
+
+    every = let(F.struct(fragments.alias("fragments"), before.alias("before")), placed)
+    hits = F.filter(every, lambda h: ~F.coalesce(F.rlike(h["fragment"], rule["ignore"]), F.lit(False)))
     return F.transform(
-        hits,
+        hits if limit is None else F.slice(hits, 1, limit),
         lambda h: F.struct(
             rule["rule"].alias("rule"), rule["category"].alias("category"), rule["severity"].alias("severity"),
             h["line"].alias("line"),
@@ -227,8 +278,9 @@ def rule_hits(rule: Column, text: Column, lines: Column, limit: int | None = Non
 
 
 def file_findings(matched: Column, text: Column, lines: Column) -> Column:
-    """All hits of the matched rules of one file."""
-    return F.flatten(F.transform(matched, lambda rule: rule_hits(rule, text, lines)))
+    """All hits of the matched rules of one file; the text is split into lines once."""
+    held = F.struct(matched.alias("matched"), lines.alias("lines"))
+    return let(held, lambda h: F.flatten(F.transform(h["matched"], lambda rule: rule_hits(rule, text, h["lines"]))))
 
 
 def file_markers(lines: Column, limit: int | None = None) -> Column:
