@@ -13,6 +13,7 @@ from archspark.operators import iterate as it
 from archspark.operators import metrics as m
 from archspark.queries.registry import query, table
 from archspark.schema import LAYERS
+from archspark.session import staged
 
 K = ["project_id"]
 DAY, MONTH, YEAR = ("yyyy-MM-dd", "%Y-%m-%d"), ("yyyy-MM", "%Y-%m"), ("yyyy", "%Y")
@@ -30,6 +31,7 @@ def trade(spark: SparkSession, sf: str, period=MONTH) -> tuple[DataFrame, DataFr
         pairs, K, source=F.concat(F.lit("c"), F.col("o_custkey")), target=F.concat(F.lit("s"), F.col("l_suppkey")),
         kind=F.lit("uses"), weight=F.col("weight"),
     )
+    edges = staged(edges, "trade-edges")  # several branches of a plan read nodes and edges
     layer = F.element_at(F.array(*[F.lit(x) for x in LAYERS]), F.col("n_regionkey") + 1)
     nations = table(spark, sf, "nation").select(F.col("n_nationkey"), "n_name", layer.alias("layer"))
     who = table(spark, sf, "customer").select(
@@ -47,7 +49,7 @@ def trade(spark: SparkSession, sf: str, period=MONTH) -> tuple[DataFrame, DataFr
         id=F.concat(F.lit("module:"), F.col("n_name")), kind=F.lit("module"), name=F.col("n_name"),
         qualified_name=F.col("n_name"), module=F.col("n_name"),
     )
-    return people.unionByName(modules), edges
+    return staged(people.unionByName(modules), "trade-nodes"), edges
 
 
 def trade_sql(period=MONTH) -> str:
@@ -94,7 +96,7 @@ def module_edges(spark, sf):
 
 def modules_of(spark, sf, period):
     nodes, edges = trade(spark, sf, period)
-    mod = m.module_edges(edges, nodes, K)
+    mod = staged(m.module_edges(edges, nodes, K), "trade-modules")
     return nodes, edges, m.module_universe(nodes, mod, K), mod
 
 

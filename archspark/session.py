@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +50,34 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of any executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder as Parquet and read back: later branches read the columns they need."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def bucketed(df: DataFrame, columns: Sequence[str], name: str) -> tuple[DataFrame, str]:
+    """The table written to the shared folder in as many buckets as a shuffle has partitions, and its catalogue name.
+
+    Tables bucketed by the columns of a join meet without a shuffle; a checkpoint does not keep that property.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    table = f"{name}_{uuid.uuid4().hex}"
+    folder = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{table}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("path", folder).bucketBy(buckets, *columns).sortBy(*columns).saveAsTable(table)
+    return spark.table(table), table
+
+
+def drop_bucketed(spark: SparkSession, tables: Sequence[str]) -> None:
+    """Remove tables of ``bucketed`` from the catalogue and the shared folder."""
+    for table in tables:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{table}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

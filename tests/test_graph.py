@@ -47,6 +47,39 @@ def test_pagerank_against_plain_iteration(spark):
     assert all(abs(got[i] - rank[i]) < 1e-9 for i in ids)
 
 
+def test_pagerank_stops_by_project_and_leaves_no_tables(spark):
+    rnd = random.Random(4)
+    graphs = {}
+    for project, size, n in (("ring", 12, 0), ("web", 40, 160), ("lone", 3, 0)):
+        ids = [f"n{i}" for i in range(size)]
+        edges = {(ids[i], ids[(i + 1) % size]): 1 for i in range(size)} if project == "ring" else {}
+        edges |= {(rnd.choice(ids[: size // 2]), rnd.choice(ids)): rnd.randint(1, 9) for _ in range(n)}
+        graphs[project] = (ids, {k: w for k, w in edges.items() if k[0] != k[1]})
+    rows = [(p, i) for p, (ids, _) in graphs.items() for i in ids]
+    nodes = spark.createDataFrame(rows, "project_id string, id string")
+    nodes = g.node_frame(nodes, K, id=F.col("id"), kind=F.lit("class"), name=F.col("id"), qualified_name=F.col("id"))
+    rows = [(p, a, b, float(w)) for p, (_, edges) in graphs.items() for (a, b), w in edges.items()] + [("web", "n0", "elsewhere", 5.0)]
+    edges = spark.createDataFrame(rows, "project_id string, a string, b string, w double")
+    edges = g.edge_frame(edges, K, source=F.col("a"), target=F.col("b"), kind=F.lit("calls"), weight=F.col("w"))
+    got = {(r.project_id, r.id): r.rank for r in it.pagerank(nodes, edges, K, tolerance=1e-4).collect()}
+    stops = {}
+    for project, (ids, links) in graphs.items():
+        out = {i: sum(w for (a, _), w in links.items() if a == i) for i in ids}
+        rank = dict.fromkeys(ids, 1 / len(ids))
+        for stops[project] in range(1, 61):
+            lost = sum(rank[i] for i in ids if not out[i])
+            new = {i: (0.15 + 0.85 * lost) / len(ids) for i in ids}
+            for (a, b), w in links.items():
+                new[b] += 0.85 * rank[a] * w / out[a]
+            change = sum(abs(new[i] - rank[i]) for i in ids)
+            rank = new
+            if change < 1e-4 * len(ids):
+                break
+        assert all(abs(got[project, i] - rank[i]) < 1e-12 for i in ids)
+    assert stops["ring"] == stops["lone"] == 1 < stops["web"] < 60 and len(got) == 55
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(("flow_", "shares_"))]
+
+
 def test_symbol_choice_against_all_candidates(spark):
     rnd = random.Random(5)
     kinds, names = ["class", "interface", "function", "method", "enum"], ["get", "run", "Load"]
