@@ -104,7 +104,7 @@ def analyse(
     mod = stage(m.module_edges(edges, nodes, keys), "module_edges")
     cycles = stage(it.find_cycles(mod, keys), "cycles")
     cyclic = stage(it.cyclic_components(mod, keys), "cyclic_components")
-    metrics = stage(m.metric_row(nodes, edges, it.counted_cycles(cycles, cyclic, keys), keys, stage), "metrics")
+    metrics = stage(m.metric_row(nodes, edges, it.counted_cycles(cyclic, keys), keys, stage), "metrics")
     unindexed = sc.unindexed_foreign_keys(fks, indexes, columns, keys)
 
     def count(df: DataFrame, name: str) -> DataFrame:

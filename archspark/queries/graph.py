@@ -437,17 +437,39 @@ def cycle_edges(spark, sf):
     return it.cycle_edges(it.find_cycles(mod, K, max_length=3, limit=None), K)
 
 
-@query("cyclic_modules", """WITH RECURSIVE t AS (
-  SELECT month(o_orderdate) AS m, o_custkey % 97 AS a, (o_custkey * 7 + o_orderkey) % 89 AS b FROM orders WHERE o_orderkey % 3 < 2),
-e AS (SELECT DISTINCT 'p' || m AS project_id, 'm' || a AS a, 'm' || b AS b FROM t WHERE a <> b AND (a < b OR (a + b) % 41 = 0)),
+TANGLES = """
+t AS (SELECT 'p' || month(o_orderdate) AS project_id, o_custkey AS a, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey - o_custkey % 6 ELSE o_custkey + 1 + o_orderkey % 5 END AS b
+      FROM orders),
+e AS (SELECT DISTINCT project_id, 'm' || a AS a, 'm' || b AS b FROM t WHERE a <> b)"""
+
+
+def tangles(spark, sf):
+    """Every order as an import between numbered modules, one project per month; some lead on to the next few, some back to the first of six."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    target = F.when(key % 4 == 0, customer - customer % 6).otherwise(customer + 1 + key % 5)
+    rows = table(spark, sf, "orders").select(F.concat(F.lit("p"), F.month("o_orderdate")).alias("project_id"), customer.alias("a"), target.alias("b"))
+    name = lambda c: F.concat(F.lit("m"), F.col(c))
+    return rows.filter("a <> b").select("project_id", name("a").alias("src_module"), name("b").alias("dst_module"))
+
+
+@query("cyclic_modules", f"""WITH RECURSIVE {TANGLES},
 w AS (SELECT project_id, a, b FROM e UNION SELECT w.project_id, w.a, e.b FROM w JOIN e ON w.project_id = e.project_id AND w.b = e.a)
 SELECT x.project_id, x.a AS module, min(x.b) AS component FROM w x JOIN w y ON x.project_id = y.project_id AND x.a = y.b AND x.b = y.a
 GROUP BY x.project_id, x.a""")
 def cyclic_modules(spark, sf):
-    """Customers' orders as imports between numbered modules, one project per month; few ways lead back."""
-    t = table(spark, sf, "orders").filter("o_orderkey % 3 < 2").select(
-        F.month("o_orderdate").alias("m"), (F.col("o_custkey") % 97).alias("a"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 89).alias("b"))
-    t = t.filter("a <> b and (a < b or (a + b) % 41 = 0)")
-    name = lambda c: F.concat(F.lit("m"), F.col(c).cast("string"))
-    mod = t.select(F.concat(F.lit("p"), F.col("m").cast("string")).alias("project_id"), name("a").alias("src_module"), name("b").alias("dst_module"))
-    return it.cyclic_components(mod, K).select("project_id", "module", "component")
+    return it.cyclic_components(tangles(spark, sf), K).select("project_id", "module", "component")
+
+
+@query("long_cycles", f"""WITH RECURSIVE {TANGLES},
+w AS (
+  SELECT project_id, [a, b] AS members FROM e WHERE a < b
+  UNION ALL
+  SELECT w.project_id, list_append(members, e.b) FROM w JOIN e ON e.project_id = w.project_id AND e.a = members[-1]
+  WHERE e.b > members[1] AND NOT list_contains(members, e.b)
+)
+SELECT w.project_id, CAST(len(members) AS INTEGER) AS length, array_to_string(members, '>') AS members
+FROM w JOIN e ON e.project_id = w.project_id AND e.a = members[-1] AND e.b = members[1]""")
+def long_cycles(spark, sf):
+    """Cycles of any length."""
+    found = it.find_cycles(tangles(spark, sf), K, max_length=None, limit=None)
+    return found.select("project_id", "length", F.array_join("members", ">").alias("members"))
