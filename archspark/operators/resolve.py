@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from archspark.functions.frames import top_k
 from archspark.operators.graph import degree, edge_frame, index_symbols, node_frame, union_all
 from archspark.schema import KEYS
+from archspark.session import cut_lineage
 
 # Endings tried on a relative import, in order.
 PATH_ENDINGS = (
@@ -176,6 +177,38 @@ def _level_keys(file: Column, module: Column, language: Column, pools: Column, n
     ))
 
 
+#: Copies of a name's answer, among which the lookups of that name are dealt.
+SALTS = 16
+
+
+def _found(asks: DataFrame, best: DataFrame, keys: list[str], ask: list[str]) -> DataFrame:
+    """The lookups with their ``best`` at the first level that has symbols.
+
+    Levels that name a file or module are tried first; what finds nothing goes on to those that name neither. There a name
+    may be asked by a third of all files, so each (name, language) is looked up once, and its answer goes back in
+    ``SALTS`` copies.
+    """
+    slot = [*keys, "pool", "level", "name_lc", "k_file", "k_module", "k_language"]
+    near = [i for i, (f, m, _) in enumerate(_LEVELS) if f or m]
+    rest, found = cut_lineage(asks), None
+    for pool in ("own", "any"):
+        pools = F.array(F.col("want") if pool == "own" else F.lit("any"))
+        for wide in (False, True):
+            tried = rest.filter("want <> 'any'") if pool == "own" else rest
+            rows = tried.select(*ask, F.inline(F.filter(
+                _level_keys(F.col("a_file"), F.col("a_module"), F.col("a_language"), pools, F.col("name_lc")),
+                lambda k: k["level"].isin(near) != F.lit(wide))).alias("pool", "level", "name_", "k_file", "k_module", "k_language"))
+            if wide:
+                answers = best.join(rows.select(*slot).distinct(), slot, "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+                met = rows.withColumn("salt", F.pmod(F.xxhash64("a_file", "a_module"), F.lit(SALTS)).cast("int")).join(answers, [*slot, "salt"])
+            else:
+                met = rows.join(best, slot)
+            hits = cut_lineage(met.groupBy(*ask).agg(F.min_by("best", "level").alias("best")))
+            found = hits if found is None else found.unionByName(hits)
+            rest = cut_lineage(rest.join(hits, ask, "left_anti"))
+    return found
+
+
 def resolve_symbols(
     refs: DataFrame, symbols: DataFrame, nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = KEYS,
     ambiguous: int = 3,
@@ -185,8 +218,8 @@ def resolve_symbols(
     The order is lexicographic, so the winner is the best symbol of the first
     level that has one.  Symbols are reduced to the best two per level key before
     any reference meets them, two because a reference may not pick its own source.
-    A reference meets at most two rows per level, never all symbols of its name:
-    a name that a third of all files use costs as much per row as any other.
+    References that ask the same are one lookup, which goes on to the next levels only if those before found nothing
+    (``_found``). A reference whose level offers itself alone is looked up again at all levels.
     """
     base = nodes.select(*keys, F.col("id").alias("node_id"), "kind", "file", "module", "language")
     load = degree(edges, keys).withColumnRenamed("id", "node_id")
@@ -212,18 +245,24 @@ def resolve_symbols(
     asked = refs.join(source, [*keys, "source_id"]).withColumn("name_lc", F.lower("target_name"))
     want_module = F.when(F.coalesce("hint_module", F.lit("")) != "", F.col("hint_module")).otherwise(blankless("s_module"))
     want_language = F.when(F.coalesce(asked["language"], F.lit("")) != "", asked["language"]).otherwise(blankless("s_language"))
-    wanted = F.when(F.col("kind").isin("inherits", "implements", "composes"), F.array(F.lit("type"), F.lit("any"))).when(
-        F.col("kind") == "calls", F.array(F.lit("call"), F.lit("any"))
-    ).otherwise(F.array(F.lit("any")))
-    lookups = asked.select(
+    want = F.when(F.col("kind").isin("inherits", "implements", "composes"), "type").when(F.col("kind") == "calls", "call").otherwise("any")
+    asked = asked.withColumns({"want": want, "a_file": blankless("s_file"), "a_module": want_module, "a_language": want_language})
+    best = cut_lineage(best)
+    ask = [*keys, "want", "name_lc", "a_file", "a_module", "a_language"]
+    offers = asked.join(_found(asked.select(*ask).distinct(), best, keys, ask), ask, "left")
+    other = F.try_element_at(F.filter("best", lambda b: b["node_id"] != F.col("source_id")), F.lit(1))["node_id"]
+    first = cut_lineage(offers.select(*keys, "ref_id", "source_id", *[c for c in ask if c not in keys], "best", other.alias("target")))
+    alone = first.filter("best IS NOT NULL AND target IS NULL")
+    pools = F.when(F.col("want") == "any", F.array(F.lit("any"))).otherwise(F.array(F.col("want"), F.lit("any")))
+    lookups = alone.select(
         *keys, "ref_id", "source_id",
-        F.inline(_level_keys(blankless("s_file"), want_module, want_language, wanted, F.col("name_lc"))),
+        F.inline(_level_keys(F.col("a_file"), F.col("a_module"), F.col("a_language"), pools, F.col("name_lc"))),
     )
     met = lookups.join(best, slot).select(
-        *keys, "ref_id", (F.col("pool") == "any").alias("fallback"), "level",
-        F.try_element_at(F.filter("best", lambda b: b["node_id"] != F.col("source_id")), F.lit(1))["node_id"].alias("target"),
-    ).filter("target is not null")
-    winner = met.groupBy(*keys, "ref_id").agg(F.min_by("target", F.struct("fallback", "level")).alias("target"))
+        *keys, "ref_id", (F.col("pool") == "any").alias("fallback"), "level", other.alias("target")).filter("target is not null")
+    again = met.groupBy(*keys, "ref_id").agg(F.min_by("target", F.struct("fallback", "level")).alias("target"))
+    winner = first.filter("target IS NOT NULL").select(*keys, "ref_id", "target").unionByName(again)
+    asked = asked.drop("want", "a_file", "a_module", "a_language")
     own = symbols.select(*keys, "name_lc", F.col("node_id").alias("source_id"), F.lit(1).alias("own")).distinct()
     out = (
         asked.join(winner, [*keys, "ref_id"], "left")

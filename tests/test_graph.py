@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from archspark.operators import diff as d
@@ -103,13 +104,18 @@ def test_cycles_of_any_length_and_dead_ends(spark):
     assert sorted(short) == sorted(c for c in want if len(c) <= 4)
 
 
-def test_symbol_choice_against_all_candidates(spark):
+@pytest.mark.parametrize("size, files, names, asked", [
+    (40, 4, ["get", "run", "Load"], 80),
+    (300, 150, ["get", *(f"name{i}" for i in range(200))], 1500),  # a third of the references ask for one name of few symbols
+])
+def test_symbol_choice_against_all_candidates(spark, size, files, names, asked):
     rnd = random.Random(5)
-    kinds, names = ["class", "interface", "function", "method", "enum"], ["get", "run", "Load"]
-    rows = [(f"n{i:02}", rnd.choice(kinds), rnd.choice(names), f"f{rnd.randint(0, 3)}", f"m{rnd.randint(0, 2)}", rnd.choice(["python", "go"])) for i in range(40)]
-    links = [(f"n{rnd.randint(0, 39):02}", f"n{rnd.randint(0, 39):02}", 1) for _ in range(60)]
+    kinds = ["class", "interface", "function", "method", "enum"]
+    rows = [(f"n{i:03}", rnd.choice(kinds), rnd.choice(names), f"f{rnd.randrange(files)}", f"m{rnd.randint(0, 2)}", rnd.choice(["python", "go"])) for i in range(size)]
+    links = [(f"n{rnd.randrange(size):03}", f"n{rnd.randrange(size):03}", 1) for _ in range(60)]
     links = sorted({x for x in links if x[0] != x[1]})
-    refs = [("p", rnd.choice(rows)[0], rnd.choice(names), rnd.choice(["calls", "inherits", "composes", "uses"])) for _ in range(80)]
+    pick = lambda: "get" if rnd.random() < 0.33 else rnd.choice(names)
+    refs = [("p", rnd.choice(rows)[0], pick(), rnd.choice(["calls", "inherits", "composes", "uses"])) for _ in range(asked)]
     refs = sorted(set(refs))
     nodes, edges = node_rows(spark, rows), edge_rows(spark, links)
     ref_df = spark.createDataFrame(refs, "project_id string, source_id string, target_name string, kind string").selectExpr(
@@ -126,8 +132,8 @@ def test_symbol_choice_against_all_candidates(spark):
             fits = r[1] in ("class", "interface") if kind in ("inherits", "composes") else r[1] in ("function", "method") if kind == "calls" else False
             return (not fits, r[3] != s[3], r[4] != s[4], r[5] != s[5], deg[r[0]], r[0])
 
-        best = min(cands, key=order)
-        if best[4] != s[4] and best[5] != s[5] and len(cands) > 3:
+        best = min(cands, key=order, default=None)
+        if best and best[4] != s[4] and best[5] != s[5] and len(cands) > 3:
             best = None
         assert got[(src, name, kind)] == (best and best[0]), (src, name, kind)
 
