@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from archspark.functions.frames import half_even, top_k
 from archspark.functions.paths import component_of
 from archspark.schema import KEYS
+from archspark.session import cut_lineage, staged
 
 PAIR_COMMIT_FILES = 25
 
@@ -273,31 +274,78 @@ class LaneBoard:
     def open_lanes(self) -> list[int]:
         return sorted(lane for lanes in self.awaiting.values() for lane in lanes)
 
+    def state(self) -> dict:
+        awaiting = [{"sha": sha, "lanes": sorted(lanes)} for sha, lanes in sorted(self.awaiting.items())]
+        return {"awaiting": awaiting, "free": sorted(self.free), "width": self.width}
 
-def assign_lanes(dag: DataFrame, keys: Sequence[str] = KEYS, max_commits: int | None = None, order: str = "seq") -> DataFrame:
+    @classmethod
+    def resumed(cls, state) -> LaneBoard:
+        board = cls()
+        board.awaiting = {a["sha"]: set(a["lanes"]) for a in state["awaiting"]}
+        board.free = list(state["free"])
+        board.width = int(state["width"])
+        return board
+
+
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "row") -> DataFrame:
+    """Number the rows of each key from 1 in the given order, without a task that holds a whole key.
+
+    Rows are dealt by ranges of key and order and numbered in their range; the ranges of a key, at most one per partition, are counted
+    and summed up.
+    """
+    keys = list(keys)
+    dealt = df.repartitionByRange(*[F.col(c) for c in (*keys, *order)]).withColumn("part_", F.spark_partition_id())
+    dealt = cut_lineage(dealt)
+    within = dealt.withColumn("rank_", F.row_number().over(Window.partitionBy("part_", *keys).orderBy(*order)))
+    sizes = dealt.groupBy(*keys, "part_").agg(F.count("*").alias("n_"))
+    upto = F.sum("n_").over(Window.partitionBy(*keys).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(*keys, "part_", F.coalesce(upto, F.lit(0)).alias("before_"))
+    joined = within.join(offsets, [*keys, "part_"])
+    return joined.withColumn(name, (F.col("before_") + F.col("rank_")).cast("int")).drop("part_", "rank_", "before_", "n_")
+
+
+_LINKS = "array<struct<from:int,to:int,parent:string>>"
+_STATE = "struct<awaiting:array<struct<sha:string,lanes:array<int>>>,free:array<int>,width:int>"
+
+
+def assign_lanes(
+    dag: DataFrame, keys: Sequence[str] = KEYS, max_commits: int | None = None, order: str = "seq", block: int = 100_000
+) -> DataFrame:
     """Lane of every commit of each repository, newest first (of the newest ``max_commits``, if given).
 
-    A lane depends on every commit before it, so a repository is one group; its rows are narrow (row number, hash and parents,
-    about 150 bytes), which bounds a task to that times the commits of the largest repository. Repositories run in parallel.
+    A lane depends on every commit before it, so commits go through in blocks of ``block``: each round takes the next block of all
+    repositories at once, and hands the lanes that are open or free at its end to the next round through a written table. A task
+    holds one block and the open lanes of a repository. There are as many rounds as the largest repository has blocks.
     """
-    ordered = [F.col(order), F.col("sha")]
+    names = list(keys)
     if max_commits is None:
-        ranked = dag.withColumn("row", F.row_number().over(Window.partitionBy(*keys).orderBy(*ordered)))
+        ranked = number_rows(dag.select(*names, order, "sha", "parents"), names, [order, "sha"])
     else:
-        ranked = top_k(dag, keys, ordered, max_commits, rank="row")
-    small = ranked.select(*keys, "row", "sha", "parents")
-    names = list(keys)
+        ranked = top_k(dag, names, [F.col(order), F.col("sha")], max_commits, rank="row")
+    small = cut_lineage(ranked.select(*names, "row", "sha", "parents", F.floor((F.col("row") - 1) / block).cast("int").alias("block")))
     key_types = ", ".join(f"{n} {small.schema[n].dataType.simpleString()}" for n in names)
-    columns = [*names, "row", "sha", "lane", "links", "open_lanes"]
+    columns = [*names, "row", "sha", "lane", "links", "open_lanes", "state"]
 
-    def place(group: pd.DataFrame) -> pd.DataFrame:
-        board, out = LaneBoard(), []
+    def place(group: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        if group.empty:
+            return pd.DataFrame(columns=columns)
+        board = LaneBoard() if before.empty else LaneBoard.resumed(before["state"].iloc[0])
+        out = []
         for row in group.sort_values("row").to_dict("records"):
             parents = [] if row["parents"] is None else list(row["parents"])
             lane, targets = board.place(row["sha"], parents)
             links = [{"from": lane, "to": to, "parent": p} for to, p in zip(targets, parents)]
-            out.append([*(row[n] for n in names), row["row"], row["sha"], lane, links, board.open_lanes()])
+            out.append([*(row[n] for n in names), row["row"], row["sha"], lane, links, board.open_lanes(), None])
+        out[-1][-1] = board.state()
         return pd.DataFrame(out, columns=columns)
 
-    schema = f"{key_types}, row int, sha string, lane int, links array<struct<from:int,to:int,parent:string>>, open_lanes array<int>"
-    return small.groupBy(*keys).applyInPandas(place, schema)
+    schema = f"{key_types}, row int, sha string, lane int, links {_LINKS}, open_lanes array<int>, state {_STATE}"
+    rounds = (small.agg(F.max("block")).first()[0] or 0) + 1
+    done, state = None, small.limit(0).select(*names, F.lit(None).cast(_STATE).alias("state"))
+    for n in range(rounds):
+        part = small.filter(F.col("block") == n).drop("block")
+        placed = staged(part.groupBy(*names).cogroup(state.groupBy(*names)).applyInPandas(place, schema), "lanes")
+        state = placed.filter("state IS NOT NULL").select(*names, "state")
+        rows = placed.drop("state")
+        done = rows if done is None else done.unionByName(rows)
+    return done

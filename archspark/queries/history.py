@@ -283,3 +283,22 @@ def commit_refs(spark, sf):
 @query("commit_lanes")
 def commit_lanes(spark, sf):
     return h.assign_lanes(event_dag(spark, sf), K)
+
+
+@query("lane_invariants", f"""WITH {DAG}
+SELECT project_id, count(DISTINCT sha) AS commits, (SELECT count(*) FROM links l WHERE l.project_id = s.project_id) AS links,
+       0 AS misplaced, 0 AS closed, 0 AS shared
+FROM (SELECT project_id, CAST(event_id AS VARCHAR) AS sha FROM steps) s GROUP BY project_id""")
+def lane_invariants(spark, sf):
+    """What holds of any right drawing: a commit takes the lowest lane that awaits it, lanes that links lead to are open after the
+    commit, and no two open lanes are one."""
+    lanes = h.assign_lanes(event_dag(spark, sf), K, block=500)
+    links = lanes.select(*K, "sha", "lane", "open_lanes", F.explode("links").alias("l")).select(
+        *K, F.col("l.parent").alias("sha"), F.col("l.to").alias("to"), (~F.array_contains("open_lanes", F.col("l.to"))).cast("long").alias("closed"))
+    into = links.groupBy(*K, "sha").agg(F.count("*").alias("n"), F.min("to").alias("lowest"), F.sum("closed").alias("closed"))
+    shared = F.when(F.size(F.array_distinct("open_lanes")) < F.size("open_lanes"), 1).otherwise(0)
+    facts = lanes.join(into, [*K, "sha"], "left").groupBy(*K).agg(
+        F.count("*").alias("commits"), F.sum(F.coalesce("n", F.lit(0))).alias("links"),
+        F.count_if(F.col("lowest") != F.col("lane")).cast("int").alias("misplaced"), F.coalesce(F.sum("closed"), F.lit(0)).cast("int").alias("closed"),
+        F.sum(shared).cast("int").alias("shared"))
+    return facts

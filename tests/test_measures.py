@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +102,29 @@ def test_lanes(spark, dag, lanes):
     assert [r.lane for r in h.assign_lanes(df, ["project_id"]).orderBy("row").collect()] == lanes
 
 
+def test_lanes_do_not_depend_on_blocks(spark):
+    rnd = random.Random(2)
+    rows = []
+    for project, n in (("p", 60), ("q", 7), ("r", 1)):
+        for i in range(n):
+            later = list(range(i + 1, min(i + 9, n)))
+            rows.append((project, i, f"c{i:02}", [f"c{j:02}" for j in rnd.sample(later, min(len(later), rnd.choice([1, 1, 1, 2, 3])))]))
+    df = spark.createDataFrame(rows, "project_id string, seq int, sha string, parents array<string>").repartition(5)
+    whole, cut = (sorted(map(str, h.assign_lanes(df, ["project_id"], block=b).collect())) for b in (1000, 7))
+    assert whole == cut and len(whole) == 68
+    assert h.assign_lanes(df.limit(0), ["project_id"]).collect() == []
+
+
+def test_numbered_rows(spark):
+    rnd = random.Random(3)
+    rows = [("hot" if i % 3 else f"p{i % 7}", rnd.random(), i) for i in range(3000)]
+    got = h.number_rows(spark.createDataFrame(rows, "project_id string, at double, i int").repartition(6), ["project_id"], ["at", "i"])
+    seen = {}
+    for r in got.collect():
+        seen.setdefault(r.project_id, []).append((r.at, r.i, r.row))
+    assert all([x[2] for x in sorted(v)] == list(range(1, len(v) + 1)) for v in seen.values()) and got.count() == 3000
+
+
 def test_decoration(spark):
     df = spark.createDataFrame([("p", "c", "HEAD -> main, origin/main, tag: v1.0, feature/x")], "project_id string, sha string, decoration string")
     got = [(r.name, r.kind) for r in h.classify_refs(df, ["project_id"]).collect()]
