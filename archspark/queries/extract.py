@@ -16,6 +16,7 @@ from archspark.queries import corpus
 from archspark.queries.registry import query, table
 from archspark.schema import KEYS
 from archspark.session import cut_lineage
+from archspark.sources.tree import classify_files
 
 PK = list(KEYS)
 K = ["project_id"]
@@ -260,6 +261,49 @@ def extract_ddl_keys(spark, sf):
     )
 
 
+# A script per customer: nested brackets, quoted commas and brackets, keys of tables, ALTER TABLE, a unique index over two columns.
+NESTED = (
+    "-- CREATE TABLE no{k} (a INT);\n"
+    "CREATE TABLE IF NOT EXISTS shop.c{k} (\n"
+    "  id BIGINT PRIMARY KEY, /* the key, */\n"
+    "  \"full name\" VARCHAR( 40 ) NOT NULL DEFAULT 'a, b); -- {k}',\n"
+    "  amount NUMERIC(10, 2) CHECK (amount > 0 AND (amount IS NOT NULL OR f(({n}),(2)) = 'UNIQUE')),\n"
+    "  state TEXT DEFAULT 'it''s (open' UNIQUE,\n"
+    "  nation_id INT REFERENCES nation{n}(id),\n"
+    "  CONSTRAINT fk{k} FOREIGN KEY (agent_id) REFERENCES \"agent\" (\"no\") ON DELETE CASCADE,\n"
+    "  CHECK ((id > {n}), 'x')\n"
+    ") ENGINE=InnoDB;\n"
+    "CREATE UNIQUE INDEX ux{k} ON shop.c{k} (lower(state), id);\n"
+    "ALTER TABLE c{k} ADD CONSTRAINT fb{k} FOREIGN KEY (boss_id) REFERENCES c{n} (id);\n"
+    "CREATE TABLE broken{k} (a INT, b TEXT\n"
+)
+
+
+@query("extract_ddl_nested", """SELECT 'p' || c_nationkey AS project_id, 'c' || c_custkey AS "table", x.what AS what, x.name AS name, x.detail AS detail, x.flag AS flag
+FROM (SELECT *, unnest([
+  {what: 'column', name: 'id', detail: 'BIGINT', flag: 'primary'}, {what: 'column', name: 'full name', detail: 'VARCHAR(40)', flag: 'required'},
+  {what: 'column', name: 'amount', detail: 'NUMERIC(10,2)', flag: ''}, {what: 'column', name: 'state', detail: 'TEXT', flag: 'unique'},
+  {what: 'column', name: 'nation_id', detail: 'INT', flag: ''}, {what: 'fk', name: 'nation_id', detail: 'nation' || c_nationkey, flag: 'id'},
+  {what: 'fk', name: 'agent_id', detail: 'agent', flag: 'no'}, {what: 'fk', name: 'boss_id', detail: 'c' || c_nationkey, flag: 'id'},
+  {what: 'index', name: 'lower(state)', detail: 'ux' || c_custkey, flag: 'unique'}, {what: 'index', name: 'id', detail: 'ux' || c_custkey, flag: 'unique'},
+  {what: 'origin', name: 'c' || c_custkey, detail: 'migration', flag: '2'}]) AS x FROM customer)""")
+def extract_ddl_nested(spark, sf):
+    text = F.replace(F.replace(F.lit(NESTED), F.lit("{k}"), F.col("c_custkey").cast("string")), F.lit("{n}"), F.col("c_nationkey").cast("string"))
+    scripts = table(spark, sf, "customer").select(
+        F.concat(F.lit("p"), "c_nationkey").alias("project_id"), F.lit("r1").alias("run_id"),
+        F.concat(F.lit("db/migrations/"), "c_custkey", F.lit("_c.sql")).alias("path"), text.alias("text"))
+    x = sql.extract_ddl(classify_files(scripts), PK)
+    flag = F.when(F.col("primary_key"), "primary").when(F.col("unique"), "unique").when(~F.col("nullable"), "required").otherwise("")
+    row = lambda what, name, detail, flag: ["project_id", "table", F.lit(what).alias("what"), name.alias("name"), detail.alias("detail"), flag.alias("flag")]
+    made = x.nodes.filter("kind = 'table'").withColumn("table", F.col("name"))
+    return g.union_all(
+        x.columns.select(*row("column", F.col("name"), F.col("type"), flag)),
+        x.fks.select(*row("fk", F.col("column"), F.col("references_table"), F.col("references_column"))),
+        x.indexes.select(*row("index", F.col("column"), F.col("index"), F.when(F.col("unique"), "unique").otherwise(""))),
+        made.select(*row("origin", F.col("name"), F.col("attr.extra")["origin"], F.col("line").cast("string"))),
+    )
+
+
 @query("extract_containers", f"""WITH {CORPUS}
 SELECT project_id, n.id AS id, n.kind AS kind, n.technology AS technology FROM (
   SELECT project_id, unnest(CASE lang
