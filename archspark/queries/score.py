@@ -15,6 +15,7 @@ from archspark.queries.extract import code_graph
 from archspark.queries.graph import DAY, MONTH, YEAR, modules_of, trade, trade_sql
 from archspark.queries.registry import query, table
 from archspark.schema import KEYS
+from archspark.session import staged
 
 K = ["project_id"]
 PK = list(KEYS)
@@ -204,70 +205,117 @@ def recent_runs(spark, sf):
     return sc.recent_runs(rows).select("run_id")
 
 
-# ---------------------------------------------------------------- comparison of two years
+# ---------------------------------------------------------------- comparison of each year with the one before
 
 
-def two_years(spark, sf):
+def consecutive(spark, sf):
+    """(nodes, edges) of the years before and of the years, both keyed by the later year; all pairs of consecutive years."""
     nodes, edges = trade(spark, sf, YEAR)
-    pick = lambda df, y: df.filter(F.col("project_id") == y).withColumn("project_id", F.lit("p"))
-    return (pick(nodes, "1996"), pick(edges, "1996")), (pick(nodes, "1997"), pick(edges, "1997"))
+    later = (F.col("project_id").cast("int") + 1).cast("string")
+    years = edges.select("project_id").distinct()
+    pairs = years.join(years.select(later.alias("project_id")), K, "left_semi")
+    move = lambda df: df.withColumn("project_id", later)
+    return tuple(move(df).join(pairs, K, "left_semi") for df in (nodes, edges)), tuple(df.join(pairs, K, "left_semi") for df in (nodes, edges))
 
 
 SIDES = trade_sql(YEAR) + """,
 nkeys AS (SELECT project_id, 'class:' || name AS key FROM active UNION SELECT project_id, 'module:' || module FROM active),
 ekeys AS (SELECT project_id, 'class:' || a.name AS "from", 'class:' || b.name AS "to", 'uses' AS kind FROM trade t JOIN who a ON a.id = source JOIN who b ON b.id = target),
+years AS (SELECT DISTINCT project_id, CAST(CAST(project_id AS INTEGER) + 1 AS VARCHAR) AS later FROM trade),
+pairs AS (SELECT later FROM years WHERE later IN (SELECT project_id FROM years)),
+hn AS (SELECT project_id, key FROM nkeys WHERE project_id IN (FROM pairs)),
+bn AS (SELECT later AS project_id, key FROM nkeys JOIN years USING (project_id) WHERE later IN (FROM pairs)),
+he AS (SELECT project_id, "from", "to", kind FROM ekeys WHERE project_id IN (FROM pairs)),
+be AS (SELECT later AS project_id, "from", "to", kind FROM ekeys JOIN years USING (project_id) WHERE later IN (FROM pairs)),
 nd AS (
-  SELECT key, 'added' AS change FROM (SELECT key FROM nkeys WHERE project_id = '1997' EXCEPT SELECT key FROM nkeys WHERE project_id = '1996')
-  UNION ALL SELECT key, 'removed' FROM (SELECT key FROM nkeys WHERE project_id = '1996' EXCEPT SELECT key FROM nkeys WHERE project_id = '1997')
+  SELECT *, 'added' AS change FROM (FROM hn EXCEPT FROM bn) UNION ALL SELECT *, 'removed' FROM (FROM bn EXCEPT FROM hn)
 ),
 ed AS (
-  SELECT *, 'added' AS change FROM (SELECT "from", "to", kind FROM ekeys WHERE project_id = '1997' EXCEPT SELECT "from", "to", kind FROM ekeys WHERE project_id = '1996')
-  UNION ALL SELECT *, 'removed' FROM (SELECT "from", "to", kind FROM ekeys WHERE project_id = '1996' EXCEPT SELECT "from", "to", kind FROM ekeys WHERE project_id = '1997')
+  SELECT *, 'added' AS change FROM (FROM he EXCEPT FROM be) UNION ALL SELECT *, 'removed' FROM (FROM be EXCEPT FROM he)
+),
+s AS (SELECT project_id, count(*) AS n FROM modules GROUP BY ALL), e AS (SELECT project_id, count(*) AS e FROM medges GROUP BY ALL),
+r AS (SELECT project_id, CAST(n AS DOUBLE) AS module_count, round_even(e / (n * (n - 1)), 4) AS density, 50.0 + 2 * (CAST(project_id AS INTEGER) * 3 % 10) AS score FROM s JOIN e USING (project_id)),
+l AS (UNPIVOT (SELECT project_id, CAST(module_count AS DOUBLE) AS module_count, CAST(density AS DOUBLE) AS density, CAST(score AS DOUBLE) AS score FROM r) ON module_count, density, score INTO NAME metric VALUE v),
+deltas AS (
+  SELECT h.project_id, metric, b.v AS before, h.v AS after, round_even(h.v - b.v, 4) AS delta
+  FROM l h JOIN years y ON y.later = h.project_id JOIN l b USING (metric) WHERE b.project_id = y.project_id
+),
+moved AS (
+  SELECT k.project_id, 'class:' || name AS key, b.degree AS degree_before, h.degree AS degree_after
+  FROM (SELECT later AS project_id, id, degree FROM deg JOIN years USING (project_id)) b JOIN deg h USING (project_id, id) JOIN who USING (id)
+  JOIN (SELECT later AS project_id FROM pairs) k USING (project_id) WHERE abs(h.degree - b.degree) >= 3
+),
+sizes AS (
+  SELECT later AS project_id, (SELECT count(*) FROM nd WHERE project_id = later AND change = 'added') AS added, (SELECT count(*) FROM nd WHERE project_id = later AND change = 'removed') AS removed,
+         (SELECT count(*) FROM ed WHERE project_id = later AND change = 'added') AS edges_added, (SELECT count(*) FROM ed WHERE project_id = later AND change = 'removed') AS edges_removed,
+         (SELECT before FROM deltas WHERE project_id = later AND metric = 'score') AS score_before, (SELECT after FROM deltas WHERE project_id = later AND metric = 'score') AS score_after
+  FROM pairs
 )"""
 
 
-@query("diff_nodes", f"WITH {SIDES} SELECT 'p' AS project_id, key, change, starts_with(key, 'module:') AS is_component FROM nd")
+@query("diff_nodes", f"WITH {SIDES} SELECT project_id, key, change, starts_with(key, 'module:') AS is_component FROM nd")
 def diff_nodes(spark, sf):
-    return d.diff_nodes(*two_years(spark, sf), K)
+    return d.diff_nodes(*consecutive(spark, sf), K)
 
 
-@query("diff_edges", f"""WITH {SIDES} SELECT 'p' AS project_id, * FROM ed""")
+@query("diff_edges", f"""WITH {SIDES} SELECT * FROM ed""")
 def diff_edges(spark, sf):
-    return d.diff_edges(*two_years(spark, sf), K)
+    return d.diff_edges(*consecutive(spark, sf), K)
 
 
-@query("changed_nodes", f"""WITH {SIDES},
-b AS (SELECT 'class:' || name AS key, layer, degree FROM deg JOIN who USING (id) WHERE project_id = '1996'),
-h AS (SELECT 'class:' || name AS key, layer, degree FROM deg JOIN who USING (id) WHERE project_id = '1997')
-SELECT key, b.degree AS degree_before, h.degree AS degree_after FROM b JOIN h USING (key) WHERE abs(h.degree - b.degree) >= 3""")
+@query("changed_nodes", f"""WITH {SIDES} SELECT * FROM moved""")
 def changed_nodes(spark, sf):
-    return d.changed_nodes(*two_years(spark, sf), K, limit=None).select("key", "degree_before", "degree_after")
+    return d.changed_nodes(*consecutive(spark, sf), K, limit=None).select("project_id", "key", "degree_before", "degree_after")
+
+
+METRICS = ("score", "module_count", "density")
 
 
 def year_metrics(spark, sf):
     nodes, edges, modules, mod = modules_of(spark, sf, YEAR)
-    rows = m.graph_shape(modules, mod, K).withColumn("score", F.lit(50.0) + F.col("project_id").cast("int") % 10)
-    pick = lambda y: rows.filter(F.col("project_id") == y).withColumn("project_id", F.lit("p"))
-    return pick("1996"), pick("1997")
+    year = F.col("project_id").cast("int")
+    rows = m.graph_shape(modules, mod, K).withColumn("score", F.lit(50.0) + 2 * (year * 3 % 10))
+    rows = staged(rows, "year-metrics")
+    before = rows.withColumn("project_id", (year + 1).cast("string")).join(rows.select("project_id"), K, "left_semi")
+    return before, rows.join(before.select("project_id"), K, "left_semi")
 
 
-@query("metric_delta", f"""WITH {trade_sql(YEAR)},
-s AS (SELECT project_id, count(*) AS n FROM modules GROUP BY ALL), e AS (SELECT project_id, count(*) AS e FROM medges GROUP BY ALL),
-r AS (SELECT project_id, CAST(n AS DOUBLE) AS module_count, round_even(e / (n * (n - 1)), 4) AS density, 50.0 + CAST(project_id AS INTEGER) % 10 AS score FROM s JOIN e USING (project_id)),
-l AS (UNPIVOT (SELECT project_id, CAST(module_count AS DOUBLE) AS module_count, CAST(density AS DOUBLE) AS density, CAST(score AS DOUBLE) AS score FROM r) ON module_count, density, score INTO NAME metric VALUE v)
-SELECT 'p' AS project_id, metric, b.v AS before, h.v AS after, round_even(h.v - b.v, 4) AS delta
-FROM (FROM l WHERE project_id = '1996') b JOIN (FROM l WHERE project_id = '1997') h USING (metric)""")
+@query("metric_delta", f"""WITH {SIDES} SELECT * FROM deltas""")
 def metric_delta(spark, sf):
-    return d.metric_delta(*year_metrics(spark, sf), K, ("score", "module_count", "density"))
+    return d.metric_delta(*year_metrics(spark, sf), K, METRICS)
+
+
+def year_diffs(spark, sf):
+    sides = consecutive(spark, sf)
+    return staged(d.diff_nodes(*sides, K), "node-diff"), staged(d.diff_edges(*sides, K), "edge-diff"), d.metric_delta(*year_metrics(spark, sf), K, METRICS), sides
 
 
 @query("diff_impact", f"""WITH {SIDES}
-SELECT 'p' AS project_id, (SELECT count(*) FROM nd) + (SELECT count(*) FROM ed) AS churn,
-       CASE WHEN (SELECT count(*) FROM nd) + (SELECT count(*) FROM ed) > 120 THEN 'high' WHEN (SELECT count(*) FROM nd) + (SELECT count(*) FROM ed) > 30 THEN 'medium' ELSE 'low' END AS impact""")
+SELECT project_id, added + removed + edges_added + edges_removed AS churn,
+       CASE WHEN added + removed + edges_added + edges_removed > 120 OR abs(score_after - score_before) >= 10 THEN 'high'
+            WHEN added + removed + edges_added + edges_removed > 30 OR abs(score_after - score_before) >= 4 THEN 'medium' ELSE 'low' END AS impact FROM sizes""")
 def diff_impact(spark, sf):
-    sides = two_years(spark, sf)
-    deltas = d.metric_delta(*year_metrics(spark, sf), K, ("score", "module_count", "density"))
-    return d.diff_impact(d.diff_nodes(*sides, K), d.diff_edges(*sides, K), deltas, K)
+    return d.diff_impact(*year_diffs(spark, sf)[:3], K)
+
+
+@query("diff_risks", f"""WITH {SIDES}
+SELECT project_id, 'score_regressed' AS risk, 0 AS endpoints_removed FROM sizes WHERE score_after - score_before < -5
+UNION ALL SELECT project_id, 'many_new_dependencies', 0 FROM sizes WHERE edges_added > 40""")
+def diff_risks(spark, sf):
+    return d.diff_risks(*year_diffs(spark, sf)[:3], K)
+
+
+@query("diff_summary", f"""WITH {SIDES},
+few AS (SELECT project_id, change, list(key ORDER BY key) AS keys FROM (SELECT * FROM nd QUALIFY row_number() OVER (PARTITION BY project_id, change ORDER BY key) <= 3) GROUP BY ALL)
+SELECT z.*, 0 AS endpoints_removed, score_after - score_before AS score_delta, 0.0 AS cycle_delta,
+       coalesce((SELECT keys FROM few f WHERE f.project_id = z.project_id AND change = 'added'), []) AS added_examples,
+       coalesce((SELECT keys FROM few f WHERE f.project_id = z.project_id AND change = 'removed'), []) AS removed_examples,
+       (SELECT count(*) FROM moved m WHERE m.project_id = z.project_id) AS modified,
+       CASE WHEN score_after > score_before THEN 'improved' WHEN score_after < score_before THEN 'regressed' ELSE 'unchanged' END AS direction
+FROM sizes z""")
+def diff_summary(spark, sf):
+    gone, edges, deltas, sides = year_diffs(spark, sf)
+    return d.diff_summary(gone, edges, d.changed_nodes(*sides, K, limit=None), deltas, K)
 
 
 # ---------------------------------------------------------------- repair on documents and the corpus
