@@ -85,3 +85,29 @@ def running(values: Column) -> Column:
 
     digits = F.length(F.bin(F.size(values)))
     return F.aggregate(F.sequence(F.lit(0), digits - 1), values, lambda sums, k: add(sums, F.pow(F.lit(2), k).cast("int")))
+
+
+def substring_pairs(needles: DataFrame, names: DataFrame, keys: Sequence[str], needle: str = "needle", name: str = "name", size: int = 3) -> DataFrame:
+    """(keys, needle, name) where the name holds the needle, both of the same keys; distinct rows in, distinct rows out.
+
+    Names are indexed by their runs of ``size`` letters (needles that are shorter, by runs of their length). A needle meets only the
+    names that share its rarest run, and those are compared in full. Runs that no needle has are dropped before any shuffle by name, and a
+    needle with a run that no name has meets nothing. Empty needles meet nothing.
+    """
+    keys = list(keys)
+
+    def runs(text: str, length: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.char_length(text) - length + 1, F.lit(1)))
+        return F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text), i, length)))
+
+    asked = needles.filter(F.col(needle) != "").select(*keys, F.col(needle).alias("needle")).distinct()
+    asked = asked.withColumn("gram", F.explode(runs("needle", F.least(F.char_length("needle"), F.lit(size)))))
+    wanted = asked.select(*keys, "gram").distinct()
+    held = names.select(*keys, F.col(name).alias("name")).distinct()
+    index = held.withColumn("length", F.explode(F.sequence(F.lit(1), F.lit(size)))).filter(F.char_length("name") >= F.col("length"))
+    index = index.withColumn("gram", F.explode(runs("name", F.col("length")))).select(*keys, "name", "gram").join(wanted, [*keys, "gram"], "left_semi")
+    counts = index.groupBy(*keys, "gram").agg(F.count("*").alias("n"))
+    rarest = asked.join(counts, [*keys, "gram"], "left").groupBy(*keys, "needle").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).filter("r.n > 0")
+    met = rarest.select(*keys, "needle", F.col("r.gram").alias("gram")).join(index, [*keys, "gram"])
+    return met.filter(F.contains("name", "needle")).select(*keys, F.col("needle").alias(needle), F.col("name").alias(name))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archspark.functions.frames import top_k
+from archspark.functions.frames import substring_pairs, top_k
 from archspark.operators.graph import union_all, with_degree
 from archspark.schema import KEYS
 
@@ -175,22 +175,21 @@ def sanitize_filters(requests: DataFrame, nodes: DataFrame, keys: Sequence[str]
     """Drop a focus that no node's name, path or stereotype holds, and put known module names for the asked ones.
 
     A module is known by its name in any case, as the start of one, or as a part of one; the closest wins. Names and
-    requests are reduced to distinct lower-cased words per key before they meet.
+    requests are reduced to distinct lower-cased words per key, which meet over an index of letter runs (``substring_pairs``).
     """
+    keys = list(keys)
     shown = [F.col(c) for c in ("name", "qualified_name", "module", "file")] + [F.col("attr.stereotype")]
-    names = nodes.select(*keys, F.explode(F.array(*[F.lower(F.coalesce(c, F.lit(""))) for c in shown])).alias("known")).filter("known <> ''").distinct()
-    asked = requests.select(*keys, F.lower("focus").alias("focus_lc")).filter("focus_lc <> ''").distinct()
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
-    borne = asked.alias("a").join(names.alias("n"), [*same, F.contains(F.col("n.known"), F.col("a.focus_lc"))], "left_semi").withColumn("borne", F.lit(True))
+    names = nodes.select(*keys, F.explode(F.array(*[F.lower(F.coalesce(c, F.lit(""))) for c in shown])).alias("known"))
+    asked = requests.select(*keys, F.lower("focus").alias("focus_lc"))
+    borne = substring_pairs(asked, names, keys, "focus_lc", "known").select(*keys, "focus_lc").distinct().withColumn("borne", F.lit(True))
     out = requests.withColumn("focus_lc", F.lower("focus")).join(borne, [*keys, "focus_lc"], "left")
     out = out.withColumn("focus", F.when(F.col("borne"), F.col("focus")).otherwise("")).drop("focus_lc", "borne")
-    real = nodes.filter(F.col("kind") == "module").select(*keys, F.col("module").alias("real")).filter("real <> ''").distinct()
-    words = requests.select(*keys, F.explode("modules").alias("m")).select(*keys, F.lower("m").alias("m")).filter("m <> ''").distinct()
-    low, m = F.lower("n.real"), F.col("a.m")
-    met = words.alias("a").join(real.alias("n"), [*same, F.contains(low, m)])
-    nearness = F.when(low == m, 0).when(low.startswith(m), 1).otherwise(2)
-    best = met.groupBy(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.m").alias("m")).agg(
-        F.min(F.struct(nearness.alias("near"), F.char_length("n.real").alias("size"), F.col("n.real").alias("real"))).alias("best"))
+    real = nodes.filter(F.col("kind") == "module").select(*keys, F.col("module").alias("real"), F.lower("module").alias("low")).filter("real <> ''").distinct()
+    words = requests.select(*keys, F.explode("modules").alias("m")).select(*keys, F.lower("m").alias("m"))
+    met = substring_pairs(words, real, keys, "m", "low").join(real, [*keys, "low"])
+    nearness = F.when(F.col("low") == F.col("m"), 0).when(F.col("low").startswith(F.col("m")), 1).otherwise(2)
+    best = met.groupBy(*keys, "m").agg(
+        F.min(F.struct(nearness.alias("near"), F.char_length("real").alias("size"), F.col("real").alias("real"))).alias("best"))
     wanted = requests.select(*keys, "id", F.explode("modules").alias("m")).withColumn("m", F.lower("m")).join(best, [*keys, "m"])
     kept = wanted.groupBy(*keys, "id").agg(F.array_sort(F.collect_set("best.real")).alias("kept"))
     return out.join(kept, [*keys, "id"], "left").withColumn("modules", F.coalesce("kept", F.expr("cast(array() as array<string>)"))).drop("kept")

@@ -220,45 +220,16 @@ def containment(spark, sf):
     return edges.select("project_id", "source", "target")
 
 
-@query("extraction_warnings", """SELECT source AS project_id, 'docs/' || doc_id || '.py' AS path FROM documents
-WHERE regexp_matches(text, '^[A-Za-z]+ ?[^ ]')""")
+@query("extraction_warnings")
 def extraction_warnings(spark, sf):
-    """Prose behind an assignment is no Python, however long; texts of one word are left out, as they may be a name."""
-    docs = table(spark, sf, "documents").filter(F.col("text").rlike("^[A-Za-z]+ ?[^ ]")).select(
+    """Every document behind an assignment, read as Python: which ones parse only a parser can tell."""
+    docs = table(spark, sf, "documents").select(
         F.col("source").alias("project_id"), F.lit("r1").alias("run_id"),
         F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.lit("docs").alias("module"),
         F.lit("python").alias("language"), F.concat(F.lit("value = 1 "), "text").alias("text"),
     )
     rows = python_source.python_facts(docs, PK)
-    return facts.extraction_warnings(facts.graph_of(cut_lineage(rows), PK).warnings, PK).select("project_id", "path")
-
-
-@query("extract_ddl_columns", f"""WITH {CORPUS}
-SELECT project_id, 't' || id AS "table", CAST(c.pos AS INTEGER) AS pos, c.name AS name, c.type AS type, c.pk AS primary_key,
-       c.nullable AS nullable, c.uq AS "unique" FROM (
-  SELECT project_id, id, unnest([
-    {{pos: 0, name: 'id', type: 'INTEGER', pk: TRUE, nullable: TRUE, uq: FALSE}},
-    {{pos: 1, name: 'name', type: 'TEXT', pk: FALSE, nullable: FALSE, uq: FALSE}},
-    {{pos: 2, name: 'parent_id', type: 'INTEGER', pk: FALSE, nullable: TRUE, uq: FALSE}},
-    {{pos: 3, name: 'amount', type: 'NUMERIC(10,2)', pk: FALSE, nullable: TRUE, uq: TRUE}}]) AS c FROM corpus WHERE lang = 'sql')""")
-def extract_ddl_columns(spark, sf):
-    return sql.extract_ddl(corpus.files(spark, sf), PK).columns.drop("run_id")
-
-
-@query("extract_ddl_keys", f"""WITH {CORPUS}
-SELECT project_id, 't' || id AS "table", 'fk' AS what, 'parent_id' AS "column", 't' || peer AS target FROM corpus WHERE lang = 'sql'
-UNION ALL
-SELECT project_id, 't' || id, 'index', 'name', 'ix_t' || id FROM corpus WHERE lang = 'sql'
-UNION ALL
-SELECT project_id, 'v' || id, 'view', '', 'v' || id FROM corpus WHERE lang = 'sql'""")
-def extract_ddl_keys(spark, sf):
-    x = sql.extract_ddl(corpus.files(spark, sf), PK)
-    views = x.nodes.filter(F.col("kind") == "data_store")
-    return g.union_all(
-        x.fks.select("project_id", "table", F.lit("fk").alias("what"), "column", F.col("references_table").alias("target")),
-        x.indexes.select("project_id", "table", F.lit("index").alias("what"), "column", F.col("index").alias("target")),
-        views.select("project_id", F.col("name").alias("table"), F.lit("view").alias("what"), F.lit("").alias("column"), F.col("name").alias("target")),
-    )
+    return facts.extraction_warnings(facts.graph_of(cut_lineage(rows), PK).warnings, PK)
 
 
 # A script per customer: nested brackets, quoted commas and brackets, keys of tables, ALTER TABLE, a unique index over two columns.

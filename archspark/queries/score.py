@@ -376,14 +376,14 @@ def apply_rewrites(spark, sf):
 SELECT project_id, path, 'os-command' AS rule, 1 AS occurrences, 18 AS line FROM corpus WHERE lang = 'python'
 UNION ALL SELECT project_id, path, 'request-without-timeout', 1, 23 FROM corpus WHERE lang = 'python'""")
 def detect_issues(spark, sf):
-    found = rp.detect_issues(corpus.files(spark, sf).filter(F.col("language").isin("python", "typescript")), PK)
+    found = rp.detect_issues(corpus.files(spark, sf), PK)
     return found.select("project_id", "path", "rule", "occurrences", F.col("lines")[0].alias("line"))
 
 
 @query("proposal_counts", f"""WITH {corpus.duck_cte()}
 SELECT project_id, 2 * count(*) AS proposals, 2 * count(*) AS advisory, count(*) AS files FROM corpus WHERE lang = 'python' GROUP BY project_id""")
 def proposal_counts(spark, sf):
-    rows = rp.propose(corpus.files(spark, sf).filter(F.col("language") == "python"), PK)
+    rows = rp.propose(corpus.files(spark, sf), PK)
     return rp.proposal_counts(rows, PK).select("project_id", "proposals", "advisory", "files")
 
 
@@ -392,7 +392,11 @@ def proposal_counts(spark, sf):
 
 @query("classify_request", """
 WITH p AS (SELECT conv_id, turn, lower(text || CASE turn % 5 WHEN 0 THEN ' small dependency view' WHEN 1 THEN ' full schema' WHEN 2 THEN ' executive system' ELSE '' END) AS t
-           FROM conversations WHERE role = 'user')
+           FROM conversations),
+d AS (SELECT *, CASE WHEN regexp_matches(t, 'executive|customer|simplified|high level|overview|מנהלים|פשוט|לקוח') THEN 'executive'
+  WHEN regexp_matches(t, 'detailed|deep|full|everything|מפורט') THEN 'detailed' ELSE 'standard' END AS base,
+  CASE WHEN contains(t, 'small') THEN 12 WHEN contains(t, 'tiny') THEN 8 WHEN contains(t, 'minimal') THEN 10 WHEN contains(t, 'simple') THEN 14
+       WHEN contains(t, 'brief') THEN 12 WHEN contains(t, 'compact') THEN 14 WHEN contains(t, 'קטן') THEN 12 WHEN contains(t, 'פשוט') THEN 14 END AS size FROM p)
 SELECT conv_id, turn, CASE
     WHEN regexp_matches(t, 'sequence|flow of|call flow|interaction|login flow|payment flow|רצף|זרימה') THEN 'sequence'
     WHEN regexp_matches(t, 'database|schema|er |tables|entity relationship|בסיס נתונים|טבלאות') THEN 'database'
@@ -401,13 +405,44 @@ SELECT conv_id, turn, CASE
     WHEN regexp_matches(t, 'data flow|dataflow|security boundar|trust boundar|privacy|זרימת נתונים|אבטחה') THEN 'dataflow'
     WHEN regexp_matches(t, 'class|uml|inheritance|types|מחלקות|ירושה') THEN 'class'
     WHEN regexp_matches(t, 'component|module view|boundaries|interfaces|רכיבים|ממשקים') THEN 'component'
-    WHEN regexp_matches(t, 'state machine|states|lifecycle|status|מצבים|מחזור חיים') THEN 'state' ELSE 'architecture' END AS kind
-FROM p""")
+    WHEN regexp_matches(t, 'state machine|states|lifecycle|status|מצבים|מחזור חיים') THEN 'state' ELSE 'architecture' END AS kind,
+  CASE WHEN size IS NOT NULL AND base = 'standard' THEN 'executive' ELSE base END AS detail,
+  CAST(least(CASE base WHEN 'executive' THEN 18 ELSE 60 END, coalesce(size, 60)) AS INTEGER) AS max_nodes,
+  regexp_matches(t, 'external|third party|integration|חיצוני') AS include_external
+FROM d""")
 def classify_request(spark, sf):
-    users = table(spark, sf, "conversations").filter("role = 'user'")
+    turns = table(spark, sf, "conversations")
     more = F.when(F.col("turn") % 5 == 0, " small dependency view").when(F.col("turn") % 5 == 1, " full schema").when(F.col("turn") % 5 == 2, " executive system").otherwise("")
-    asked = users.select("conv_id", "turn", F.concat("text", more).alias("prompt"))
-    return rv.classify_request(asked).select("conv_id", "turn", "kind")
+    asked = turns.select("conv_id", "turn", F.concat("text", more).alias("prompt"))
+    return rv.classify_request(asked).drop("prompt")
+
+
+@query("sanitize_filters", f"""WITH {trade_sql(YEAR)},
+req AS (
+  SELECT CAST(1992 + conv_id % 8 AS VARCHAR) AS project_id, conv_id || '-' || turn AS id,
+         CASE conv_id % 5 WHEN 0 THEN 'ER#00000' || conv_id % 1000 WHEN 1 THEN 'Nation_' || turn WHEN 2 THEN 'zz' || turn WHEN 3 THEN '#' ELSE '' END AS focus,
+         ['Nation_' || conv_id % 13, 'ION_' || turn % 4, 'nowhere', '_'] AS modules
+  FROM conversations
+),
+known AS (SELECT project_id, lower(name) AS known FROM active UNION SELECT project_id, lower(module) FROM active),
+borne AS (SELECT DISTINCT r.id FROM req r JOIN known k ON k.project_id = r.project_id AND r.focus <> '' AND contains(k.known, lower(r.focus))),
+part AS (SELECT id, project_id, unnest(modules) AS m FROM req),
+met AS (
+  SELECT p.id, p.m, o.module FROM part p JOIN modules o ON o.project_id = p.project_id AND contains(lower(o.module), lower(p.m))
+  QUALIFY row_number() OVER (PARTITION BY p.id, p.m ORDER BY CASE WHEN lower(o.module) = lower(p.m) THEN 0 WHEN starts_with(lower(o.module), lower(p.m)) THEN 1 ELSE 2 END, length(o.module), o.module) = 1
+)
+SELECT r.project_id, r.id, CASE WHEN b.id IS NULL THEN '' ELSE r.focus END AS focus,
+       coalesce((SELECT string_agg(DISTINCT module, ',' ORDER BY module) FROM met WHERE met.id = r.id), '') AS modules
+FROM req r LEFT JOIN borne b ON b.id = r.id""")
+def sanitize_filters(spark, sf):
+    """Requests for a year's trade graph with a focus and module names that are right, near or unknown."""
+    c, t = F.col("conv_id"), F.col("turn")
+    focus = (F.when(c % 5 == 0, F.concat(F.lit("ER#00000"), c % 1000)).when(c % 5 == 1, F.concat(F.lit("Nation_"), t))
+             .when(c % 5 == 2, F.concat(F.lit("zz"), t)).when(c % 5 == 3, "#").otherwise(""))
+    asked = table(spark, sf, "conversations").select(
+        (c % 8 + 1992).cast("string").alias("project_id"), F.concat(c, F.lit("-"), t).alias("id"), focus.alias("focus"),
+        F.array(F.concat(F.lit("Nation_"), c % 13), F.concat(F.lit("ION_"), t % 4), F.lit("nowhere"), F.lit("_")).alias("modules"))
+    return rv.sanitize_filters(asked, trade(spark, sf, YEAR)[0], K).select("project_id", "id", "focus", F.array_join("modules", ",").alias("modules"))
 
 
 @query("select_nodes", f"""WITH {trade_sql()},
