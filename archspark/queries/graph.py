@@ -13,7 +13,8 @@ from archspark.operators import iterate as it
 from archspark.operators import metrics as m
 from archspark.queries.registry import query, table
 from archspark.schema import LAYERS
-from archspark.session import staged
+from archspark.session import shared_path, staged
+from archspark.sources.store import read_run, write_graph
 
 K = ["project_id"]
 DAY, MONTH, YEAR = ("yyyy-MM-dd", "%Y-%m-%d"), ("yyyy-MM", "%Y-%m"), ("yyyy", "%Y")
@@ -473,3 +474,17 @@ def long_cycles(spark, sf):
     """Cycles of any length."""
     found = it.find_cycles(tangles(spark, sf), K, max_length=None, limit=None)
     return found.select("project_id", "length", F.array_join("members", ">").alias("members"))
+
+
+@query("stored_runs", f"""WITH {trade_sql(YEAR)}
+SELECT project_id, source, target, CAST(CASE WHEN CAST(project_id AS INTEGER) % 2 = 0 THEN weight + 100 ELSE weight END AS DOUBLE) AS weight
+FROM trade WHERE CAST(project_id AS INTEGER) % 2 = 1 OR CAST(substr(source, 2) AS INTEGER) % 3 = 0""")
+def stored_runs(spark, sf):
+    """All years' graphs stored, the even years stored again with other edges; read back, a run is of one commit."""
+    nodes, edges = trade(spark, sf, YEAR)
+    path = shared_path(spark, "stored-runs")
+    write_graph(nodes, edges, path, K)
+    even = lambda df: df.filter(F.col("project_id").cast("int") % 2 == 0)
+    heavier = even(edges).filter(F.substring("source", 2, 20).cast("int") % 3 == 0).withColumn("weight", F.col("weight") + 100)
+    write_graph(even(nodes), heavier, path, K)
+    return read_run(spark, path, "edges", K).select("project_id", "source", "target", "weight")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StringType, StructField, StructType
 
 from archspark.operators.graph import edge_label, merge_edges, merge_nodes
 from archspark.schema import EDGE_COLUMNS, EDGE_SCHEMA, KEYS, NODE_COLUMNS, NODE_SCHEMA
@@ -42,22 +46,48 @@ def write_table(df: DataFrame, path: str, keys: Sequence[str] = KEYS, fmt: str =
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).format(fmt).save(path)
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, path: str, fmt: str = "parquet", keys: Sequence[str] = KEYS) -> None:
-    write_table(nodes, f"{path}/nodes", keys, fmt)
-    write_table(edges, f"{path}/edges", keys, fmt)
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str, keys: Sequence[str] = KEYS) -> None:
+    """Nodes and edges of runs, replaced together."""
+    write_run({"nodes": nodes, "edges": edges}, path, keys)
 
 
 def write_run(tables: dict[str, DataFrame], path: str, keys: Sequence[str] = KEYS) -> None:
+    """Replace the given tables of all runs that have a row in any of them, together or not at all.
+
+    Tables are written aside, each below its name in a folder of this commit; nothing that a reader sees is touched. The list of
+    replaced (run, table) pairs is written last, as one small file, which makes the commit visible. A write that breaks off before leaves the
+    runs as they were; its files are never read. Of several commits of a run the newest counts. A table without rows of a
+    run replaces the older rows of that run by none.
+    """
+    if not tables:
+        return
+    spark, keys = next(iter(tables.values())).sparkSession, list(keys)
+    commit, seq = uuid.uuid4().hex, time.time_ns()
+    written = []
     for name, df in tables.items():
-        write_table(df, f"{path}/{name}", keys)
-
-
-def read_run(spark: SparkSession, path: str, name: str, **key: str) -> DataFrame:
-    """One table of a stored run; the keys prune partitions."""
-    df = spark.read.parquet(f"{path}/{name}")
-    for column, value in key.items():
-        df = df.filter(F.col(column) == value)
-    return df
+        folder = f"{path}/{name}/commit_={commit}"
+        df.write.partitionBy(*keys).parquet(folder)
+        written.append(spark.read.schema(df.schema).parquet(folder).select(*keys).distinct())
+    runs = reduce(DataFrame.unionByName, written).distinct()
+    names = F.explode(F.array(*[F.lit(n) for n in tables]))
+    runs.select(*keys, names.alias("table_"), F.lit(seq).alias("seq_")).coalesce(1).write.parquet(f"{path}/commits/commit_={commit}")
+
+
+def read_run(spark: SparkSession, path: str, name: str, keys: Sequence[str] = KEYS, **key: str) -> DataFrame:
+    """One table of the stored runs as of their newest commits; given keys prune partitions."""
+    keys = list(keys)
+    pick = lambda df: reduce(lambda d, kv: d.filter(F.col(kv[0]) == kv[1]), key.items(), df)
+    commits = _read(spark, f"{path}/commits", {"commit_": StringType()})
+    kinds = {k: commits.schema[k].dataType for k in keys} | {"commit_": StringType()}
+    newest = pick(commits).filter(F.col("table_") == name).groupBy(*keys).agg(F.max_by("commit_", F.struct("seq_", "commit_")).alias("commit_"))
+    df = pick(_read(spark, f"{path}/{name}", kinds))
+    return df.join(newest, [*keys, "commit_"], "left_semi").drop("commit_")
+
+
+def _read(spark: SparkSession, path: str, kinds: dict[str, DataType]) -> DataFrame:
+    """A partitioned table; the types of these columns are given, as a folder name such as 007 would be read as a number."""
+    found = spark.read.parquet(path).schema
+    return spark.read.schema(StructType([StructField(f.name, kinds.get(f.name, f.dataType)) for f in found])).parquet(path)
 
 
 def write_issue_report(issues: DataFrame, path: str, fmt: str = "json") -> None:
