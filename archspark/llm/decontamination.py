@@ -196,12 +196,12 @@ def contaminate(
 ) -> DataFrame:
     """One row per document: id, n_words, items (sorted ids as strings), runs (hit word ranges), n_hit.
 
-    Items are taken in blocks of about ``block_bytes`` of text, one broadcast each; a longer item is a block of its own.
+    The words of an item without an id count as hit; it has no name to list. Items are taken in blocks of about ``block_bytes`` of text, one broadcast each; a longer item is a block of its own.
     """
     spark = docs.sparkSession
     index = build_index(docs, id_col, text_col)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
-    items = items.filter("item is not null and text is not null").groupBy("item", "text").count().drop("count")
+    items = items.filter("text is not null").groupBy("item", "text").count().drop("count")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(total // block_bytes) + 1
     parts = []
@@ -220,4 +220,4 @@ def contaminate(
             F.flatten(F.collect_list("items")).alias("items"),
             F.flatten(F.collect_list("runs")).alias("runs"),
         )
-    return found.select("id", "n_words", F.array_sort(F.array_distinct("items")).alias("items"), "runs", covered(F.col("runs")).alias("n_hit"))
+    return found.select("id", "n_words", F.array_sort(F.array_distinct(F.array_compact("items"))).alias("items"), "runs", covered(F.col("runs")).alias("n_hit"))

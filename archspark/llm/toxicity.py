@@ -237,5 +237,6 @@ def fit_toxicity(
 
 
 def held_out(id_column: Column, parts: int = 5) -> Column:
-    return F.crc32(id_column.cast("string")) % parts == 0
+    """A null id is never held out."""
+    return F.coalesce(F.crc32(id_column.cast("string")) % parts == 0, F.lit(False))
 

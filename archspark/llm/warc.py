@@ -164,11 +164,16 @@ def read_range(source, start: int, end: int, size: int) -> Iterator[tuple[int, d
         at += start
         member = Member(source, at, buffer, start)
         found = parse_header(member.plain) if member.until(lambda p: b"\r\n\r\n" in p or not b"WARC/1.".startswith(bytes(p[:7]))) else None
-        if not found or not member.until(lambda p: False):
+        if not found:
             at += 1
             continue
         fields, block_at = found
-        yield at, fields, bytes(member.plain[block_at : block_at + int(fields["content-length"])])
+        if not member.until(lambda p: False):
+            raise ValueError(f"the record at {at} breaks off or is damaged")
+        block = bytes(member.plain[block_at : block_at + int(fields["content-length"])])
+        if len(block) < int(fields["content-length"]):
+            raise ValueError(f"the record at {at} is shorter than it says")
+        yield at, fields, block
         at = member.fed
         if at >= end:
             return

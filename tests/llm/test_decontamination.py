@@ -64,3 +64,10 @@ def test_proximity(spark, docs_of):
     index = build_index(docs_of([(1, "alpha x beta gamma"), (2, "alpha beta gamma"), (3, "gamma y y y y y alpha")]))
     hits = lambda slop: sorted(r["id"] for r in probe(index, [("i", b"alpha beta gamma")], slop=slop).filter("size(items) > 0").collect())
     assert hits(0) == [2] and hits(1) == [1, 2]
+
+
+def test_items_without_an_id_hit_and_have_no_name(spark, docs_of):
+    text = "one two three four five six seven eight nine ten eleven"
+    items = spark.createDataFrame([(None, text), (7, "alpha beta")], "item_id long, text string")
+    got = contaminate(docs_of([(1, f"x {text} y"), (2, f"{text} alpha beta"), (3, "clean")]), items).collect()
+    assert {r["id"]: (r["n_hit"], r["items"]) for r in got} == {1: (11, []), 2: (13, ["7"]), 3: (0, [])}

@@ -112,3 +112,9 @@ def test_quality(docs_of):
     assert len(votes("")) == len(LABELLERS) and votes("")[0] == 0
     assert quality_scores(docs_of([])).collect() == []
     assert got.select(F.max("score"), F.min("score")).first()[0] <= 1
+
+
+def test_rows_that_lack_id_or_text_stay_apart(docs_of):
+    rows = [(5, None), (None, "5"), (6, "word"), (None, None)]
+    got = quality_scores(docs_of(rows)).collect()
+    assert sorted(str(r["id"]) for r in got) == ["5", "6", "None", "None"]

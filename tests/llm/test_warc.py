@@ -52,3 +52,16 @@ def test_false_magic_and_damage_are_passed_over():
     cut = data.index(good[1]) + 1
     assert [b for _, _, b in read_range(io.BytesIO(data), 0, cut, len(data))] == [b"h0", b"h1"]
     assert [b for _, _, b in read_range(io.BytesIO(data), cut, len(data), len(data))] == [b"h2"]
+
+
+def test_damaged_archives_are_errors(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "http://x.org/", f"<p>{i} " + "word " * 50 * i) for i in range(20)], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/damaged"
+    files = write_archives(pages, folder)
+    assert read_archives(spark, folder, files).count() == 20
+    target = next(p for p in sorted((tmp_path / "damaged").iterdir()) if p.stat().st_size > 200 and p.name in {r["name"].split("/")[-1] for r in files.collect()})
+    data = bytearray(target.read_bytes())
+    data[-20:] = b"\0" * 20
+    target.write_bytes(bytes(data))
+    with pytest.raises(Exception, match="breaks off|damaged|shorter"):
+        read_archives(spark, folder, files).count()
