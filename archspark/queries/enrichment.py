@@ -13,6 +13,7 @@ from archspark.operators import history as h
 from archspark.operators import iterate as it
 from archspark.operators import metrics as m
 from archspark.operators import quality as q
+from archspark.operators import review as rv
 from archspark.queries.registry import query, table
 from archspark.queries.scorecard import FACTS, card_facts
 from archspark.session import staged
@@ -186,3 +187,61 @@ def quality_notes(spark, sf):
     return noted.select(*K, F.when(F.col("kind") == "file", F.concat(F.lit("n"), F.substring("name", 5, 20))).otherwise(F.col("id")).alias("id"),
                         *[count(c) for c in ("loc", "findings", "risk_findings", "debt_markers")],
                         F.try_element_at("attr.extra", F.lit("code_lines")).alias("code_lines"))
+
+
+DEGREES = GRAPH + """,
+deg AS (SELECT project_id, id, count(*) AS degree FROM (SELECT project_id, source AS id FROM edges UNION ALL SELECT project_id, target FROM edges) GROUP BY ALL)"""
+
+
+@query("entry_points", f"""WITH {DEGREES}
+SELECT project_id, id, name, kind, CAST(row_number() OVER (PARTITION BY project_id ORDER BY coalesce(degree, 0) DESC, id) AS INTEGER) AS rank
+FROM nodes LEFT JOIN deg USING (project_id, id) WHERE kind = 'api_endpoint' QUALIFY rank <= 3""")
+def entry_points(spark, sf):
+    return it.pick_entry_points(*parts_graph(spark, sf), K).select("project_id", "id", "name", "kind", "rank")
+
+
+@query("callable_entries", f"""WITH {DEGREES},
+c AS (SELECT project_id, source AS id, count(*) AS calls FROM edges WHERE kind = 'calls' GROUP BY ALL),
+f AS (SELECT project_id, id, name, coalesce(calls, 0) AS calls FROM nodes LEFT JOIN c USING (project_id, id) WHERE kind IN ('function', 'method') AND contains(lower(name), 'part1'))
+SELECT project_id, id, name, CAST(row_number() OVER (PARTITION BY project_id ORDER BY calls DESC, id) AS INTEGER) AS rank FROM f QUALIFY rank <= 3""")
+def callable_entries(spark, sf):
+    """With a focus that no endpoint bears: the callables that bear it, by their calls."""
+    nodes, edges = parts_graph(spark, sf)
+    others = nodes.filter("kind <> 'api_endpoint'")
+    return it.pick_entry_points(others, edges, K, focus=" PART1 ").select("project_id", "id", "name", "rank")
+
+
+@query("corpus_summary", f"""WITH {DEGREES},
+r AS (
+  SELECT project_id, 'components' AS section, kind, name, 0 AS n, row_number() OVER (PARTITION BY project_id ORDER BY id) AS rank FROM nodes WHERE kind = 'component'
+  UNION ALL SELECT project_id, 'types', kind, name, coalesce(degree, 0), row_number() OVER (PARTITION BY project_id ORDER BY coalesce(degree, 0) DESC, id)
+  FROM nodes LEFT JOIN deg USING (project_id, id) WHERE kind IN ('class', 'interface')
+  UNION ALL SELECT project_id, 'surface', kind, name, 0, row_number() OVER (PARTITION BY project_id, kind ORDER BY name, id)
+  FROM nodes WHERE kind IN ('api_endpoint', 'table', 'database', 'queue', 'container')
+)
+SELECT project_id, section, kind, CAST(rank AS INTEGER) AS rank, name, n FROM r WHERE rank <= 5""")
+def corpus_summary(spark, sf):
+    return rv.corpus_summary(*parts_graph(spark, sf), K, limit=5)
+
+
+@query("advice", f"""WITH base AS (SELECT c_custkey AS k, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey),
+f AS (SELECT k AS project_id, {', '.join(f'{FACTS[c]} AS {c}' for c in FIRST)} FROM base),
+a AS (SELECT project_id, list_filter([CASE WHEN cycles > 0 THEN 'cycle' END, CASE WHEN god_classes > 0 THEN 'god' END, CASE WHEN violations > 0 THEN 'layer' END,
+        CASE WHEN abstraction_ratio < 0.1 THEN 'abstraction' END], lambda x: x IS NOT NULL) AS found FROM f),
+d AS (SELECT project_id, CASE WHEN len(found) > 0 THEN found ELSE ['docs'] END AS found FROM a)
+SELECT project_id, CAST(unnest(range(0, len(found))) AS INTEGER) AS pos, unnest(found) AS advice FROM d""")
+def advice(spark, sf):
+    return rv.improvements(card_facts(spark, sf), K)
+
+
+@query("merged_graphs", f"""WITH {GRAPH},
+twice AS (SELECT * FROM edges UNION ALL SELECT * FROM edges WHERE kind IN ('uses', 'calls'))
+SELECT project_id, source, target, kind, CAST(sum(weight) AS DOUBLE) AS weight, (SELECT count(*) FROM nodes n WHERE n.project_id = twice.project_id) AS nodes
+FROM twice GROUP BY ALL""")
+def merged_graphs(spark, sf):
+    """A graph and a part of it: nodes once, weights of equal edges added."""
+    nodes, edges = parts_graph(spark, sf)
+    part = nodes.filter(F.substring("id", 2, 20).cast("long") % 2 == 0), edges.filter(F.col("kind").isin("uses", "calls"))
+    merged, links = g.merge_graphs((nodes, edges), part, K)
+    sizes = merged.groupBy(*K).agg(F.count("*").alias("nodes"))
+    return links.join(sizes, K).select("project_id", "source", "target", "kind", "weight", "nodes")
