@@ -38,8 +38,8 @@ STOPWORDS = frozenset(
     "le la les et des de un une que en dans du est pour qui sur pas par plus il au se "
     "el los las y que del se por con una su para es al lo como más pero sus".split()
 )
-#: Words a Python worker keeps, about 40 MB.
-KNOWN_WORDS = 200_000
+#: Words a Python worker keeps, about 100 MB; the facts of further words are worked out each time.
+KNOWN_WORDS = 500_000
 
 
 class WordFacts:
@@ -53,14 +53,12 @@ class WordFacts:
         self.place: dict[str, int] = {}
         self.rows = np.zeros((1024, 10), np.int32)
 
-    def learn(self, word: str) -> int:
-        at = self.place[word] = len(self.place)
-        if at == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros((len(self.rows) // 2, 10), np.int32)])
+    @staticmethod
+    def facts(word: str) -> tuple[int, ...]:
         capitals, letters = sum(map(str.isupper, word)), sum(map(str.isalpha, word))
         low = word.lower()
         shape = re.sub(r"(.)\1+", r"\1+", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:40]))
-        self.rows[at] = (
+        return (
             len(word),
             sum(map(str.isalnum, word)),
             letters,
@@ -72,17 +70,31 @@ class WordFacts:
             zlib.crc32(b"e" + word[-2:].encode()) >> 32 - BITS,
             zlib.crc32(b"w" + low.encode()) >> 32 - BITS if low in STOPWORDS else -1,
         )
-        return at
 
     def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(occurrences, facts) of the distinct words."""
         counts = Counter(words)
-        if len(self.place) + len(counts) > KNOWN_WORDS:
-            self.__init__()
-        at = list(map(self.place.get, counts))
-        if None in at:
-            at = [self.learn(w) if i is None else i for w, i in zip(counts, at)]
-        return np.fromiter(counts.values(), np.float64, len(counts)), self.rows[np.array(at, np.int64)]
+        at = np.array([self.place.get(w, -1) for w in counts], np.int64)
+        unknown = np.flatnonzero(at < 0)
+        out = self.rows[at]
+        if len(unknown):
+            names = list(counts)
+            fresh = [names[i] for i in unknown]
+            made = np.array([self.facts(w) for w in fresh], np.int32)
+            out[unknown] = made
+            kept = min(len(fresh), KNOWN_WORDS - len(self.place))
+            if kept > 0:
+                self._keep(fresh[:kept], made[:kept])
+        return np.fromiter(counts.values(), np.float64, len(counts)), out
+
+    def _keep(self, words: list[str], made: np.ndarray) -> None:
+        first = len(self.place)
+        need = first + len(words)
+        if need > len(self.rows):
+            size = min(KNOWN_WORDS, max(need, len(self.rows) * 3 // 2))
+            self.rows = np.concatenate([self.rows, np.zeros((size - len(self.rows), 10), np.int32)])
+        self.rows[first:need] = made
+        self.place.update(zip(words, range(first, need)))
 
 
 _facts = WordFacts()
