@@ -250,3 +250,23 @@ def test_focus_and_modules_of_requests(spark):
         [("p", 1, "order", ["SRC/Orders"]), ("p", 2, "servi", ["api"]), ("p", 3, "nothing", ["none"]), ("p", 4, None, [])], "project_id string, id int, focus string, modules array<string>")
     got = {r.id: (r.focus, r.modules) for r in sanitize_filters(asked, nodes, ["project_id"]).collect()}
     assert got == {1: ("order", ["src/orders"]), 2: ("servi", ["src/orders/api"]), 3: ("", []), 4: ("", [])}
+
+
+def test_no_table_of_nodes_goes_through_the_driver(spark, tmp_path):
+    """A few short columns of a wide stored table look small to the planner, however many rows there are."""
+    from archspark.operators import metrics as m
+
+    node_rows(spark, [("a", "class", "A", "", "x", ""), ("b", "class", "B", "", "y", ""), ("c", "class", "C", "", "z", "")]).write.parquet(f"{tmp_path}/nodes")
+    edge_rows(spark, [("a", "b", 1), ("b", "c", 1), ("c", "a", 1)], "uses").write.parquet(f"{tmp_path}/edges")
+    nodes, edges = spark.read.parquet(f"{tmp_path}/nodes"), spark.read.parquet(f"{tmp_path}/edges")
+    mod = m.module_edges(edges, nodes, K)
+    modules = m.module_universe(nodes, mod, K)
+    found = {
+        "module_edges": mod, "coupling": m.coupling(modules, mod, K), "orphans": m.orphan_modules(modules, mod, K),
+        "violations": m.layering_violations(edges, nodes, K), "hubs": m.hub_nodes(nodes, edges, K), "gods": m.god_classes(nodes, edges, K),
+        "link": g.link(edges, nodes, K), "diff_edges": d.diff_edges((nodes, edges), (nodes, edges), K),
+        "changed": d.changed_nodes((nodes, edges), (nodes, edges), K), "centrality": it.centrality(nodes.select(*K, "id", F.lit(0.5).alias("rank")), nodes, K),
+    }
+    sent = [name for name, df in found.items() if "Broadcast" in df._jdf.queryExecution().executedPlan().toString()]
+    assert not sent
+    assert {(r.src_module, r.dst_module, r.weight) for r in mod.collect()} == {("x", "y", 1), ("y", "z", 1), ("z", "x", 1)}
