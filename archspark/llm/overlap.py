@@ -80,7 +80,7 @@ def _signatures(rows: DataFrame, width: int) -> DataFrame:
     return rows.select("rank", "text").mapInArrow(run, f"rank {kind}, words binary, keys array<bigint>")
 
 
-def _alike(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+def alike(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
     """The distinct pairs (first, later) of points whose texts are alike."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,13 +116,13 @@ def without_near_copies(rows: DataFrame, row_col: str, rank_cols: list[str], tex
         placed = entries.join(heads, "key").withColumn("is_head", F.col("rank.row_") == F.col("head.row_"))
         placed = staged(placed, "overlap-placed")
         pairs = placed.filter("not is_head").select(F.col("head.row_").alias("first"), F.col("rank.row_").alias("later")).distinct()
-        fell = staged(_alike(pairs, texts, width, least).select(F.col("later").alias("point")).distinct(), "overlap-fell")
+        fell = staged(alike(pairs, texts, width, least).select(F.col("later").alias("point")).distinct(), "overlap-fell")
         gone = fell if gone is None else gone.unionAll(fell)
         left = placed.filter("not is_head").select("key", "rank")
         entries = staged(left.join(fell, F.col("rank.row_") == F.col("point"), "left_anti"), "overlap-entries")
     later = entries.select("key", F.col("rank").alias("later"))
     pairs = entries.join(later, "key").filter(F.col("rank") < F.col("later"))
     pairs = pairs.select(F.col("rank.row_").alias("first"), F.col("later.row_").alias("later")).distinct()
-    gone = gone.unionAll(_alike(pairs, texts, width, least).select(F.col("later").alias("point")))
+    gone = gone.unionAll(alike(pairs, texts, width, least).select(F.col("later").alias("point")))
     stay = points.select(F.col("rank.row_").alias("point")).join(gone.distinct(), "point", "left_anti")
     return stay.select(F.col("point").alias(row_col))

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from archspark.llm.common import shared_folder, staged
 from archspark.llm.decontamination import contaminate
 from archspark.llm.mixing import mix_sources
-from archspark.llm.overlap import without_near_copies
+from archspark.llm.overlap import alike, without_near_copies
 from archspark.llm.queries import tokenizer_path
+from archspark.llm.simhash import near_duplicates
 from archspark.llm.tokens import token_corpus
 from archspark.llm.toxicity import fit_toxicity
 from archspark.queries.registry import table
@@ -34,9 +35,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of near copies (5-word shingles, Jaccard 0.8 or more) one row, that of smallest id; ids may repeat or lack."""
+    """Keep of near copies (5-word shingles, Jaccard 0.8 or more) one row, that of smallest id; ids may repeat or lack.
+
+    Fingerprints in vantage-point shards link rows first: a row goes if it is like the first of its component. Copies of that similarity may
+    differ in more bits than the fingerprints' radius, so what stays is compared by shingles.
+    """
+    order = ["no_id", "doc_id", "hash_"]
     rows = numbered(docs).withColumns({"no_id": F.col("doc_id").isNull(), "hash_": F.xxhash64("text")})
-    stay = without_near_copies(rows, "row_", ["no_id", "doc_id", "hash_"])
+    linked = near_duplicates(rows.withColumn("key_", F.struct(*order, "row_")), id_col="key_", width=5)
+    linked = linked.select(F.col("component_id.row_").alias("first"), F.col("id.row_").alias("later")).filter("first <> later")
+    texts = rows.select(F.col("row_").alias("point"), "text")
+    fell = staged(alike(linked, texts, 5, 0.8).select(F.col("later").alias("row_")), "pipeline-copies")
+    rows = rows.join(fell, "row_", "left_anti")
+    stay = without_near_copies(rows, "row_", order)
     return rows.join(stay, "row_", "left_semi").select(docs.columns)
 
 

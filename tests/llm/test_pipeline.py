@@ -61,3 +61,11 @@ def test_run_over_an_empty_folder(spark, sf_dir, tmp_path):
     for table in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{sf_dir}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_fingerprints_link_near_copies(spark, sf_dir, monkeypatch):
+    """Without the comparison by shingles, what the fingerprints link falls and nothing else."""
+    monkeypatch.setattr(corpus_pipeline, "without_near_copies", lambda rows, col, *more: rows.select(col))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    left = [r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, sf_dir).select("doc_id").collect()]
+    assert sorted(left) == [*range(300), *range(500, 505), 600, 601, 602, 602]
