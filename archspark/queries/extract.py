@@ -260,7 +260,9 @@ FROM (SELECT *, unnest([
   {what: 'origin', name: 'c' || c_custkey, detail: 'migration', flag: '2'}]) AS x FROM customer)""")
 def extract_ddl_nested(spark, sf):
     text = F.replace(F.replace(F.lit(NESTED), F.lit("{k}"), F.col("c_custkey").cast("string")), F.lit("{n}"), F.col("c_nationkey").cast("string"))
-    scripts = table(spark, sf, "customer").select(
+    # one key becomes a whole script: spread the keys before they grow
+    customers = table(spark, sf, "customer").repartition(max(spark.sparkContext.defaultParallelism, 1), "c_custkey")
+    scripts = customers.select(
         F.concat(F.lit("p"), "c_nationkey").alias("project_id"), F.lit("r1").alias("run_id"),
         F.concat(F.lit("db/migrations/"), "c_custkey", F.lit("_c.sql")).alias("path"), text.alias("text"))
     x = sql.extract_ddl(classify_files(scripts), PK)
