@@ -270,3 +270,14 @@ def test_no_table_of_nodes_goes_through_the_driver(spark, tmp_path):
     sent = [name for name, df in found.items() if "Broadcast" in df._jdf.queryExecution().executedPlan().toString()]
     assert not sent
     assert {(r.src_module, r.dst_module, r.weight) for r in mod.collect()} == {("x", "y", 1), ("y", "z", 1), ("z", "x", 1)}
+
+
+def test_violations_without_names_have_a_fixed_order(spark):
+    from archspark.operators import metrics as m
+
+    layers = [("a1", "domain"), ("a2", "data"), ("a3", "application"), ("b", "api")]
+    df = spark.createDataFrame([("p", i, layer) for i, layer in layers], "project_id string, id string, layer string")
+    nodes = g.node_frame(df, K, attr=g.attr_struct(layer=F.col("layer")), id=F.col("id"), kind=F.lit("class"), name=F.lit(None), qualified_name=F.lit(None))
+    edges = edge_rows(spark, [("a1", "b", 1), ("a2", "b", 1), ("a3", "b", 1)], "uses")
+    got = {r["rank"]: r["from_layer"] for r in m.layering_violations(edges, nodes, K).collect()}
+    assert got == {1: "application", 2: "data", 3: "domain"}
