@@ -241,7 +241,8 @@ def scan_licences(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     digests = known_digests(known)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     lines = rows.select("id", F.explode(F.split("text", "\n")).alias("line")).filter(F.length(F.trim("line")) > 0)
-    lines = lines.select("id", digest(F.col("line")).alias("line_digest"))
+    # never null, and the planner has to know it: else it tests the digest of every line before the join, working it out again
+    lines = lines.select("id", F.coalesce(digest(F.col("line")), F.lit("")).alias("line_digest"))
     found = lines.join(digests, F.col("line_digest") == F.col("known_digest")).groupBy(F.col("id").alias("noticed_id")).agg(
         F.array_sort(F.collect_set("licence")).alias("notices")
     )

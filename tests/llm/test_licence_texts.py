@@ -23,3 +23,12 @@ def test_whole_texts(spark, docs_of):
     want += [("Unlicense", UNLICENSE + "\n\nFor more information, please refer to <https://unlicense.org>")]
     got = {r["id"]: r["licence"] for r in scan_licences(docs_of([(k, t) for k, (_, t) in enumerate(want)]), shipped(spark)).collect()}
     assert [got[k] for k in range(len(want))] == [i for i, _ in want]
+
+
+def test_digest_of_a_line_is_worked_out_once(spark, docs_of):
+    """A test of the digest for null below the join would work out the digest of every line a second time."""
+    rows = scan_licences(docs_of([(1, "prose\n// Licensed under the MIT License.\nmore"), (2, None), (3, "prose")]), shipped(spark))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    tests = [x for x in plan if "Filter " in x and "line#" in x]
+    assert tests and not [x for x in tests if "sha2(" in x]
+    assert {r["id"]: r["notices"] for r in rows.collect()} == {1: ["MIT"], 2: [], 3: []}
