@@ -281,3 +281,27 @@ def test_violations_without_names_have_a_fixed_order(spark):
     edges = edge_rows(spark, [("a1", "b", 1), ("a2", "b", 1), ("a3", "b", 1)], "uses")
     got = {r["rank"]: r["from_layer"] for r in m.layering_violations(edges, nodes, K).collect()}
     assert got == {1: "application", 2: "data", 3: "domain"}
+
+
+def test_steps_of_cycles_meet_by_shuffle(spark, tmp_path, monkeypatch):
+    """Adaptive execution sends a side of under 10 MB of shuffled bytes through the driver, and there it is many times that."""
+    from archspark.operators import views as vw
+
+    plans = []
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(it, "cut_lineage", cut)
+    node_rows(spark, [("a", "class", "A", "", "x", ""), ("b", "class", "B", "", "y", ""), ("c", "class", "C", "", "z", "")]).write.parquet(f"{tmp_path}/nodes")
+    edge_rows(spark, [("a", "b", 1), ("b", "c", 1), ("c", "a", 1)], "uses").write.parquet(f"{tmp_path}/edges")
+    nodes, edges = spark.read.parquet(f"{tmp_path}/nodes"), spark.read.parquet(f"{tmp_path}/edges")
+    mod = spark.createDataFrame([("p", a, b) for a, b in ("xy", "yz", "zx")], "project_id string, src_module string, dst_module string")
+    found = it.find_cycles(mod, K, max_length=3, limit=None)
+    assert [r.members for r in found.collect()] == [["x", "y", "z"]]
+    joins = [line for p in plans for line in p.splitlines() if "Join " in line]
+    assert joins and all("strategy=merge" in line for line in joins)
+    shown, links = vw.view_dependency(nodes, edges, vw.Filters(detail="executive"), K, found)
+    assert not [1 for df in (shown, links) if "Broadcast" in df._jdf.queryExecution().executedPlan().toString()]
+    assert {(r.module, r.in_cycle) for r in shown.collect()} == {("x", True), ("y", True), ("z", True)}
