@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archspark.queries.registry import table
+from archspark.session import staged
 from archspark.sources.tree import classify_files
 
 # Columns that both engines compute in the same way.
@@ -246,8 +247,11 @@ def raw_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
-    """Corpus files with language, infra kind and module."""
-    return classify_files(raw_files(spark, sf))
+    """Corpus files with language, infra kind and module, written and read back.
+
+    Else the planner puts the making of a text into every expression that names the text, and the longest of them into join conditions.
+    """
+    return staged(classify_files(raw_files(spark, sf)), "corpus-files")
 
 
 def _literal(text: str) -> str:

@@ -15,7 +15,7 @@ from archspark.operators.extract import brace, facts, infra, python_source, sql
 from archspark.queries import corpus
 from archspark.queries.registry import query, table
 from archspark.schema import KEYS
-from archspark.session import cut_lineage
+from archspark.session import cut_lineage, staged
 from archspark.sources.tree import classify_files
 
 PK = list(KEYS)
@@ -28,6 +28,11 @@ def fact_rows(spark, sf):
     return facts.all_facts(corpus.files(spark, sf), PK)
 
 
+def fact_lists(spark, sf, column):
+    """One list of every file, written before it is exploded: the planner tests a list for rows first, by working it out again, and again."""
+    return staged(fact_rows(spark, sf).select("project_id", "path", column), f"facts-{column}")
+
+
 _staged: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -60,7 +65,7 @@ imports AS (
 @query("extract_imports", f"""WITH {IMPORTS}
 SELECT project_id, path, target, lang = 'typescript' AND contains(target, '/') AS relative FROM imports""")
 def extract_imports(spark, sf):
-    rows = fact_rows(spark, sf)
+    rows = fact_lists(spark, sf, "imports")
     return rows.select("project_id", "path", F.explode("imports").alias("i")).select("project_id", "path", "i.*")
 
 
@@ -85,7 +90,7 @@ types AS (
 SELECT project_id, path, t.name AS name, t.kind AS kind, prefix || t.name AS qualified, CAST(t.line AS INTEGER) AS line,
        CASE WHEN lang = 'java' THEN 'service' ELSE '' END AS stereotype FROM types""")
 def extract_types(spark, sf):
-    rows = fact_rows(spark, sf).select("project_id", "path", F.explode("types").alias("t"))
+    rows = fact_lists(spark, sf, "types").select("project_id", "path", F.explode("types").alias("t"))
     return rows.select("project_id", "path", *[f"t.{c}" for c in ("name", "kind", "qualified", "line", "stereotype")])
 
 
@@ -114,7 +119,7 @@ SELECT project_id, path, unnest(CASE lang
     WHEN 'cpp' THEN ['Shape' || id || '.count:int private']
     ELSE [] END) AS field FROM corpus""")
 def extract_fields(spark, sf):
-    rows = fact_rows(spark, sf).select("project_id", "path", F.explode("types").alias("t"))
+    rows = fact_lists(spark, sf, "types").select("project_id", "path", F.explode("types").alias("t"))
     rows = rows.select("project_id", "path", "t.name", F.explode("t.properties").alias("p"))
     return rows.select("project_id", "path", F.concat(
         "name", F.lit("."), "p.name", F.lit(":"), "p.type", F.lit(" "), "p.visibility").alias("field"))

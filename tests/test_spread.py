@@ -24,3 +24,11 @@ def test_scripts_of_one_file_are_dealt_out(spark, tmp_path):
     assert made.count() == 11 * len(rows)
     scripts = made.select("table").rdd
     assert scripts.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism  # four kinds of rows
+
+
+def test_lists_of_files_are_worked_out_once(spark, tmp_path):
+    """The test of a list for rows, below the explode, would hold the whole extraction again."""
+    spark.createDataFrame([(i, f"part {i}", 900.0 + i) for i in range(8, 16)], "p_partkey long, p_name string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    rows = QUERIES["extract_fields"](spark, str(tmp_path))
+    assert "regexp" not in rows._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert {r.field for r in rows.collect() if r.path.endswith(".java")} == {"Gadget11.peer:Gadget35 private", "Gadget11.LIMIT:int private"}
