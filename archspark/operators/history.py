@@ -126,6 +126,9 @@ def co_change(
     pairs = first.select(
         *keys, "file_a", F.explode(F.expr("slice(paths, pos + 2, size(paths))")).alias("file_b")
     )
+    # a commit of n files makes n * (n - 1) / 2 pairs, few of them equal within a task: the tables that count them are sized by the pairs
+    # themselves, not by the commits; a pair comes once a commit, so none has more rows than there are commits
+    pairs = pairs.repartition(*keys, "file_a", "file_b")
     counted = pairs.groupBy(*keys, "file_a", "file_b").agg(F.count("*").alias("together"))
     return top_k(
         counted.filter(F.col("together") >= min_together),

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import functions as F
 
+from archspark.operators import history as h
 from archspark.operators.extract import python_source
 from archspark.queries import QUERIES
 
@@ -32,3 +34,15 @@ def test_lists_of_files_are_worked_out_once(spark, tmp_path):
     rows = QUERIES["extract_fields"](spark, str(tmp_path))
     assert "regexp" not in rows._jdf.queryExecution().optimizedPlan().toString().lower()
     assert {r.field for r in rows.collect() if r.path.endswith(".java")} == {"Gadget11.peer:Gadget35 private", "Gadget11.LIMIT:int private"}
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_are_dealt_out_before_they_are_counted(spark):
+    """Else the tables of a task's pairs lie beside the commits that make them, and grow with the square of a commit."""
+    rows = [("p", sha, path) for sha in range(6) for path in ("a", "b", "c")[: 2 + sha % 2]]
+    pairs = h.co_change(spark.createDataFrame(rows, "project_id string, sha int, path string"), ["project_id"])
+    assert "RepartitionByExpression [project_id" in plan_of(pairs)
+    assert {tuple(r) for r in pairs.collect()} == {("p", "a", "b", 6), ("p", "a", "c", 3), ("p", "b", "c", 3)}
