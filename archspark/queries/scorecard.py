@@ -226,6 +226,8 @@ def card_facts(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
     base = table(spark, sf, "customer").select("c_custkey").join(orders, "c_custkey", "left").select(
         F.col("c_custkey").alias("k"), F.coalesce("n", F.lit(0)).alias("n"))
+    # one key becomes some 25 signals: spread the keys before they grow
+    base = base.repartition(max(spark.sparkContext.defaultParallelism, 1), "k")
     return base.select(F.col("k").alias("project_id"), *[F.expr(e).cast("double").alias(n) for n, e in FACTS.items()], *[F.expr(e).alias(n) for n, e in FLAGS.items()])
 
 

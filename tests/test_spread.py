@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from archspark.operators import history as h
+from archspark.operators import score as sc
 from archspark.operators.extract import python_source
 from archspark.queries import QUERIES
 
@@ -46,3 +47,14 @@ def test_pairs_are_dealt_out_before_they_are_counted(spark):
     pairs = h.co_change(spark.createDataFrame(rows, "project_id string, sha int, path string"), ["project_id"])
     assert "RepartitionByExpression [project_id" in plan_of(pairs)
     assert {tuple(r) for r in pairs.collect()} == {("p", "a", "b", 6), ("p", "a", "c", 3), ("p", "b", "c", 3)}
+
+
+def test_signals_are_not_dealt_by_category(spark):
+    rows = [(i, "security", f"s{n}", "high", -float(n), "fail") for i in range(3) for n in range(1, 15)]
+    signals = spark.createDataFrame(rows, "project_id int, category string, signal string, severity string, impact double, status string")
+    weights = spark.createDataFrame([("security", 0.5)], "category string, weight double")
+    issues = sc.top_issues(signals, weights, ["project_id"])
+    assert "strategy=broadcast" in plan_of(issues) and "RepartitionByExpression [project_id" in plan_of(issues)
+    assert {(r.project_id, r["rank"], r.signal) for r in issues.collect()} == {(i, n, f"s{15 - n}") for i in range(3) for n in range(1, 13)}
+    own = spark.createDataFrame([(1, "security", 0.5)], "project_id int, category string, weight double")  # as many rows as projects: not hinted
+    assert "strategy=broadcast" not in plan_of(sc.top_issues(signals, own, ["project_id"]))
