@@ -179,7 +179,7 @@ def sanitize_filters(requests: DataFrame, nodes: DataFrame, keys: Sequence[str]
     """
     keys = list(keys)
     shown = [F.col(c) for c in ("name", "qualified_name", "module", "file")] + [F.col("attr.stereotype")]
-    names = nodes.select(*keys, F.explode(F.array(*[F.lower(F.coalesce(c, F.lit(""))) for c in shown])).alias("known"))
+    names = nodes.select(*keys, F.explode(F.array_distinct(F.array(*[F.lower(F.coalesce(c, F.lit(""))) for c in shown]))).alias("known"))
     asked = requests.select(*keys, F.lower("focus").alias("focus_lc"))
     borne = substring_pairs(asked, names, keys, "focus_lc", "known").select(*keys, "focus_lc").distinct().withColumn("borne", F.lit(True))
     out = requests.withColumn("focus_lc", F.lower("focus")).join(borne, [*keys, "focus_lc"], "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from archspark.functions.frames import substring_pairs
 from archspark.operators import history as h
 from archspark.operators import score as sc
 from archspark.operators.extract import python_source
@@ -58,3 +59,12 @@ def test_signals_are_not_dealt_by_category(spark):
     assert {(r.project_id, r["rank"], r.signal) for r in issues.collect()} == {(i, n, f"s{15 - n}") for i in range(3) for n in range(1, 13)}
     own = spark.createDataFrame([(1, "security", 0.5)], "project_id int, category string, weight double")  # as many rows as projects: not hinted
     assert "strategy=broadcast" not in plan_of(sc.top_issues(signals, own, ["project_id"]))
+
+
+def test_names_are_not_shuffled_to_meet_few_needles(spark, tmp_path):
+    names = spark.range(4000).select(F.lit("p").alias("project_id"), F.concat(F.lit("customer#"), F.col("id")).alias("name"))
+    names.write.parquet(f"{tmp_path}/names")
+    needles = spark.createDataFrame([("p", "er#77")], "project_id string, needle string")
+    met = substring_pairs(needles, spark.read.parquet(f"{tmp_path}/names"), ["project_id"])
+    assert any("rarest-grams" in f for f in met.inputFiles())  # so their true size is known
+    assert met.count() == sum(str(i).startswith("77") for i in range(4000))
