@@ -2,8 +2,9 @@
 
 Rows with the same words are one point, named by its first row. A point has ``BANDS`` keys of ``ROWS`` minima each, so two points
 of similarity s share a key with probability 1 - (1 - s**ROWS)**BANDS: 0.9996 at 0.8 and more above. In rounds, every point is
-compared with the first point of each key it holds, which settles large groups in as many rows as they have members; what then
-still shares a key is compared pair by pair. A point that is like an earlier one falls away, so a chain of near copies may leave
+compared with the first point of each key it holds, which settles large groups in as many rows as they have members. What then
+still shares a key mostly has a passage in common and is unlike, and of such points all would meet all. They meet over their
+rarest shingles instead: two sets of similarity s or more share one of the first few of each, in any fixed order. A point that is like an earlier one falls away, so a chain of near copies may leave
 with its ends unlike, and no two points that stay were found alike.
 
 Defined results: null and empty texts have the same (no) words and are one point; a text of fewer words than a shingle is one
@@ -99,6 +100,41 @@ def alike(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataF
     return both.mapInArrow(run, "first bigint, later bigint")
 
 
+def _shingled(texts: DataFrame, width: int) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            sets = [shingles(t, width).view(np.int64) for t in raw_texts(part.column(1))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["point", "shingles"])
+
+    return texts.select("point", "text").mapInArrow(run, "point bigint, shingles array<bigint>")
+
+
+def _close_pairs(ranks: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """Distinct pairs (first, later) by rank, among them all of similarity ``least`` or more.
+
+    Shingles are ordered by the points that hold them, rarest first. If x is the smaller of two sets (or as large), they are alike only
+    if ``least/(1+least)`` of both sizes together are shared, so they share a shingle at places of both that leave room for that many.
+    """
+    sets = staged(_shingled(texts, width), "overlap-shingles")
+    held = sets.select("point", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    shared = held.groupBy("shingle").count().filter("count > 1")
+    room = lambda part: F.col("size") - F.ceil(F.lit(part) * F.col("size") - 1e-6) + 1  # noqa: E731  places in which a first shared shingle may lie
+    # those of one point alone come first and meet nothing
+    own = held.join(shared, "shingle").groupBy("point", "size").agg(F.array_sort(F.collect_list(F.struct("count", "shingle"))).alias("own"))
+    own = own.withColumn("alone", F.col("size") - F.size("own")).withColumn("places", F.greatest(room(least) - F.col("alone"), F.lit(0)).cast("int"))
+    firsts = own.select("point", "size", "alone", F.posexplode(F.slice("own", F.lit(1), F.col("places"))).alias("at", "s"))
+    firsts = firsts.withColumn("after", F.col("size") - F.col("alone") - F.col("at") - 1)  # shingles behind this one
+    firsts = staged(firsts.join(ranks, "point").select("point", "rank", "size", "after", F.col("s.shingle").alias("shingle"), room(2 * least / (1 + least)).alias("near")), "overlap-firsts")
+    x = firsts.filter(F.col("size") - F.col("after") <= F.col("near")).alias("x")
+    y = firsts.alias("y")
+    smaller = F.struct("x.size", "x.rank") < F.struct("y.size", "y.rank")
+    enough = F.lit(least / (1 + least)) * (F.col("x.size") + F.col("y.size")) - 1e-6
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & smaller & (F.least("x.after", "y.after") + 1 >= enough))
+    in_order = F.col("x.rank") < F.col("y.rank")
+    first, later = F.when(in_order, F.col("x.point")).otherwise(F.col("y.point")), F.when(in_order, F.col("y.point")).otherwise(F.col("x.point"))
+    return met.select(first.alias("first"), later.alias("later")).distinct()
+
+
 def without_near_copies(rows: DataFrame, row_col: str, rank_cols: list[str], text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
     """The ``row_col`` (a long, distinct) of the rows that stay: of like rows the first by ``rank_cols``."""
     rank = F.struct(*[F.col(c) for c in rank_cols], F.col(row_col).alias("row_")).alias("rank")
@@ -120,9 +156,9 @@ def without_near_copies(rows: DataFrame, row_col: str, rank_cols: list[str], tex
         gone = fell if gone is None else gone.unionAll(fell)
         left = placed.filter("not is_head").select("key", "rank")
         entries = staged(left.join(fell, F.col("rank.row_") == F.col("point"), "left_anti"), "overlap-entries")
-    later = entries.select("key", F.col("rank").alias("later"))
-    pairs = entries.join(later, "key").filter(F.col("rank") < F.col("later"))
-    pairs = pairs.select(F.col("rank.row_").alias("first"), F.col("later.row_").alias("later")).distinct()
+    left = entries.join(entries.groupBy("key").count().filter("count > 1").select("key"), "key", "left_semi")
+    left = left.select(F.col("rank.row_").alias("point"), "rank").distinct()
+    pairs = _close_pairs(left, texts.join(left.select("point"), "point", "left_semi"), width, least)
     gone = gone.unionAll(alike(pairs, texts, width, least).select(F.col("later").alias("point")))
     stay = points.select(F.col("rank.row_").alias("point")).join(gone.distinct(), "point", "left_anti")
     return stay.select(F.col("point").alias(row_col))

@@ -52,10 +52,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the rows that hold a window of a benchmark item."""
-    rows = numbered(docs)
-    found = contaminate(rows, table(spark, sf_dir, "benchmark"), id_col="row_")
-    return rows.join(found.filter("n_hit > 0").select(F.col("id").alias("row_")), "row_", "left_anti").select(docs.columns)
+    """Drop the rows that hold a window of a benchmark item; equal texts are decided alike, so no numbered copy of the rows is written."""
+    rows = docs.withColumn("key_", F.unhex(F.md5("text")))
+    found = contaminate(rows, table(spark, sf_dir, "benchmark"), id_col="key_")
+    return rows.join(found.filter("n_hit > 0").select(F.col("id").alias("key_")), "key_", "left_anti").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+from archspark.llm import overlap
 from archspark.llm.overlap import bands, jaccard, shingles
 
 
@@ -39,3 +40,38 @@ def test_edited_copies_fall(spark):
     assert sum(like(a, b) for a in sets for b in sets if a < b) > 100
     assert not [(a, b) for a in kept for b in kept if a < b and like(a, b)]
     assert all(any(like(k, o) for o in sets if o < k) for k in set(sets) - kept)
+
+
+def test_close_pairs_hold_all_alike(spark):
+    rng = random.Random(6)
+    texts = []
+    for _ in range(25):
+        words = [f"w{rng.randrange(40)}" for _ in range(rng.choice([4, 9, 60, 120]))]
+        for _ in range(8):
+            edited = list(words)
+            for _ in range(rng.randrange(3)):
+                edited[rng.randrange(len(words))] = f"w{rng.randrange(40)}"
+            texts.append(" ".join(edited[: rng.randrange(len(words) - len(words) // 8, len(words) + 1)]))
+    rows = [(i, (len(texts) - i,), t) for i, t in enumerate(dict.fromkeys(texts))]
+    points = spark.createDataFrame(rows, "point long, rank struct<n:int>, text string")
+    found = {(r["first"], r["later"]) for r in overlap._close_pairs(points.select("point", "rank"), points, 5, 0.8).collect()}
+    sets = {k: shingles(t.encode()) for k, _, t in rows}
+    like = {(a, b) for a in sets for b in sets if a > b and jaccard(sets[a], sets[b]) >= 0.8}  # ranks fall as numbers rise
+    assert len(like) > 50 and like <= found
+
+
+def test_a_common_passage_makes_few_pairs(spark, monkeypatch):
+    """Texts that share a passage and are unlike do not meet each other all."""
+    rng = random.Random(7)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, f"{passage} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(16)), None, None, 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    plain, counts = overlap.alike, []
+
+    def counted(pairs, *more):
+        counts.append(pairs.count())
+        return plain(pairs, *more)
+
+    monkeypatch.setattr(overlap, "alike", counted)
+    assert corpus_pipeline.drop_near_copies(spark, docs, "").count() == 300
+    assert sum(counts) < 20 * 300  # all pairs that share a band are over 20,000

@@ -69,3 +69,12 @@ def test_fingerprints_link_near_copies(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     left = [r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, sf_dir).select("doc_id").collect()]
     assert sorted(left) == [*range(300), *range(500, 505), 600, 601, 602, 602]
+
+
+def test_benchmark_stage_writes_no_copy_of_the_rows(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "numbered", lambda docs: pytest.fail("rows are copied"))
+    item = " ".join(f"exam{i}" for i in range(14))
+    rows = [(1, item), (1, "other"), (None, "x " + item), (2, "free"), (2, "free"), (3, None), (4, ""), (5, item), (5, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.drop_benchmark(spark, docs, sf_dir).collect()
+    assert sorted(map(tuple, left), key=str) == sorted([(1, "other"), (2, "free"), (2, "free"), (3, None), (4, "")], key=str)
