@@ -36,10 +36,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write the table to the shared folder and read it back: lineage is cut and survives lost executors."""
+def staged(df: DataFrame, name: str, group_rows: int | None = None) -> DataFrame:
+    """Write the table to the shared folder and read it back: lineage is cut and survives lost executors.
+
+    Parquet looks at its sizes after 100 rows at the earliest, and a task holds a whole row group: tables of rows that take
+    megabytes bound their groups by ``group_rows``, and have no dictionaries, which would be begun anew in each group.
+    """
     path = shared_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    if group_rows:
+        out = out.option("parquet.block.row.count.limit", group_rows).option("parquet.enable.dictionary", "false")
+    out.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

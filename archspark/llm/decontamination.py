@@ -2,10 +2,11 @@
 
 The index is dealt by document: each shard holds some documents' postings for every term, as one row of a written table
 (documents with their first position, terms, and the ascending positions of each term; documents lie one after the other with a
-gap). No posting list is shuffled, so frequent terms are no hot keys. A probe sends the windows of the test items to all
-shards, in blocks of bounded size. In a shard, windows that lack a term are dropped by one table lookup; for the others the
-posting list of the rarest term gives starts, and the lists of the other terms, shifted by their offsets, are intersected with
-them from rare to frequent. ``slop`` widens the match from exact phrases to terms near their places.
+gap). A shard is a row group of its own, so a task holds few of them however large its split is. No posting list is shuffled, so
+frequent terms are no hot keys. A probe sends the windows of the test items to all shards, in blocks of bounded size. In a shard,
+windows that lack a term are dropped by one table lookup; for the others the posting list of the rarest term gives starts, and the
+lists of the other terms, shifted by their offsets, are intersected with them from rare to frequent. ``slop`` widens the match from
+exact phrases to terms near their places.
 
 Defined results: null and empty texts have no words and no hits; a null item has no window; items with the same
 id are one item; every document row is counted by itself, repeated ids included; an empty table on either side gives no hits.
@@ -68,7 +69,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if ids:
             yield shard(ids, words)
 
-    return staged(rows.mapInArrow(run, schema), "postings")
+    return staged(rows.mapInArrow(run, schema), "postings", group_rows=1)
 
 
 def _arrow_type(rows: DataFrame) -> pa.DataType:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow.parquet as pq
 import pytest
 
 from archspark.llm.decontamination import build_index, contaminate, probe
@@ -71,3 +72,16 @@ def test_items_without_an_id_hit_and_have_no_name(spark, docs_of):
     items = spark.createDataFrame([(None, text), (7, "alpha beta")], "item_id long, text string")
     got = contaminate(docs_of([(1, f"x {text} y"), (2, f"{text} alpha beta"), (3, "clean")]), items).collect()
     assert {r["id"]: (r["n_hit"], r["items"]) for r in got} == {1: (11, []), 2: (13, ["7"]), 3: (0, [])}
+
+
+def test_a_row_group_of_the_index_holds_one_shard(spark, docs_of):
+    text = "one two three four five six seven eight nine ten eleven"
+    docs = [(i, text if i % 5 == 0 else "filler " * 11) for i in range(40)]
+    index = build_index(docs_of(docs).coalesce(1), shard_words=300)
+    groups = []
+    for file in index.inputFiles():
+        footer = pq.ParquetFile(file.removeprefix("file:")).metadata
+        groups += [footer.row_group(i).num_rows for i in range(footer.num_row_groups)]
+    assert groups == [1] * index.count() and len(groups) > 5
+    found = probe(index, [("x", text.encode())]).filter("size(items) > 0").collect()
+    assert sorted(r["id"] for r in found) == [*range(0, 40, 5)]
